@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from .common import map_texts
 #: The pre-split pattern that the vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.iinfo(np.int32).max
+Piece = tuple[tuple[int, ...], str]  # ids, and the same in decimal, joined by commas
 
 
 def byte_letters() -> dict[str, int]:
@@ -108,26 +110,40 @@ class MergeAutomaton:
         return got
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the one path that spells word: a pass over its bytes, with one state at most for each prefix."""
+        """The labels of the one path that spells word.
+
+        Every prefix has one path at most, so each place in the word is entered once: the longest arc first, back from dead ends.
+        """
         trie, ends, rows, label, n = self.trie, self.ends, self.rows, self.labels_at, len(word)
-        came: list[int] = [-1] * (n + 1)
-        for i in range(n):
-            if i and came[i] < 0:
-                continue
-            bits = (rows.get(came[i]) or self.row(came[i])) if i else self.start
-            at = 0
-            for j in range(i, n):
-                at = trie[at].get(word[j], -1)
-                if at < 0:
+        if not n:
+            return []
+        root, met, stack, path, i, bits = trie[0], set(), [], [], 0, self.start
+        while True:
+            node, j, open_arcs = root, i, []
+            while j < n:
+                at = node.get(word[j])
+                if at is None:
                     break
+                j += 1
                 t = ends[at]
-                if t >= 0 and bits[t >> 3] >> (t & 7) & 1:
-                    came[j + 1] = label[t]
-        out, i = [], n
-        while i:
-            out.append(t := came[i])
-            i -= len(self.spelled[t])
-        return out[::-1]
+                if t >= 0 and bits[t >> 3] >> (t & 7) & 1 and j not in met:
+                    open_arcs.append((j, t))
+                node = trie[at]
+            stack.append(open_arcs)
+            while not stack[-1]:
+                stack.pop()
+                path.pop()
+            i, t = stack[-1].pop()
+            while i in met:  # entered meanwhile, and dead
+                while not stack[-1]:
+                    stack.pop()
+                    path.pop()
+                i, t = stack[-1].pop()
+            met.add(i)
+            path.append(t := label[t])
+            if i == n:
+                return path
+            bits = rows.get(t) or self.row(t)
 
 
 def load(content: str) -> MergeAutomaton:
@@ -149,40 +165,53 @@ class Codec:
     def __init__(self, automaton: MergeAutomaton, most_words: int = 400_000):
         self.automaton, self.most = automaton, most_words
         self.words: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, Piece] = {}
         self.find = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(automaton.special, key=len, reverse=True))) + ")").split if automaton.special else lambda t: [t]
         self.labels = [s if s is not None else b"" for s in automaton.spelled]
         for s, i in automaton.special.items():
             self.labels[i] = s.encode()
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Of a piece that starts at a pre-split boundary and ends at one."""
-        got = self.words.get(text)
+    def piece(self, text: str, spaced: bool) -> Piece:
+        """Of a piece that starts at a pre-split boundary and ends at one; spaced: a space stands before it."""
+        ids: list[int] = []
+        for word in self.find(" " + text if spaced else text):
+            ids += self.word(word)
+        got = (tuple(ids), ",".join(map(str, ids)))
+        if spaced and len(text) <= 64:
+            if len(self.pieces) >= self.most:
+                self.pieces.clear()
+            self.pieces[text] = got
+        return got
+
+    def word(self, word: str) -> tuple[int, ...]:
+        got = self.words.get(word)
         if got is None:
-            ids: list[int] = []
-            for word in self.find(text):
-                ids += self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))
-            got = tuple(ids)
-            if len(text) <= 64:
+            got = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
+            if len(word) <= 64:
                 if len(self.words) >= self.most:
                     self.words.clear()
-                self.words[text] = got
+                self.words[word] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
+    def coded(self, text: str) -> list[Piece]:
         """A single space between two that aren't spaces always starts a pre-split word, so the text is looked up piece by piece."""
-        ids: list[int] = []
+        out: list[Piece] = []
         for part in self.cut(text):
             if part in self.automaton.special:
-                ids.append(self.automaton.special[part])
+                out.append(((i := self.automaton.special[part],), str(i)))
             elif "  " in part or part[-1:] == " ":
-                ids += self.piece(part)
+                out.append(self.piece(part, False))
             elif part:
                 first, *rest = part.split(" ")
-                ids += self.piece(first) if first else ()
-                for x in rest:
-                    ids += self.piece(" " + x)
-        return ids
+                if first:
+                    out.append(self.piece(first, False))
+                known = self.pieces.get
+                out += [known(x) or self.piece(x, True) for x in rest]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return [*chain.from_iterable(ids for ids, _ in self.coded(text))]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
@@ -223,10 +252,11 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         c, sha = codec(shared.value), lambda b: hashlib.sha256(b).hexdigest()
         counts, coded, back = [], [], []
         for t in texts:
-            got = c.encode(t)
-            counts.append(len(got))
-            coded.append(sha(",".join(map(str, got)).encode()))
-            back.append(sha(c.decode(got).encode()))
+            got = c.coded(t)
+            ids = [*chain.from_iterable(x for x, _ in got)]
+            counts.append(len(ids))
+            coded.append(sha(",".join([s for _, s in got]).encode()))
+            back.append(sha(c.decode(ids).encode()))
         return {"doc_id": pa.array(ids, pa.int64()), "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": back}
 
     return map_texts(docs, id_col, text_col, run, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string")
