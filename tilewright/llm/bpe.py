@@ -252,11 +252,11 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         c, sha = codec(shared.value), lambda b: hashlib.sha256(b).hexdigest()
         counts, coded, back = [], [], []
         for t in texts:
-            got = c.coded(t)
-            ids = [*chain.from_iterable(x for x, _ in got)]
-            counts.append(len(ids))
-            coded.append(sha(",".join([s for _, s in got]).encode()))
-            back.append(sha(c.decode(ids).encode()))
+            pieces = c.coded(t)
+            path = [*chain.from_iterable(x for x, _ in pieces)]
+            counts.append(len(path))
+            coded.append(sha(",".join([s for _, s in pieces if s]).encode()))
+            back.append(sha(c.decode(path).encode()))
         return {"doc_id": pa.array(ids, pa.int64()), "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": back}
 
     return map_texts(docs, id_col, text_col, run, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string")
