@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat
+from . import bpe, chat, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -21,10 +22,31 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit_field(docs)).drop("masked")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_conversations(chat.added_conversation(table(spark, sf_dir, "conversations")))
     return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_automaton, op8_chat_format)}
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = toxicity.rate_documents(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", "toxic", (~F.col("toxic")).alias("kept"), "severity", "grade", "p_toxic")
+
+
+_ALL = (op2_bpe_automaton, op3_quality_trees, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op10_ordinal_toxicity)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
