@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, toxicity
+from . import bpe, chat, embeddings, packing, pii, quality, toxicity
+from ..plans.shipping import shipped
 from .common import table
 
 
@@ -18,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_itq_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -47,6 +52,6 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "toxic", (~F.col("toxic")).alias("kept"), "severity", "grade", "p_toxic")
 
 
-_ALL = (op2_bpe_automaton, op3_quality_trees, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op10_ordinal_toxicity)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op10_ordinal_toxicity)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
