@@ -114,17 +114,25 @@ def bucket_pairs(rows: DataFrame, most: int = 12) -> DataFrame:
     return thinned.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "t int, k long, a long, b long")
 
 
-def link(payload: DataFrame, in_pairs: Callable, in_blocks: Callable, data: list[str], most: int = 12, block_rows: int = 1024, weight: str | None = None, block_weight: int = 1) -> tuple[DataFrame, DataFrame]:
+def link(payload: DataFrame, in_pairs: Callable, in_blocks: Callable, data: list[str], most: int = 12, block_rows: int = 1024, weight: str | None = None, block_weight: int = 1, lazily: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Which of the candidates are linked, counted and joined up, without a row for each pair of a large bucket.
 
     payload: id long, copies long (what a link to this id counts), keys array<long>, and the columns in `data`. in_pairs(a, b) and
     in_blocks(a, b) get the data of two sides as lists of columns and say for each pair of rows, or for each row of a against each row of b,
     whether they are linked. Returns rows (id, links), to be summed by id, and edges (a, b) that join what is linked.
 
+    lazily: gives the columns in `data` by id for a frame of ids, where payload doesn't hold them; only candidates are asked for.
+
     A pair that meets in several buckets counts in the first t where its keys agree, whether that bucket is small or large.
     """
     every = ["id", "copies", "keys", *data]
     found = cut(bucket_pairs(payload, most))
+    hot = found.where("a is null").select("t", "k").distinct()
+    spots = payload.select("id", *([weight] if weight else []), F.posexplode("keys").alias("t", "k")).join(hot, ["t", "k"])
+    if lazily is not None:
+        spots = cut(spots)
+        in_play = found.where("a is not null").select(F.explode(F.array("a", "b")).alias("id")).unionByName(spots.select("id")).distinct()
+        payload = cut(payload.select("id", "copies", "keys").join(lazily(in_play), "id"))
     small = found.where("a is not null").groupBy("a", "b").agg(F.min("t").alias("t"))
     side = lambda c: payload.select(F.col("id").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in every[1:]))
     small = small.join(side("a"), "a").join(side("b"), "b").select("t", "a", *(f"a_{n}" for n in every[1:]), "b", *(f"b_{n}" for n in every[1:]))
@@ -139,8 +147,6 @@ def link(payload: DataFrame, in_pairs: Callable, in_blocks: Callable, data: list
             yield pa.RecordBatch.from_arrays([c.take(pa.array(ok)) for c in (x[0], x[1], y[0], y[1])], names=["a", "a_copies", "b", "b_copies"])
 
     close = small.mapInArrow(check, "a long, a_copies long, b long, b_copies long")
-    hot = found.where("a is null").select("t", "k").distinct()
-    spots = payload.select("id", *([weight] if weight else []), F.posexplode("keys").alias("t", "k")).join(hot, ["t", "k"])
     meet = blocks(spots, block_rows, weight, block_weight).select("t", "k", "i", "j", "own", "id")
     meet = meet.join(payload.select(*every), "id").select("t", "k", "i", "j", "own", *every).repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "own", "id")
 
