@@ -19,6 +19,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,34 +92,63 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]]
     return runs
 
 
+#: The pre-split pattern of the vocabulary and its mark of a word's end; below LIMIT lower-casing goes letter by letter and
+#: normal forms don't matter.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+LIMIT = "\u0130"
+
+
 class ChunkEncoder:
-    """Ids of a text from the tokenizers library, chunk by chunk.
+    """Ids of a text from the tokenizers library, each word only once.
 
     The vocabulary's normalizer turns white space into single spaces and its pre-splitter drops them, so a text's ids are those of its
-    chunks between spaces and line breaks; chunks met before are looked up. The memory of chunks is bounded.
+    chunks between spaces and line breaks, one after the other, and a chunk's ids those of its pre-split words. Chunks and words met before
+    are looked up (the memory of them is bounded); the new words of a text go to the library in one call, whose ids are parted where words
+    end. Chunks with letters from LIMIT on, or that may hold a special token, go to the library as they are.
     """
 
-    def __init__(self, content: str, most_chunks: int = 400_000):
+    def __init__(self, content: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.chunks = most_chunks, {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        parts = text.replace("\n", " ").split(" ")
-        known = self.chunks
-        new = list({p for p in parts if p not in known})
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.most, self.chunks, self.words, self.find = most, {}, {}, regex.compile(SPLIT).findall
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out = []
+        for at in range(0, len(texts), 32):
+            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 32]]
+            self.learn(set().union(*parts))
+            known = self.chunks.__getitem__
+            out += [b"".join(map(known, ps)) for ps in parts]
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
+        chunks, words, find, split, new = self.chunks, self.words, self.find, [], set()
+        for p in parts.difference(chunks):
+            if (p.isascii() or max(p) < LIMIT) and "<|" not in p:
+                ws = find(p.lower())
+                split.append((p, ws))
+                new.update(ws)
+            else:
+                chunks[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        new = list(new.difference(words))
         if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(parts))
-            for at in range(0, len(new), 4096):
-                for p, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
+            words.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:])]))
+        for p, ws in split:
+            chunks[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -141,8 +171,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
         for batch in batches:
             for part in split_batch(batch, 1):
                 out = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encoder(shared.value).encode(text or "") + end
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), encoder(shared.value).encode(texts)):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
                         out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
