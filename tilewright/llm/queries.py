@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, packing, pii, quality, shingles, toxicity
+from . import bpe, chat, embeddings, lines, packing, pii, quality, shingles, toxicity
 from ..plans.shipping import shipped
 from .common import table
 
@@ -32,6 +32,10 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,6 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "toxic", (~F.col("toxic")).alias("kept"), "severity", "grade", "p_toxic")
 
 
-_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op10_ordinal_toxicity)
+_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op10_ordinal_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
