@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, lines, packing, pii, quality, shingles, toxicity
+from . import bpe, chat, embeddings, lines, packing, passages, pii, quality, shingles, toxicity
 from ..plans.shipping import shipped
 from .common import table
 
@@ -54,12 +54,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history")
 
 
+def op9_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = toxicity.rate_documents(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return rated.select("doc_id", "toxic", (~F.col("toxic")).alias("kept"), "severity", "grade", "p_toxic")
 
 
-_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op10_ordinal_toxicity)
+_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op9_collinear_chains, op10_ordinal_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
