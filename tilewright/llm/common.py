@@ -50,6 +50,18 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, lis
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of key, from narrow rows (pass ids, not texts).
+
+    Rows whose hash is too large to be among them are left out where they are, so that what meets in one task doesn't grow with the table.
+    """
+    space = 1 << 40
+    h = F.pmod(F.xxhash64(key), F.lit(space))
+    n = rows.count()
+    below = space if n <= 2 * most else int(space * (most + 8 * most**0.5 + 16) / n)
+    return rows.where(h < F.lit(below)).orderBy(h, key).limit(most)
+
+
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hashed_sample
 from .graph import components, link
 
 
@@ -71,14 +71,14 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
     Vectors are linked if their labels are equal and not null and their cosine is at least `cosine`. Null vectors, zero vectors and those with
     null or non-finite components, and vectors with a null label, link with nothing; so do vectors of different lengths. Equal vectors of a
     label count as rows each but are compared once. Repeated rows are rows of their own: each counts as a link of the others. An empty table
-    gives an empty one; other columns are ignored. The sample is the vectors with the smallest hashes of their id.
+    gives an empty one; other columns are ignored. The sample is max_train_rows vectors, by a hash.
     """
     flat = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).alias("label"))
     good = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     flat = flat.withColumn("v", F.when(good, F.col("v")))
     classes = flat.where("v is not null").groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "label", "v", "copies", "first"))
-    picked = classes.select("first", "v").orderBy(F.xxhash64("first"), "first").limit(max_train_rows).toArrow()
+    picked = classes.join(F.broadcast(hashed_sample(classes.select("id"), "id", max_train_rows)), "id").select("first", "v").toArrow().sort_by("first")
     sizes = {len(x) for x in picked.column("v").to_pylist()}
     n = classes.count()
     alone = flat.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import hashed_sample, map_texts
 
 #: The kinds in the order of the result (the first four have base patterns), and the patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -124,20 +124,21 @@ def fit_field(docs: DataFrame, max_train_rows: int = 2_000) -> Field:
     Unary weights by regularised maximum entropy; the chain by counts of neighbouring labels against independence; the skip potential by how
     often equal candidates of a document have equal labels.
     """
-    rows = docs.where(F.col("text").rlike("[0-9@+]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
+    picked = hashed_sample(docs.where(F.col("text").rlike("[0-9@+]") & F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", max_train_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id")
 
     def run(batches):
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
-                found = candidates(t)[:2_000]
+                found = candidates(t)
                 labels = training_labels(t, base_spans(t), found)
                 out.append(([f for a, b in found for f in [*features(t, a, b), -1]], labels, [hash_token(t[a:b]) for a, b in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["f", "y", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), *(pa.array([o[i] for o in out], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64())))], names=["doc_id", "f", "y", "token"])
 
     k = len(LABELS)
     xs, ys, trans, same = [], [], np.full((k, k), 1.0), [1.0, 1.0]
-    for r in rows.select("text").mapInArrow(run, "f array<int>, y array<int>, token array<long>").toArrow().to_pylist():
+    for r in rows.select("text", "doc_id").mapInArrow(run, "doc_id long, f array<int>, y array<int>, token array<long>").toArrow().sort_by("doc_id").to_pylist():
         groups: list[list[int]] = [[]]
         for f in r["f"]:
             if f < 0:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import hashed_sample, map_texts
 
 #: Fixed values of the base rules: the symbols that are counted, the fewest words, and the largest share of repeated words in percent.
 SYMBOLS = b"#*$%&|<>"
@@ -178,7 +178,8 @@ def _flat(nodes: list, roots: list, depth: int, start: float) -> Forest:
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """The labelled documents with the smallest hashes of doc_id, `most` at most: doc_id, text, y. Null labels and ids are left out."""
-    picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    picked = hashed_sample(known, "doc_id", most)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 

@@ -6,7 +6,6 @@ grades above 0 come from what share of a toxic text's features are marked ones (
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -24,6 +23,14 @@ GRADES = 4
 PREFIXES = (4, 5, 6, 7)
 
 
+DENSE, TOP = 50.0, 2.0
+
+
+def density(count, n_words):
+    """A feature's value: its occurrences per DENSE words, TOP at most; toxic texts hold marked words all along, others one by chance."""
+    return np.minimum(TOP, DENSE * count / np.maximum(n_words, 1))
+
+
 def features_of(word: str) -> list[str]:
     """The word, and its beginnings, each with a star."""
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
@@ -41,9 +48,10 @@ class OrdinalModel:
     cut_at: float  # rejected from this probability of a grade above 0 on
 
     def linear(self, text: str, known: dict[str, tuple[str, ...]], most: int = 500_000) -> float:
-        """w . x, where x is 1 + log(count) of each feature the model knows; known: the features of words met before."""
+        """w . x, where x has the density of each feature the model knows; known: the features of words met before."""
         counts: dict[str, int] = {}
-        for w in words_of(text):
+        words = words_of(text)
+        for w in words:
             got = known.get(w)
             if got is None:
                 if len(known) >= most:
@@ -51,14 +59,14 @@ class OrdinalModel:
                 got = known[w] = tuple(f for f in features_of(w) if f in self.weights)
             for f in got:
                 counts[f] = counts.get(f, 0) + 1
-        return sum(self.weights[f] * (1 + math.log(counts[f])) for f in sorted(counts))
+        return sum(self.weights[f] * min(TOP, DENSE * counts[f] / len(words)) for f in sorted(counts))
 
     def above(self, linear: np.ndarray) -> np.ndarray:
         """P(grade > j) for each threshold, by row."""
         return 1 / (1 + np.exp(-np.clip(linear[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, grades: int = GRADES, l2: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, grades: int = GRADES, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient steps (Adam) on the mean log loss of the cumulative links with a ridge; x by (row, column, value)."""
     n = len(grade)
     w, share = np.zeros(n_features), np.array([(grade > j).mean() for j in range(grades - 1)]).clip(1e-4, 1 - 1e-4)
@@ -101,24 +109,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_00
             yield pa.RecordBatch.from_arrays([pa.array([[*c] for c in out], pa.list_(pa.string())), pa.array([[*c.values()] for c in out], pa.list_(pa.int32())), b.column(1), b.column(2)], names=["words", "counts", "y", "doc_id"])
 
     t = got.select("text", "y", "doc_id").mapInArrow(run, "words array<string>, counts array<int>, y int, doc_id long").toArrow().sort_by("doc_id")
-    y = np.array(t.column("y").to_pylist(), np.int64)
+    y = t.column("y").to_numpy().astype(np.int64)
     if not len(y) or y.min() == y.max():
         return None
     words, counts = t.column("words").combine_chunks(), t.column("counts").combine_chunks()
     rows = np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
     coded = words.flatten().dictionary_encode()
+    n_words = np.bincount(rows, counts.flatten().to_numpy(), len(y))
     word_at, counts, vocabulary = coded.indices.to_numpy(), counts.flatten().to_numpy(), coded.dictionary
     length = pc.utf8_length(vocabulary).to_numpy()
-    names, parts, base = [], [], 0
+    kept, parts, base = [], [], 0
     for k in (None, *PREFIXES):
         kinds = vocabulary.dictionary_encode() if k is None else pc.utf8_slice_codeunits(vocabulary, 0, k).dictionary_encode()
         use = length[word_at] > (k or 0)
         pair, at = np.unique(rows[use] * len(kinds.dictionary) + kinds.indices.to_numpy()[word_at[use]], return_inverse=True)
-        parts.append((pair // len(kinds.dictionary), pair % len(kinds.dictionary) + base, np.bincount(at, counts[use], len(pair))))
-        names += [f"{x}*" if k else x for x in kinds.dictionary.to_pylist()]
-        base = len(names)
+        parts.append(((pair // len(kinds.dictionary)).astype(np.int32), (pair % len(kinds.dictionary) + base).astype(np.int32), np.bincount(at, counts[use], len(pair)).astype(np.float32)))
+        kept.append((base, k, kinds.dictionary))
+        base += len(kinds.dictionary)
     rows, cols, counts = (np.concatenate(x) for x in zip(*parts))
-    bad, all_ = np.bincount(cols, y[rows], len(names)), np.bincount(cols, minlength=len(names))
+    del parts, words, coded, word_at, t
+    bad, all_ = np.bincount(cols, y[rows], base), np.bincount(cols, minlength=base)
     n_bad, n_ok = y.sum(), len(y) - y.sum()
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((all_ - bad + 0.5) / (n_ok + 1))
     spread = odds / np.sqrt(1 / (bad + 0.5) + 1 / (all_ - bad + 0.5))
@@ -129,16 +139,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_00
     rate = np.bincount(rows, counts * marked[cols], len(y)) / np.maximum(np.bincount(rows, counts, len(y)), 1)
     edges = np.quantile(rate[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (rate > edges[0]).astype(int) + (rate > edges[1]), 0)
-    place = np.full(len(names), -1)
+    names = [f"{kind[i - low].as_py()}*" if k else kind[i - low].as_py() for i in pick.tolist() for low, k, kind in [next(x for x in reversed(kept) if x[0] <= i)]]
+    place = np.full(base, -1)
     place[pick] = np.arange(len(pick))
     use = place[cols] >= 0
-    rows, cols, x = rows[use], place[cols[use]], 1 + np.log(counts[use])
+    rows, cols, x = rows[use], place[cols[use]], density(counts[use], n_words[rows[use]])
     held = np.arange(len(y)) % 5 == 0  # a fifth sets the cut
     mine = ~held[rows]
     w, theta = fit_ordinal((np.cumsum(~held) - 1)[rows[mine]], cols[mine], x[mine], grade[~held], len(pick))
     cut_at = best_cut(1 / (1 + np.exp(theta[0] - np.bincount(rows, x * w[cols], len(y))[held])), y[held] == 1)
     w, theta = fit_ordinal(rows, cols, x, grade, len(pick))
-    return OrdinalModel({names[int(i)]: float(v) for i, v in zip(pick, w)}, theta, cut_at)
+    return OrdinalModel({n: float(v) for n, v in zip(names, w)}, theta, cut_at)
 
 
 def best_cut(p: np.ndarray, bad: np.ndarray) -> float:
