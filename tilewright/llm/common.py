@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables in the shared folder, for what is read more than once; drop() removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
+BITMAP = 1 << 24
+
+
+def bitmap_of(rows: DataFrame, key: str) -> np.ndarray:
+    """BITMAP bits (2 MB, however many rows), set at the hashes of a long column: a row whose bit isn't set is surely not among rows."""
+    slot = rows.select(F.pmod(F.xxhash64(key), F.lit(BITMAP)).alias("slot"))
+    parts = slot.selectExpr("cast(slot div 32 as int) at", "shiftleft(1L, cast(slot % 32 as int)) v").groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
+    bitmap = np.zeros(BITMAP // 32, np.uint32)
+    bitmap[parts.column("at").to_numpy()] = parts.column("v").to_numpy().astype(np.uint32)
+    return bitmap
+
+
+def maybe_in(bitmap: np.ndarray, key: str) -> Column:
+    """Whether a row's bit is set: all rows that bitmap_of() saw, and few others. False for a null."""
+    shared = SparkSession.active().sparkContext.broadcast(bitmap)
+
+    def run(slots):
+        at = slots.to_numpy()
+        return pd.Series((shared.value[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool))
+
+    return F.col(key).isNotNull() & pandas_udf(run, "boolean")(F.pmod(F.xxhash64(key), F.lit(BITMAP)))
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, list], dict], schema: str) -> DataFrame:
     """Apply fn(ids, texts) to Arrow batches of the two columns; null texts arrive as the empty string.
 

@@ -22,14 +22,14 @@ class WordHashes:
     def __init__(self, most: int = 500_000):
         self.most, self.known = most, {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         known = self.known
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             if len(known) > self.most:
                 known.clear()
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) if w not in known)
+            known.update((w, xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))) for w in set(words).difference(known))
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
