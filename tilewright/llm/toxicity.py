@@ -7,6 +7,7 @@ grades above 0 come from what share of a toxic text's features are marked ones (
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,6 +185,7 @@ def rate_documents(docs: DataFrame, model: OrdinalModel | None, text_col: str =
     Rows are rated each for itself: nulls and empty texts are not toxic, repeated rows are rated alike, an empty table stays empty. Columns
     of docs with one of these four names are replaced.
     """
-    rated = docs.drop("severity", "grade", "p_toxic", "toxic").withColumn("_severity", severity(F.col(text_col), model))
+    own = f"severity_{uuid.uuid4().hex}"  # no column of docs has such a name
+    rated = docs.drop("severity", "grade", "p_toxic", "toxic").withColumn(own, severity(F.col(text_col), model))
     cut_at = model.cut_at if model else 2.0
-    return rated.select("*", "_severity.*").drop("_severity").withColumn("toxic", F.col("p_toxic") >= cut_at)
+    return rated.select("*", f"{own}.*").drop(own).withColumn("toxic", F.col("p_toxic") >= cut_at)
