@@ -18,7 +18,7 @@ def class_targets(rows: DataFrame, cls: str, per_class: int, most: int) -> DataF
     counts = rows.where(F.col(cls).isNotNull() & (F.col(cls) != "") & ~F.col(cls).rlike("^[0-9]+$")).groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
     raw = counts.withColumn("raw", F.least("n", F.lit(per_class)).cast("long"))
     all_ = Window.partitionBy()  # a row per class
-    part = raw.withColumn("total", F.sum("raw").over(all_)).withColumn("low", F.when(F.col("total") > most, F.floor(F.col("raw") * most / F.col("total"))).otherwise(F.col("raw")))
+    part = raw.withColumn("total", F.sum("raw").over(all_))
     part = part.withColumn("low", F.when(F.col("total") > most, F.expr(f"raw * {most} div total")).otherwise(F.col("raw"))).withColumn("rest", F.when(F.col("total") > most, F.expr(f"raw * {most} % total")).otherwise(F.lit(0)))
     ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), F.asc(cls)))).withColumn("left", F.least(F.lit(most), "total") - F.sum("low").over(all_))
     return ranked.select(cls, "n", (F.col("low") + (F.col("rank") <= F.col("left")).cast("long")).alias("target"))
