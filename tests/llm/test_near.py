@@ -217,3 +217,13 @@ def test_toxicity_edges(spark):
     assert len(got) == 83 and all(r["toxic"] == (r["doc_id"] < 80 and r["doc_id"] % 2 == 0) for r in got)
     assert toxicity.fit_toxicity(docs, labels.limit(0)) is None and not any(r["toxic"] for r in toxicity.rate_documents(docs, None).collect())
     assert toxicity.rate_documents(docs.limit(0), None).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["Abc", "abc", " ", "\n", ", ", "É", "x9", "-", "longword", "longwords"]), max_size=14).map("".join), min_size=1, max_size=5), st.integers(1, 3))
+def test_sketches_of_lines(texts, least):
+    text, number, h, first, sims = lines.sketch_lines(texts, least)
+    want = [(i, k, tuple(w)) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(w := lines.normalised(line)) >= least]
+    assert list(zip(text.tolist(), number.tolist())) == [(i, k) for i, k, _ in want]
+    assert len(set(h.tolist())) == len({w for _, _, w in want}) == len({(x, w) for x, (_, _, w) in zip(h.tolist(), want)}) == len(sims)
+    assert sorted(h[first].tolist()) == sorted(set(h.tolist()))
