@@ -227,3 +227,14 @@ def test_sketches_of_lines(texts, least):
     assert list(zip(text.tolist(), number.tolist())) == [(i, k) for i, k, _ in want]
     assert len(set(h.tolist())) == len({w for _, _, w in want}) == len({(x, w) for x, (_, _, w) in zip(h.tolist(), want)}) == len(sims)
     assert sorted(h[first].tolist()) == sorted(set(h.tolist()))
+
+
+def test_lines_at_the_threshold_are_linked(spark):
+    """Pairs at an edit similarity of 0.8 exactly, their edits spread evenly, which leaves the fewest pairs of words."""
+    rng = random.Random(12)
+    docs = []
+    for d in range(300):
+        line = [f"w{rng.randint(0, 10**7)}" for _ in range((5, 10, 20, 40)[d % 4])]
+        docs += [(2 * d, " ".join(line)), (2 * d + 1, " ".join(f"e{rng.randint(0, 10**7)}" if i % 5 == 2 else w for i, w in enumerate(line)))]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[2 * d + 1] for d in range(300)) >= 290 and not any(got[2 * d] for d in range(300))

@@ -58,7 +58,8 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 def bucket_pairs(rows: DataFrame, most: int = 12) -> DataFrame:
     """From rows (id long, keys array<long>), where ids that share keys[t] lie in bucket (t, keys[t]): the pairs (t, k, a, b), a < b, of each
-    bucket of up to `most` ids, and for a larger bucket one row with null a and b, for a method that splits it.
+    bucket of up to `most` ids, and for a larger bucket one row with null a and b, for a method that splits it. An id with the same keys may
+    come in several rows.
 
     Rows are thinned where they are: of a bucket, a batch passes on most + 1 ids at most, enough to show that it is large. The rest is dealt
     out by bucket and sorted; a bucket is read as a run, and of a large one most + 1 rows at a time are held.
@@ -72,9 +73,11 @@ def bucket_pairs(rows: DataFrame, most: int = 12) -> DataFrame:
             if not len(k):
                 continue
             i, t = np.repeat(ids, size), np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
-            order = np.lexsort((k, t))
+            order = np.lexsort((i, k, t))
+            again = (np.diff(t[order]) == 0) & (np.diff(k[order]) == 0) & (np.diff(i[order]) == 0)
+            order = order[np.concatenate([[True], ~again])]
             first = np.flatnonzero(np.concatenate([[True], (np.diff(k[order]) != 0) | (np.diff(t[order]) != 0)]))
-            order = order[np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k)))) <= most]
+            order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) <= most]
             yield pa.RecordBatch.from_arrays([pa.array(t[order].astype(np.int32)), pa.array(k[order]), pa.array(i[order])], names=["t", "k", "id"])
 
     def run(batches):
@@ -84,6 +87,8 @@ def bucket_pairs(rows: DataFrame, most: int = 12) -> DataFrame:
             t, k, i = [np.concatenate(x) for x in zip(held, new)] if held else new
             if not len(t):
                 continue
+            new_row = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (i[1:] != i[:-1])])
+            t, k, i = t[new_row], k[new_row], i[new_row]
             starts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
             last = int(starts[-1])
             yield from pairs(t[:last], k[:last], i[:last], starts[:-1])
@@ -111,7 +116,7 @@ def bucket_pairs(rows: DataFrame, most: int = 12) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tt.astype(np.int32)), pa.array(kk), pa.array(low, mask=skip), pa.array(high, mask=skip)], names=["t", "k", "a", "b"])
 
     thinned = rows.select("id", "keys").mapInArrow(thin, "t int, k long, id long")
-    return thinned.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "t int, k long, a long, b long")
+    return thinned.repartition("t", "k").sortWithinPartitions("t", "k", "id").mapInArrow(run, "t int, k long, a long, b long")
 
 
 def link(payload: DataFrame, in_pairs: Callable, in_blocks: Callable, data: list[str], most: int = 12, block_rows: int = 1024, weight: str | None = None, block_weight: int = 1, lazily: Callable | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group."""
+"""Fuzzy line dedup: MinHash bands over word pairs for candidates, SimHash to prune them, edit similarity, one occurrence per connected group."""
 
 from __future__ import annotations
 
@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, bitmap_of, cut, maybe_in, split_batch
+from .common import Scratch, bitmap_of, cut, free_shuffles, maybe_in, split_batch
 from .graph import blocks, bucket_pairs, components, runs_of
-from .shingles import _MIX, WordHashes, mixed
+from .shingles import _MIX, MinHash, WordHashes, mixed, plan_bands
 
 _WORDS = re.compile(rb"[a-z0-9\x80-\xff]+").findall
 #: Of each byte of a lower-cased text, whether it belongs to a word.
 _INSIDE = np.array([48 <= c <= 57 or 97 <= c <= 122 or c > 127 for c in range(256)])
-TABLES, WORDS64 = 10, 4  # blocks of a SimHash, and its length in 64-bit words
+WORDS64 = 4  # length of a SimHash in 64-bit words
 BITS = 64 * WORDS64
 #: Of each byte, its bits as eight lanes of a byte, so that words are counted eight bits at a time.
 _LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).copy().view(np.uint64).ravel()
@@ -41,12 +41,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def sketch_lines(texts: list[str], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines of the texts with enough words: text, line number and hash; and the first place of each hash among them, with its SimHash.
+def sketch_lines(texts: list[str], least_words: int, bands: LineBands | None = None) -> tuple[np.ndarray, ...]:
+    """Of all lines of the texts with enough words: text, line number and hash; and the first place of each hash among them, with its SimHash
+    and, if bands are given, its band keys and whether it has any.
 
     All texts are one array of bytes: words are found by comparing neighbours, and hashed as differences of a running sum of bytes times
-    powers. A SimHash is made of a line's words of more than four bytes, once each, as lines share their short words with all others; if
-    there are fewer than four of those, of all its words.
+    powers. A SimHash is made of all of a line's words, each occurrence of a word counting as another one: lines at an edit similarity then
+    have at least that cosine.
     """
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     per_text = np.array([r.count(b"\n") + 1 for r in raw])
@@ -70,18 +71,70 @@ def sketch_lines(texts: list[str], least_words: int) -> tuple[np.ndarray, np.nda
     number = (np.arange(int(per_text.sum())) - np.repeat(np.cumsum(per_text) - per_text, per_text))[some].astype(np.int32)
     _, first = np.unique(h, return_index=True)
     if not len(first):
-        return text, number, h, first, np.zeros((0, WORDS64), np.uint64)
+        none = np.zeros((0, WORDS64), np.uint64)
+        return (text, number, h, first, none) if bands is None else (text, number, h, first, none, np.zeros((0, bands.minhash.bands), np.uint32), np.zeros(0, bool))
     place = np.full(len(counts), -1)
     place[some[first]] = np.arange(len(first))
-    long = size > 4
-    enough = np.bincount(line, long, len(counts)) > 3
-    use = (place[line] >= 0) & (long | ~enough[line])
-    at, hashes = place[line[use]], word[use]
-    order = np.lexsort((hashes, at))
-    at, hashes = at[order], hashes[order]
-    once = np.concatenate([[True], (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])])
-    at, hashes = at[once], hashes[once]
-    return text, number, h, first, simhashes(hashes, np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])))
+    use = place[line] >= 0
+    owner, hashes = line[use], word[use]  # the words of a line lie together
+    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    at = place[owner[head]]
+    order = np.argsort(at)
+    sims = np.empty((len(first), WORDS64), np.uint64)
+    sims[at] = simhashes(occurrences(hashes, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(hashes))))), head)
+    if bands is None:
+        return text, number, h, first, sims
+    keys, has = bands.keys(hashes, head)
+    return text, number, h, first, sims, keys[order], has[order]
+
+
+def occurrences(items: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Each owner's items (owners ascend), with the second, third ... of equal ones made different: multisets as sets. Within an owner, sorted."""
+    order = np.lexsort((items, owner))
+    items, owner = items[order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])]))
+    nth = np.arange(len(items)) - np.repeat(head, np.diff(np.append(head, len(items))))
+    return np.where(nth > 0, mixed(items + nth.astype(np.uint64) * _MIX), items)
+
+
+class LineBands:
+    """MinHash band keys of lines, planned for a recall at the edit similarity itself, whatever the number of lines.
+
+    If d edits part two lines, the longer of n words, their multisets of word pairs (with a mark before the first and after the last word)
+    share n + 1 - 2d at least, of n + 1 + 2d at most: at similarity s a Jaccard similarity of (2s - 1) / (3 - 2s) or more, wherever the
+    edits fall. At s of a half or less single words do, with s / (2 - s). Lines so short that one edit takes them below s have no keys.
+    """
+
+    def __init__(self, up: int, down: int, recall: float, least_words: int):
+        s = up / down
+        self.pairs = 2 * up > down
+        self.minhash = MinHash(*plan_bands((2 * s - 1) / (3 - 2 * s) if self.pairs else s / (2 - s), recall), seed=4)
+        self.least = max(1, least_words, -(-up // (down - up)) if down > up else 1 << 62)
+
+    def keys(self, words: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the runs of words that begin at head: a 32-bit key per band (equal by chance only adds candidates), and whether it has any."""
+        n = np.diff(np.append(head, len(words)))
+        has = n >= self.least
+        out = np.zeros((len(head), self.minhash.bands), np.uint32)
+        if not has.any():
+            return out, has
+        words, n = words[np.repeat(has, n)], n[has]
+        owner = np.repeat(np.arange(len(n)), n)
+        if self.pairs:
+            slot = np.arange(len(words)) + owner  # one more slot a line
+            left, right = np.full(len(words) + len(n), 1, np.uint64), np.full(len(words) + len(n), 2, np.uint64)
+            right[slot], left[slot + 1] = words, words
+            left[np.cumsum(n + 1) - n - 1] = 1
+            words, n = mixed(left * _MIX + right), n + 1
+            owner = np.repeat(np.arange(len(n)), n)
+        items, starts = mixed(occurrences(words, owner)), np.cumsum(n) - n
+        m = self.minhash
+        for band in range(m.bands):
+            key = np.zeros(len(n), np.uint64)
+            for j in range(band * m.rows, (band + 1) * m.rows):
+                key = mixed(key * _MIX + np.minimum.reduceat(items * m.mul[j] + m.add[j], starts))
+            out[has, band] = (key >> np.uint64(32)).astype(np.uint32)
+        return out, has
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -100,12 +153,6 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
-def block_keys(sims: np.ndarray, width: int) -> np.ndarray:
-    """The first TABLES blocks of `width` bits of each SimHash."""
-    bits = np.unpackbits(sims.view(np.uint8), axis=1, bitorder="little")[:, : TABLES * width].reshape(len(sims), TABLES, width)
-    return bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
-
-
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, by bit vectors in whole numbers."""
     while a and b and a[0] == b[0] and a[-1] == b[-1]:
@@ -146,39 +193,40 @@ def hamming_bound(similarity: float) -> int:
     return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
 
 
-def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and lines (array<int>, the numbers of its lines that go) of each document that loses lines.
 
     Lines (between line feeds) are compared without case, ASCII punctuation and spacing. Two are linked if their edit similarity over words, 1 -
     distance / longer length, is at least similarity (a fraction); of each connected group only the first occurrence, by doc_id and line
-    number, stays. Lines of fewer than least_words words always stay. Equal lines always meet; others if their SimHashes agree in one of the
-    blocks, whose width follows from the number of distinct lines. Rows with a null doc_id are left out; rows of one doc_id are taken as one
+    number, stays. Lines of fewer than least_words words always stay. Equal lines always meet; others, with a probability of recall
+    at least if they are just at the similarity, if one of their MinHash bands agrees (LineBands). Rows with a null doc_id are left out; rows of one doc_id are taken as one
     document; null texts have no lines.
     """
     up, down = similarity
-    near = hamming_bound(up / down)
+    near, bands = hamming_bound(up / down), LineBands(up, down, recall, least_words)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def sketch(batches):
         for batch in batches:
             for part in split_batch(batch, 1, 1 << 20):
-                doc, no, h, first, sims = sketch_lines([t or "" for t in part.column(1).to_pylist()], least_words)
-                sim = np.full(len(h), None)
+                doc, no, h, first, sims, band, has = sketch_lines([t or "" for t in part.column(1).to_pylist()], least_words, bands)
+                sim, keys = np.full(len(h), None), np.full(len(h), None)
                 sim[first] = [s.tobytes() for s in sims]
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(doc)), pa.array(no), pa.array(sim, pa.binary())], names=["h", "doc_id", "line", "sim"])
+                keys[first[has]] = [k.tobytes() for k in band[has]]
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(doc)), pa.array(no), pa.array(sim, pa.binary()), pa.array(keys, pa.binary())], names=["h", "doc_id", "line", "sim", "keys"])
 
     scratch = Scratch(docs.sparkSession)
-    lines = scratch.table(texts.mapInArrow(sketch, "h long, doc_id long, line int, sim binary"))
+    lines = scratch.table(texts.mapInArrow(sketch, "h long, doc_id long, line int, sim binary, keys binary"))
     distinct = scratch.table(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("sim").alias("sim")))
-    width = min(BITS // TABLES, max(12, math.ceil(math.log2(max(2, distinct.count()))) + 1))
 
     def keyed(batches):
         for b in batches:
-            keys = block_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, WORDS64), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), TABLES).cast(pa.list_(pa.int64()))], names=["id", "keys"])
+            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), bands.minhash.bands).cast(pa.list_(pa.int64()))], names=["id", "keys"])
 
-    keys = distinct.select("h", "sim").mapInArrow(keyed, "id long, keys array<long>")
+    keys = lines.where("keys is not null").select("h", "keys").mapInArrow(keyed, "id long, keys array<long>")  # a line may come several times
     found = cut(bucket_pairs(keys))
+    free_shuffles(docs.sparkSession)
     sims = distinct.select(F.col("h").alias("id"), "sim")
     side = lambda d, c: d.select(F.col("id").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in d.columns if n != "id"))
     close = found.where("a is not null").select("a", "b").distinct().join(side(sims, "a"), "a").join(side(sims, "b"), "b")
@@ -191,7 +239,7 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
 
     close = cut(close.select("a", "b", "a_sim", "b_sim").mapInArrow(prune, "a long, b long"))
     hot = found.where("a is null").select("t", "k").distinct()
-    spots = cut(keys.select("id", F.posexplode("keys").alias("t", "k")).join(hot, ["t", "k"]))
+    spots = cut(keys.select("id", F.posexplode("keys").alias("t", "k")).join(hot, ["t", "k"]).distinct())
     in_play = cut(close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(spots.select("id")).distinct())
     content = cut(_contents(texts, distinct.select(F.col("h").alias("id"), "first").join(in_play, "id")))
 
