@@ -238,3 +238,14 @@ def test_lines_at_the_threshold_are_linked(spark):
         docs += [(2 * d, " ".join(line)), (2 * d + 1, " ".join(f"e{rng.randint(0, 10**7)}" if i % 5 == 2 else w for i, w in enumerate(line)))]
     got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum(got[2 * d + 1] for d in range(300)) >= 290 and not any(got[2 * d] for d in range(300))
+
+
+def test_short_and_unspaced_lines_repeat_too(spark, tmp_path):
+    from tilewright.llm.queries import op4_line_dedup
+
+    line = "\u672c\u30b5\u30a4\u30c8\u306e\u6587\u7ae0\u306e\u7121\u65ad\u8ee2\u8f09\u3092\u7981\u3058\u307e\u3059\u3002"
+    docs = [(0, f"Read more\n{line}\nMenu\n\n---"), (1, f"menu!\nother words\n{line}\n\n---"), (2, f"READ more\n{line.replace(line[4], line[0])}\nwords other")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, docs[0][1]), 1: (2, "other words\n\n---"), 2: (2, "words other")}
+    assert lines.normalised("Abc \u4e2d\u6587x") == [b"abc", "\u4e2d".encode(), "\u6587".encode(), b"x"]

@@ -25,9 +25,21 @@ BITS = 64 * WORDS64
 _LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).copy().view(np.uint64).ravel()
 
 
+#: Characters of scripts written without spaces (Thai, Lao, Burmese, Khmer, Chinese, Japanese) and their punctuation.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3000-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\uff61-\uff9f\U00020000-\U0003ffff])")
+
+
+def lowered(text: str) -> bytes:
+    """A text in lower case, with spaces around each character of scripts that have none: each is a word."""
+    raw = (low := text.lower()).encode("utf-8", "surrogatepass")
+    if np.frombuffer(raw, np.uint8).max(initial=0) < 0xE0:  # nothing from U+0800 on
+        return raw
+    return _UNSPACED.sub(r" \1 ", low).encode("utf-8", "surrogatepass")
+
+
 def normalised(line: str) -> list[bytes]:
-    """A line's runs of letters, digits and characters beyond ASCII, lower-cased."""
-    return _WORDS(line.lower().encode("utf-8", "surrogatepass"))
+    """A line's runs of letters, digits and characters beyond ASCII, lower-cased; of unspaced scripts, its characters."""
+    return _WORDS(lowered(line))
 
 
 _POWERS: list[np.ndarray] = []
@@ -49,7 +61,7 @@ def sketch_lines(texts: list[str], least_words: int, bands: LineBands | None = N
     powers. A SimHash is made of all of a line's words, each occurrence of a word counting as another one: lines at an edit similarity then
     have at least that cosine.
     """
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = [lowered(t) for t in texts]
     per_text = np.array([r.count(b"\n") + 1 for r in raw])
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     inside = _INSIDE[buf]
@@ -193,13 +205,14 @@ def hamming_bound(similarity: float) -> int:
     return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
 
 
-def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, least_equal: int | None = None, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and lines (array<int>, the numbers of its lines that go) of each document that loses lines.
 
     Lines (between line feeds) are compared without case, ASCII punctuation and spacing. Two are linked if their edit similarity over words, 1 -
     distance / longer length, is at least similarity (a fraction); of each connected group only the first occurrence, by doc_id and line
-    number, stays. Lines of fewer than least_words words always stay. Equal lines always meet; others, with a probability of recall
-    at least if they are just at the similarity, if one of their MinHash bands agrees (LineBands). Rows with a null doc_id are left out; rows of one doc_id are taken as one
+    number, stays. Equal lines of least_equal words or more (least_words if none is given) always meet; lines of fewer stay, as do lines without a word.
+    Of lines of least_words words or more those meet that aren't equal, with a probability of recall at least if they are just at the
+    similarity: if one of their MinHash bands agrees (LineBands). Rows with a null doc_id are left out; rows of one doc_id are taken as one
     document; null texts have no lines.
     """
     up, down = similarity
@@ -209,7 +222,7 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
     def sketch(batches):
         for batch in batches:
             for part in split_batch(batch, 1, 1 << 20):
-                doc, no, h, first, sims, band, has = sketch_lines([t or "" for t in part.column(1).to_pylist()], least_words, bands)
+                doc, no, h, first, sims, band, has = sketch_lines([t or "" for t in part.column(1).to_pylist()], least_words if least_equal is None else least_equal, bands)
                 sim, keys = np.full(len(h), None), np.full(len(h), None)
                 sim[first] = [s.tobytes() for s in sims]
                 keys[first[has]] = [k.tobytes() for k in band[has]]

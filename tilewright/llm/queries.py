@@ -33,7 +33,7 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")
+    return lines.drop_repeats(table(spark, sf_dir, "documents"), least_equal=1).select("doc_id", "n_dropped", "text")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
