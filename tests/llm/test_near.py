@@ -249,3 +249,15 @@ def test_short_and_unspaced_lines_repeat_too(spark, tmp_path):
     got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: (0, docs[0][1]), 1: (2, "other words\n\n---"), 2: (2, "words other")}
     assert lines.normalised("Abc \u4e2d\u6587x") == [b"abc", "\u4e2d".encode(), "\u6587".encode(), b"x"]
+
+
+def test_passage_whose_parts_come_earlier_elsewhere(spark):
+    rng = random.Random(21)
+    docs, want = [], set()
+    for n in range(25):
+        whole, d = words(rng, 60), 5 * n
+        parts = [whole[:30], whole[30:], whole, [*whole[:30], *words(rng, 9), *whole[30:]][:36], whole]
+        docs += [(d + i, " ".join([*words(rng, 40), *p, *words(rng, 40)])) for i, p in enumerate(parts)]
+        want.add((d + 4, d + 2))
+    got = passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert want <= {(r["doc_id"], r["other_id"]) for r in got if r["matched"] >= 60}

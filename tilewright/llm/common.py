@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,15 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in files that outlive any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of what has been cut; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Compute once and cut the lineage, in files that outlive any executor. Its shuffle files go at once; else they stay until the driver
+    happens to collect its garbage."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new frame, which is planned under this setting
+    finally:
+        spark.conf.set(name, before)
 
 
 class Scratch:
