@@ -261,3 +261,17 @@ def test_passage_whose_parts_come_earlier_elsewhere(spark):
         want.add((d + 4, d + 2))
     got = passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert want <= {(r["doc_id"], r["other_id"]) for r in got if r["matched"] >= 60}
+
+
+def test_edited_passages_down_to_the_identity(spark):
+    """Passages of 60 words with 6, 9 and 12 edits, at random and evenly spread."""
+    rng = random.Random(22)
+    docs, kinds = [], [(n, even) for n in (6, 9, 12) for even in (False, True)]
+    for d in range(240):
+        n, even = kinds[d % 6]
+        whole = words(rng, 60)
+        edits = {i * 60 // n + 2 for i in range(n)} if even else set(rng.sample(range(60), n))
+        docs += [(2 * d, " ".join([*words(rng, 60), *whole])), (2 * d + 1, " ".join([*words(rng, 30), *(f"e{rng.randint(0, 10**7)}" if i in edits else w for i, w in enumerate(whole))]))]
+    got = {r["doc_id"] // 2 for r in passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {kind: sum(d in got for d in range(i, 240, 6)) for i, kind in enumerate(kinds)}
+    assert all(n >= 36 for n in found.values()), found
