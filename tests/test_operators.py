@@ -155,3 +155,20 @@ def test_union_by_name_of_files(spark, tmp_path):
     spark.createDataFrame([(1,)], "a int").write.parquet(str(tmp_path / "d/one"))
     spark.createDataFrame([(2, 3)], "a int, b int").write.parquet(str(tmp_path / "d/two"))
     assert sorted(readers.read_parquet(spark, str(tmp_path / "d")).columns) == ["a", "b"]
+
+
+def test_silhouette_of_all_takes_every_row(spark):
+    rng = np.random.default_rng(8)
+    v, c = rng.standard_normal((5200, 2)), rng.integers(0, 3, 5200)
+    v[:, 0] += c
+    c[0] = 7  # alone in its cluster
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    to = np.stack([d[:, c == k].sum(axis=1) / np.maximum(1, (c == k).sum() - (c == k)) for k in (0, 1, 2, 7)], axis=1)
+    mine = np.array([[0, 1, 2, 0, 0, 0, 0, 3][k] for k in c])
+    a = to[np.arange(len(c)), mine]
+    to[np.arange(len(c)), mine] = np.inf
+    b = to.min(axis=1)
+    want = np.where(c == 7, 0, (b - a) / np.maximum(a, b)).mean()
+    rows = spark.createDataFrame([(i, int(k), x.tolist()) for i, (k, x) in enumerate(zip(c, v))], "vec_id long, cluster int, vector array<double>")
+    assert kselect.silhouette_of_all(rows, "vec_id").first()[0] == pytest.approx(want, abs=2e-6)
+    assert kselect.silhouette_of_all(rows, "vec_id", block_rows=1000).first()[0] == pytest.approx(want, abs=2e-6)

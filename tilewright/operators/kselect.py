@@ -36,6 +36,40 @@ def silhouette(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: s
     return ab.agg(F.round(F.avg(one), digits).alias("silhouette"))
 
 
+def silhouette_of_all(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "vector", digits: int = 6, block_rows: int = 4_096) -> DataFrame:
+    """Mean silhouette over all rows: all pairs are compared, a block of rows with another in one task, which gives the sums of distances by cluster.
+
+    Rows whose cluster has no other row, or with no second cluster, count as 0. ids are unique; each row is sent to as many tasks as there are blocks.
+    """
+    n = max(1, -(-rows.count() // block_rows))
+    block = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    own = rows.select(F.col(id_col).cast("long").alias("i"), F.col(cluster).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"))
+    side = lambda which, mine, other: own.select("i", "c", "v", F.lit(which).alias("s"), F.col("b").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other))
+    dealt = side(0, "p", "q").unionByName(side(1, "q", "p"))
+
+    def sums(pdf):
+        import pandas as pd
+
+        x, y = pdf[pdf["s"] == 0], pdf[pdf["s"] == 1].sort_values("c", kind="stable")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i": [], "c": [], "c2": [], "d": [], "n": []})
+        kinds, first, count = np.unique(y["c"].to_numpy(), return_index=True, return_counts=True)
+        to, ids, own_ids, out = np.stack(y["v"].to_numpy()), y["i"].to_numpy(), x["i"].to_numpy(), []
+        for at, v in enumerate(x["v"]):
+            d = np.sqrt(((to - v) ** 2).sum(axis=1))
+            d[ids == own_ids[at]] = 0.0
+            out.append(np.add.reduceat(d, first))
+        left = np.zeros((len(x), len(kinds)), np.int64) + count
+        left -= (x["c"].to_numpy()[:, None] == kinds) & np.isin(own_ids, ids)[:, None]
+        rep = lambda a: np.repeat(a, len(kinds))
+        return pd.DataFrame({"i": rep(own_ids), "c": rep(x["c"].to_numpy()), "c2": np.tile(kinds, len(x)), "d": np.concatenate(out), "n": left.ravel()})
+
+    to = dealt.groupBy("p", "q").applyInPandas(sums, "i long, c long, c2 long, d double, n long").groupBy("i", "c", "c2").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    ab = to.groupBy("i", "c").agg(F.min(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
+    one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return ab.agg(F.round(F.avg(one), digits).alias("silhouette"))
+
+
 def elbow(metrics: DataFrame, by: str = "model") -> DataFrame:
     """Per model the k after which the inertia's second difference is largest (first of equals); with fewer than three points the first k."""
     w = Window.partitionBy(by).orderBy("k")

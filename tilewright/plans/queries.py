@@ -469,7 +469,7 @@ def inertia_chi_dbi_fixed(spark, sf_dir):
 
 @query(f"WITH x AS (SELECT a.vec_id AS i, a.label AS c, b.label AS c2, avg({DIST.format('a.embedding', 'b.embedding')}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 2000 GROUP BY 1, 2, 3), ab AS (SELECT i, c, min(d) FILTER (c = c2) AS a, min(d) FILTER (c <> c2) AS b FROM x GROUP BY 1, 2) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab")
 def silhouette_exact(spark, sf_dir):
-    return kselect.silhouette(labelled(spark, sf_dir), "vec_id")
+    return kselect.silhouette_of_all(labelled(spark, sf_dir), "vec_id")
 
 
 @query("WITH d AS (SELECT model, k, lead(inertia) OVER w - 2 * inertia + lag(inertia) OVER w AS d2 FROM kmetrics WINDOW w AS (PARTITION BY model ORDER BY k)) SELECT model, k AS elbow_k FROM d WHERE d2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model ORDER BY d2 DESC, k) = 1", "kmetrics")
