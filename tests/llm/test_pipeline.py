@@ -74,3 +74,14 @@ def test_stages_on_an_empty_table(spark, corpus):
 
 def test_words_are_letters():
     assert toxicity.words_of("It's 3x BÄR_x") == ["it", "s", "x", "bär", "x"]
+
+
+def test_repeated_and_missing_ids_leave_one_row_of_a_group(spark):
+    rng = random.Random(10)
+    a, b, c, d = (" ".join(f"word{rng.randint(0, 4000)}" for _ in range(60)) for _ in range(4))
+    near = a.split(" ", 1)[1]
+    rows = [(5, a), (5, a), (5, near), (9, a), (3, b), (3, c), (None, b), (None, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    left = [(r["doc_id"], r["text"]) for r in got]
+    assert len(left) == 4 and {(3, b), (3, c), (None, d)} < set(left) and {i for i, t in left if t in (a, near)} == {5}
