@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tilewright.llm import embeddings, graph, lines, passages, shingles, toxicity
+from tilewright.llm import embeddings, graph, lines, passages, shingles, tokens, toxicity
 from tilewright.llm.common import hashed_sample
 
 
@@ -115,11 +115,32 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b) == plain_distance(a, b)
 
 
+def test_edit_distances_of_many_pairs():
+    rng, x, y = random.Random(6), [], []
+    for _ in range(1200):
+        n, kinds = rng.choice([0, 1, 5, 63, 64, 65, 128, 130, 200]), rng.choice([2, 40, 10**6])
+        a = [rng.randint(1, kinds) for _ in range(n)]
+        b = edited_numbers(rng, a, rng.randint(0, max(1, n // 3)), kinds)
+        x.append(np.array(a, np.int64).tobytes())
+        y.append(np.array(b, np.int64).tobytes())
+    want = [lines.edit_distance(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()) for a, b in zip(x, y)]
+    assert lines.edit_distances(x, y).tolist() == want
+    assert lines.similar(x, y, 4, 5).tolist() == [5 * d <= max(len(a), len(b)) // 8 for d, a, b in zip(want, x, y)]
+
+
+def edited_numbers(rng: random.Random, a: list[int], edits: int, kinds: int) -> list[int]:
+    out = list(a)
+    for _ in range(edits):
+        i = rng.randint(0, len(out))
+        out[i : i + rng.randint(0, 2)] = [rng.randint(1, kinds) for _ in range(rng.randint(0, 2))]
+    return out
+
+
 def test_simhash_counts_bits():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
-    whole, parts = lines.simhashes(h, np.array([0])), lines.simhashes(h, np.array([0, 300]))
-    assert (whole[0] == lines.simhashes(h[::-1].copy(), np.array([0]))[0]).all() and (parts[0] == lines.simhashes(h[:300], np.array([0]))[0]).all()
+    whole, parts = lines.simhashes(h, np.array([700])), lines.simhashes(h, np.array([300, 400]))
+    assert (whole[0] == lines.simhashes(h[::-1].copy(), np.array([700]))[0]).all() and (parts[0] == lines.simhashes(h[:300], np.array([300]))[0]).all()
 
 
 def test_line_dedup(spark):
@@ -143,7 +164,7 @@ def test_line_dedup(spark):
     everything = {k for d, t in docs if d is not None for s in (t or "").split("\n") if len(k := key(s)) >= 3}
     fuzzy = [k for k in kept if any(w.startswith("changed") for w in k)]
     assert len(fuzzy) <= 4 and len(everything) - len(kept) == 40 - len(fuzzy)
-    assert out[40][0]["text"] is None and out[41][0]["text"] == "" and out[None][0]["text"] == docs[5][1]
+    assert out[40][0]["text"] is None and out[41][0]["text"] == "" and out[None][0]["text"] == "a b\n"
     assert out[42][0]["text"] == "a b\n" and out[0][0]["n_dropped"] == 0
     assert lines.drop_repeats(rows.limit(0)).count() == 0
 
@@ -222,11 +243,34 @@ def test_toxicity_edges(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["Abc", "abc", " ", "\n", ", ", "É", "x9", "-", "longword", "longwords"]), max_size=14).map("".join), min_size=1, max_size=5), st.integers(1, 3))
 def test_sketches_of_lines(texts, least):
-    text, number, h, first, sims = lines.sketch_lines(texts, least)
-    want = [(i, k, tuple(w)) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(w := lines.normalised(line)) >= least]
-    assert list(zip(text.tolist(), number.tolist())) == [(i, k) for i, k, _ in want]
-    assert len(set(h.tolist())) == len({w for _, _, w in want}) == len({(x, w) for x, (_, _, w) in zip(h.tolist(), want)}) == len(sims)
-    assert sorted(h[first].tolist()) == sorted(set(h.tolist()))
+    found = lines.Lines(texts)
+    use = np.flatnonzero(found.n >= least)
+    want = [(i, k, tuple(w)) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(w := normalised(line)) >= least]
+    assert list(zip(found.text[use].tolist(), found.number[use].tolist())) == [(i, k) for i, k, _ in want]
+    assert len(set(found.hash[use].tolist())) == len({w for _, _, w in want}) == len({(x, w) for x, (_, _, w) in zip(found.hash[use].tolist(), want)})
+    words, n = found.words_of(use)
+    assert n.tolist() == [len(w) for _, _, w in want] and len({(h, w) for h, w in zip(words.tolist(), (x for _, _, w in want for x in w))}) == len({x for _, _, w in want for x in w})
+
+
+def normalised(line: str) -> list[bytes]:
+    return re.findall(rb"[a-z0-9\x80-\xff]+", tokens.lowered(line))
+
+
+def test_repeated_ids_with_other_texts_keep_their_own_lines(spark):
+    """A line goes from the row that repeats it, not from another row of the same id; null ids come last."""
+    docs = [(7, "one two three four\nalpha beta gamma delta"), (7, "own words stand here\nepsilon zeta eta theta"), (9, "iota kappa lambda my\nepsilon zeta eta theta"), (None, "alpha beta gamma delta\nonly here is this"), (8, "one two three four"), (8, "one two three four")]
+    got = {(r["doc_id"], r["text"]) for r in lines.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(7, docs[0][1]), (7, docs[1][1]), (9, "iota kappa lambda my"), (None, "only here is this"), (8, "")}
+
+
+def test_dense_and_hot_buckets_give_the_same_groups(spark):
+    rng = random.Random(8)
+    base = words(rng, 24)
+    docs = [(d, " ".join([*base[: d % 24], f"c{d}", *base[d % 24 + 1 :]])) for d in range(150)] + [(1000 + d, " ".join(words(rng, 24))) for d in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d: int(0 < d < 1000) for d, _ in docs}
+    for limits in ((4096, 16, 256), (20, 16, 256), (4096, 16, 3), (4096, 0, 256)):
+        assert {r["doc_id"]: r["n_dropped"] for r in lines.drop_repeats(rows, limits=limits).collect()} == want
 
 
 def test_lines_at_the_threshold_are_linked(spark):
@@ -248,7 +292,7 @@ def test_short_and_unspaced_lines_repeat_too(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: (0, docs[0][1]), 1: (2, "other words\n\n---"), 2: (2, "words other")}
-    assert lines.normalised("Abc \u4e2d\u6587x") == [b"abc", "\u4e2d".encode(), "\u6587".encode(), b"x"]
+    assert normalised("Abc \u4e2d\u6587x") == [b"abc", "\u4e2d".encode(), "\u6587".encode(), b"x"]
 
 
 def test_passage_whose_parts_come_earlier_elsewhere(spark):

@@ -68,23 +68,24 @@ BITMAP = 1 << 24
 
 
 def bitmap_of(rows: DataFrame, key: str) -> np.ndarray:
-    """BITMAP bits (2 MB, however many rows), set at the hashes of a long column: a row whose bit isn't set is surely not among rows."""
-    slot = rows.select(F.pmod(F.xxhash64(key), F.lit(BITMAP)).alias("slot"))
+    """BITMAP bits (2 MB, however many rows), set at a long column of hashes: a row whose bit isn't set is surely not among rows."""
+    slot = rows.select(F.shiftright(key, 16).bitwiseAND(F.lit(BITMAP - 1)).alias("slot"))
     parts = slot.selectExpr("cast(slot div 32 as int) at", "shiftleft(1L, cast(slot % 32 as int)) v").groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
     bitmap = np.zeros(BITMAP // 32, np.uint32)
     bitmap[parts.column("at").to_numpy()] = parts.column("v").to_numpy().astype(np.uint32)
     return bitmap
 
 
-def maybe_in(bitmap: np.ndarray, key: str) -> Column:
-    """Whether a row's bit is set: all rows that bitmap_of() saw, and few others. False for a null."""
-    shared = SparkSession.active().sparkContext.broadcast(bitmap)
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set: of all that bitmap_of() saw, and of few others."""
+    at = hashes.astype(np.int64) >> np.int64(16) & np.int64(BITMAP - 1)
+    return (bitmap[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)
 
-    def run(slots):
-        at = slots.to_numpy()
-        return pd.Series((shared.value[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool))
 
-    return F.col(key).isNotNull() & pandas_udf(run, "boolean")(F.pmod(F.xxhash64(key), F.lit(BITMAP)))
+def maybe_in(bitmap: np.ndarray, key: str) -> Column:
+    """in_bitmap() of a long column without nulls."""
+    shared = SparkSession.active().sparkContext.broadcast(bitmap)
+    return pandas_udf(lambda h: pd.Series(in_bitmap(shared.value, h.to_numpy())), "boolean")(F.col(key))
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, list], dict], schema: str) -> DataFrame:

@@ -22,14 +22,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = cut(both(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")).distinct())
-    names = rest.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    nodes, steps = rest.select(F.col("a").alias("node")).distinct(), []
     rest = rest.where("a <> b")
     while not rest.isEmpty():
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         step = cut(rest.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(F.col("m"), order("a"))["id"].alias("to")))
-        names = cut(names.join(step.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        steps.append(step)
         moved = rest.join(step.select("a", F.col("to").alias("a2")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("b2")), "b")
         rest = cut(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
+    names = nodes.select("node", F.col("node").alias("root"))
+    for n, step in enumerate(steps):
+        names = names.join(step.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        names = cut(names) if n % 6 == 5 else names
     least = names.groupBy("root").agg(F.min("node").alias("component"))
     return names.join(least, "root").select("node", "component")
 

@@ -1,9 +1,12 @@
-"""Fuzzy line dedup: MinHash bands over word pairs for candidates, SimHash to prune them, edit similarity, one occurrence per connected group."""
+"""Fuzzy line dedup: bands of normalised lines as blocks to join on, SimHash and edit similarity to verify, one occurrence per connected group.
+
+SimHash blocks can't find lines at an edit similarity of 0.8: such lines differ in a fifth of their bits, so blocks that most of them share would be
+a few bits long. The blocks are therefore MinHash bands over word pairs; SimHash (128 bits) prunes the pairs that meet in one.
+"""
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
 
 import numpy as np
@@ -12,101 +15,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, bitmap_of, cut, maybe_in, split_batch
-from .graph import blocks, bucket_pairs, components, runs_of
-from .shingles import _MIX, MinHash, WordHashes, mixed, plan_bands
+from .common import Scratch, bitmap_of, cut, in_bitmap, maybe_in, split_batch
+from .graph import blocks, components, runs_of
+from .packed import deal, parts_for, runs
+from .tokens import LETTER, MIX, Words, lowered, mixed, occurrences, powers
+from .shingles import plan_bands
 
-_WORDS = re.compile(rb"[a-z0-9\x80-\xff]+").findall
-#: Of each byte of a lower-cased text, whether it belongs to a word.
-_INSIDE = np.array([48 <= c <= 57 or 97 <= c <= 122 or c > 127 for c in range(256)])
-WORDS64 = 4  # length of a SimHash in 64-bit words
+WORDS64 = 2  # length of a SimHash in 64-bit words
 BITS = 64 * WORDS64
 #: Of each byte, its bits as eight lanes of a byte, so that words are counted eight bits at a time.
 _LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).copy().view(np.uint64).ravel()
-
-
-#: Characters of scripts written without spaces (Thai, Lao, Burmese, Khmer, Chinese, Japanese) and their punctuation.
-_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3000-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\uff61-\uff9f\U00020000-\U0003ffff])")
-
-
-def lowered(text: str) -> bytes:
-    """A text in lower case, with spaces around each character of scripts that have none: each is a word."""
-    raw = (low := text.lower()).encode("utf-8", "surrogatepass")
-    if np.frombuffer(raw, np.uint8).max(initial=0) < 0xE0:  # nothing from U+0800 on
-        return raw
-    return _UNSPACED.sub(r" \1 ", low).encode("utf-8", "surrogatepass")
-
-
-def normalised(line: str) -> list[bytes]:
-    """A line's runs of letters, digits and characters beyond ASCII, lower-cased; of unspaced scripts, its characters."""
-    return _WORDS(lowered(line))
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x9E3779B97F4A7C15
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), x, np.uint64)])) for x in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def sketch_lines(texts: list[str], least_words: int, bands: LineBands | None = None) -> tuple[np.ndarray, ...]:
-    """Of all lines of the texts with enough words: text, line number and hash; and the first place of each hash among them, with its SimHash
-    and, if bands are given, its band keys and whether it has any.
-
-    All texts are one array of bytes: words are found by comparing neighbours, and hashed as differences of a running sum of bytes times
-    powers. A SimHash is made of all of a line's words, each occurrence of a word counting as another one: lines at an edit similarity then
-    have at least that cosine.
-    """
-    raw = [lowered(t) for t in texts]
-    per_text = np.array([r.count(b"\n") + 1 for r in raw])
-    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    inside = _INSIDE[buf]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(buf) + 1)
-    total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1])
-    total = np.concatenate([[np.uint64(0)], total])
-    size = ends - starts
-    word = mixed((total[ends] - total[starts]) * down[starts] + size.astype(np.uint64))
-    line = np.searchsorted(np.flatnonzero(buf == 10), starts)
-    counts = np.bincount(line, minlength=int(per_text.sum()))
-    first_word = np.cumsum(counts) - counts
-    some = np.flatnonzero(counts >= max(1, least_words))
-    rank = (np.arange(len(word)) - first_word[line]).astype(np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(word + rank * _MIX))])
-    h = mixed(sums[first_word[some] + counts[some]] - sums[first_word[some]] + counts[some].astype(np.uint64)).view(np.int64)
-    text = np.repeat(np.arange(len(texts)), per_text)[some]
-    number = (np.arange(int(per_text.sum())) - np.repeat(np.cumsum(per_text) - per_text, per_text))[some].astype(np.int32)
-    _, first = np.unique(h, return_index=True)
-    if not len(first):
-        none = np.zeros((0, WORDS64), np.uint64)
-        return (text, number, h, first, none) if bands is None else (text, number, h, first, none, np.zeros((0, bands.minhash.bands), np.uint32), np.zeros(0, bool))
-    place = np.full(len(counts), -1)
-    place[some[first]] = np.arange(len(first))
-    use = place[line] >= 0
-    owner, hashes = line[use], word[use]  # the words of a line lie together
-    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    at = place[owner[head]]
-    order = np.argsort(at)
-    sims = np.empty((len(first), WORDS64), np.uint64)
-    sims[at] = simhashes(occurrences(hashes, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(hashes))))), head)
-    if bands is None:
-        return text, number, h, first, sims
-    keys, has = bands.keys(hashes, head)
-    return text, number, h, first, sims, keys[order], has[order]
-
-
-def occurrences(items: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Each owner's items (owners ascend), with the second, third ... of equal ones made different: multisets as sets. Within an owner, sorted."""
-    order = np.lexsort((items, owner))
-    items, owner = items[order], owner[order]
-    head = np.flatnonzero(np.concatenate([[True], (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])]))
-    nth = np.arange(len(items)) - np.repeat(head, np.diff(np.append(head, len(items))))
-    return np.where(nth > 0, mixed(items + nth.astype(np.uint64) * _MIX), items)
+#: What is dealt out for a line and a band: the key, the line's hash, its SimHash and its number of words (0: the key has too many lines).
+ENTRY = np.dtype([("k", "<u8"), ("id", "<i8"), ("sim", "<u8", (WORDS64,)), ("n", "<u2")])
+LONGEST = (1 << 16) - 1  # numbers of words beyond are one
+#: How keys with many lines are handled, without effect on the result: lines of a key that one part compares, pairs per line from which a key
+#: counts as dense, lines of a key that one batch passes on. Beyond, a key's lines meet in pairs of blocks.
+LARGE, DENSE, PASSED = LIMITS = 4096, 16, 256
+
+
+class Lines:
+    """The lines of some texts: text, number, words (n, and where they begin in words.hash) and hash of each."""
+
+    def __init__(self, texts: list[str]):
+        raw = [lowered(t) for t in texts]
+        self.words = Words(raw, LETTER)
+        ends = np.flatnonzero(self.words.buf == 10)
+        self.starts = np.searchsorted(self.words.first, np.concatenate([[0], ends + 1]))
+        self.n = np.diff(self.starts)
+        up, down = powers(len(self.words.hash) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(self.words.hash * up[:-1])])
+        self.starts, last = self.starts[:-1], self.starts[1:]
+        self.hash = mixed((total[last] - total[self.starts]) * down[self.starts] + self.n.astype(np.uint64))
+        per_text = np.diff(np.searchsorted(ends, self.words.text_at))
+        self.text = np.repeat(np.arange(len(texts)), per_text)
+        self.number = np.arange(len(ends)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+
+    def words_of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word hashes of these lines, one after the other, and how many each has."""
+        n = self.n[some]
+        return self.words.hash[np.repeat(self.starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class LineBands:
@@ -117,52 +64,55 @@ class LineBands:
     edits fall. At s of a half or less single words do, with s / (2 - s). Lines so short that one edit takes them below s have no keys.
     """
 
-    def __init__(self, up: int, down: int, recall: float, least_words: int):
+    def __init__(self, up: int, down: int, recall: float, least_words: int, seed: int = 4):
         s = up / down
         self.pairs = 2 * up > down
-        self.minhash = MinHash(*plan_bands((2 * s - 1) / (3 - 2 * s) if self.pairs else s / (2 - s), recall), seed=4)
+        self.bands, self.rows = plan_bands((2 * s - 1) / (3 - 2 * s) if self.pairs else s / (2 - s), recall)
         self.least = max(1, least_words, -(-up // (down - up)) if down > up else 1 << 62)
+        rng = np.random.default_rng(seed)
+        self.mul, self.add = (rng.integers(0, 1 << 32, self.bands * self.rows, dtype=np.uint32) for _ in range(2))
+        self.mul |= np.uint32(1)
 
-    def keys(self, words: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the runs of words that begin at head: a 32-bit key per band (equal by chance only adds candidates), and whether it has any."""
-        n = np.diff(np.append(head, len(words)))
-        has = n >= self.least
-        out = np.zeros((len(head), self.minhash.bands), np.uint32)
-        if not has.any():
-            return out, has
-        words, n = words[np.repeat(has, n)], n[has]
-        owner = np.repeat(np.arange(len(n)), n)
+    def keys(self, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """bands x lines keys (unsigned, 64 bits) of lines of n words each, which lie one after the other."""
         if self.pairs:
+            owner = np.repeat(np.arange(len(n)), n)
             slot = np.arange(len(words)) + owner  # one more slot a line
             left, right = np.full(len(words) + len(n), 1, np.uint64), np.full(len(words) + len(n), 2, np.uint64)
             right[slot], left[slot + 1] = words, words
             left[np.cumsum(n + 1) - n - 1] = 1
-            words, n = mixed(left * _MIX + right), n + 1
-            owner = np.repeat(np.arange(len(n)), n)
-        items, starts = mixed(occurrences(words, owner)), np.cumsum(n) - n
-        m = self.minhash
-        for band in range(m.bands):
-            key = np.zeros(len(n), np.uint64)
-            for j in range(band * m.rows, (band + 1) * m.rows):
-                key = mixed(key * _MIX + np.minimum.reduceat(items * m.mul[j] + m.add[j], starts))
-            out[has, band] = (key >> np.uint64(32)).astype(np.uint32)
-        return out, has
-
-
-def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A SimHash (WORDS64 words) of each run of word hashes that begins at one of starts."""
-    n = np.diff(np.append(starts, len(hashes)))
-    parts = np.concatenate([np.arange(s, s + c, 255) for s, c in zip(starts, n)])  # a lane holds 255 at most
-    owner = np.repeat(np.arange(len(starts)), -(-n // 255))
-    counts = np.zeros((len(starts), BITS), np.int64)
+            left *= MIX
+            left += right
+            words, n = mixed(left), n + 1
+        items, starts = occurrences(words, np.repeat(np.arange(len(n)), n)), np.cumsum(n) - n
+        x = (mixed(items) >> np.uint64(32)).astype(np.uint32)
+        out, now, low = np.empty((self.bands, len(n)), np.uint64), np.empty_like(x), np.empty(len(n), np.uint32)
+        for band in range(self.bands):
+            key = np.full(len(n), band + 1, np.uint64)
+            for j in range(band * self.rows, (band + 1) * self.rows):
+                np.multiply(x, self.mul[j], out=now)
+                now += self.add[j]
+                np.minimum.reduceat(now, starts, out=low)
+                key *= MIX
+                key += low
+            out[band] = mixed(key)
+        return out
+
+
+def simhashes(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A SimHash (WORDS64 words) of each of the runs of n word hashes, which lie one after the other."""
+    starts = np.cumsum(n) - n
+    pieces = -(-n // 255)  # a lane holds 255 at most
+    parts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    whole = np.cumsum(pieces) - pieces
+    out = np.empty((len(n), WORDS64), np.uint64)
     for j in range(WORDS64):
-        raw = mixed(hashes * _MIX + np.uint64(j + 1)).view(np.uint8).reshape(-1, 8)
+        raw = mixed(hashes * MIX + np.uint64(j + 1)).view(np.uint8).reshape(-1, 8)
         sums = np.add.reduceat(_LANES[raw], parts, axis=0).view(np.uint8).reshape(len(parts), 64)
-        if len(parts) == len(starts):
-            counts[:, j * 64 : (j + 1) * 64] = sums
-        else:
-            np.add.at(counts[:, j * 64 : (j + 1) * 64], owner, sums)
-    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64)
+        if len(parts) > len(n):
+            sums = np.add.reduceat(sums.astype(np.int32), whole, axis=0)
+        out[:, j] = np.packbits(2 * sums.astype(np.int32) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -190,13 +140,87 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
-def similar(a: bytes, b: bytes, up: int, down: int) -> bool:
-    """Whether 1 - distance / longer length is at least up / down, over words by their hashes."""
-    p, q = len(a) // 8, len(b) // 8
-    most = (down - up) * max(p, q)
-    if down * abs(p - q) > most:
-        return False
-    return down * edit_distance(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()) <= most
+def edit_distances(x: list[bytes], y: list[bytes], chunk: int = 1024) -> np.ndarray:
+    """edit_distance() of each pair of lines (words by their 64-bit hashes), by bit vectors for many pairs at once.
+
+    The shorter line of a pair stands in the bits, 64 words to a number; from one number to the next goes the step at its last row.
+    """
+    out = np.zeros(len(x), np.int64)
+    sides = trimmed([(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(x, y)])
+    p, q = (np.fromiter((len(s[i]) // 8 for s in sides), np.int64, len(sides)) for i in (0, 1))
+    blocks_ = -(-p // 64)
+    out[p == 0] = q[p == 0]
+    few = np.bincount(np.minimum(blocks_, 9), minlength=10) < 24
+    few[9] = True
+    for i in np.flatnonzero(few[np.minimum(blocks_, 9)] & (p > 0)):
+        out[i] = edit_distance(*(np.frombuffer(s, np.int64).tolist() for s in sides[i]))
+    for w in np.flatnonzero(~few[1:]) + 1:
+        some = np.flatnonzero(blocks_ == w)
+        some = some[np.argsort(-q[some], kind="stable")]
+        for at in range(0, len(some), chunk):
+            own = some[at : at + chunk]
+            out[own] = _distances([sides[i] for i in own], p[own], q[own], w)
+    return out
+
+
+def trimmed(sides: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """Without the words that a shorter and a longer line have in common at the beginning and at the end."""
+    n = np.fromiter((len(a) // 8 for a, _ in sides), np.int64, len(sides))
+    some = np.flatnonzero(n)
+    if not len(some):
+        return sides
+    starts, total = np.cumsum(n[some]) - n[some], int(n.sum())
+    place = np.arange(total)
+
+    def words(at: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(at), np.uint64)
+
+    a = words([s[0] for s in sides])
+    differ = a != words([s[1][: len(s[0])] for s in sides])
+    head = np.minimum(np.minimum.reduceat(np.where(differ, place, total), starts) - starts, n[some])
+    differ = a != words([s[1][len(s[1]) - len(s[0]) :] for s in sides])
+    tail = np.minimum(starts + n[some] - 1 - np.maximum.reduceat(np.where(differ, place, -1), starts), n[some] - head)
+    out = list(sides)
+    for i, h, t in zip(some.tolist(), (8 * head).tolist(), (8 * tail).tolist()):
+        x, y = sides[i]
+        out[i] = (x[h : len(x) - t], y[h : len(y) - t])
+    return out
+
+
+def _distances(sides: list[tuple[bytes, bytes]], p: np.ndarray, q: np.ndarray, w: int) -> np.ndarray:
+    """Of pairs in descending order of q, the longer lines' lengths; p: the shorter ones', in w numbers of 64 bits."""
+    n, one, top = len(p), np.uint64(1), np.uint64(63)
+    a, b = np.zeros((n, 64 * w), np.uint64), np.zeros((int(q[0]), n), np.uint64)
+    a[np.repeat(np.arange(n), p), np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)] = np.frombuffer(b"".join([s[0] for s in sides]), np.uint64)
+    b[np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q), np.repeat(np.arange(n), q)] = np.frombuffer(b"".join([s[1] for s in sides]), np.uint64)
+    plus, minus = [np.full(n, ~np.uint64(0)) for _ in range(w)], [np.zeros(n, np.uint64) for _ in range(w)]
+    score, last, bit = p.copy(), (p - 1) // 64, ((p - 1) % 64).astype(np.uint64)
+    for j in range(int(q[0])):
+        k = int(np.searchsorted(-q, -j, side="left"))  # pairs whose longer line has a word j
+        eqs = np.packbits(a[:k] == b[j, :k, None], axis=1, bitorder="little").view(np.uint64)
+        up_in, down_in = np.ones(k, np.uint64), np.zeros(k, np.uint64)
+        for i in range(w):
+            pv, mv, eq = plus[i][:k], minus[i][:k], eqs[:, i]
+            v = eq | mv
+            eq = eq | down_in
+            h = (((eq & pv) + pv) ^ pv) | eq
+            up, down = mv | ~(h | pv), pv & h
+            here = last[:k] == i
+            score[:k] += np.where(here, (up >> bit[:k] & one).astype(np.int64) - (down >> bit[:k] & one).astype(np.int64), 0)
+            up_out, down_out = up >> top, down >> top
+            up, down = up << one | up_in, down << one | down_in
+            plus[i][:k], minus[i][:k] = down | ~(v | up), up & v
+            up_in, down_in = up_out, down_out
+    return score
+
+
+def similar(x: list[bytes], y: list[bytes], up: int, down: int) -> np.ndarray:
+    """Of each pair of lines, whether 1 - distance / longer length is at least up / down, over words by their 64-bit hashes."""
+    p, q = (np.fromiter((len(v) // 8 for v in s), np.int64, len(s)) for s in (x, y))
+    out = np.minimum(p, q) * down >= np.maximum(p, q) * up
+    some = np.flatnonzero(out)
+    out[some] = down * edit_distances([x[i] for i in some], [y[i] for i in some]) <= (down - up) * np.maximum(p, q)[some]
+    return out
 
 
 def hamming_bound(similarity: float) -> int:
@@ -205,114 +229,267 @@ def hamming_bound(similarity: float) -> int:
     return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
 
 
-def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, least_equal: int | None = None, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and lines (array<int>, the numbers of its lines that go) of each document that loses lines.
+class Prune:
+    """Which entries may be of similar lines, by their numbers of words and SimHashes."""
+
+    def __init__(self, up: int, down: int, large: int = LARGE, dense: int = DENSE):
+        self.up, self.down, self.near, self.large, self.dense = up, down, hamming_bound(up / down), large, dense
+
+    def pairs(self, e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the pairs of entries x and y (indices), those that may be."""
+        p, q = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
+        ok = np.flatnonzero(np.minimum(p, q) * self.down >= np.maximum(p, q) * self.up)
+        return ok[np.bitwise_count(e["sim"][x[ok]] ^ e["sim"][y[ok]]).sum(axis=1, dtype=np.int64) <= self.near]
+
+    def meet(self, data: bytes):
+        """a and b of the pairs that meet under a key and may be similar; or k of a key with too many lines or pairs."""
+        e = np.frombuffer(data, ENTRY)
+        e = e[np.argsort(e["k"])]
+        same = e["k"][1:] == e["k"][:-1]
+        some = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (e["n"] == 0))
+        e = e[some]
+        e = e[np.lexsort((e["n"], e["id"], e["k"]))]
+        e = e[np.concatenate([np.ones(min(1, len(e)), bool), (e["k"][1:] != e["k"][:-1]) | (e["id"][1:] != e["id"][:-1]) | (e["n"][:-1] == 0)])]
+        starts, size = runs(e["k"])
+        none = np.minimum.reduceat(e["n"], starts) == 0 if len(e) else np.zeros(0, bool)
+        hot = [e["k"][starts[none | (size > self.large)]]]
+        found = []
+        for z in np.unique(size[(size > 1) & (size <= min(48, self.large)) & ~none]):
+            at = starts[(size == z) & ~none]
+            x, y = (np.repeat(at, len(t)) + np.tile(t, len(at)) for t in np.triu_indices(z, 1))
+            for s in range(0, len(x), 1 << 20):
+                u, v = x[s : s + (1 << 20)], y[s : s + (1 << 20)]
+                ok = self.pairs(e, u, v)
+                found.append((u[ok], v[ok]))
+        for i in np.flatnonzero((size > 48) & (size <= self.large) & ~none):
+            at, z, own, count = starts[i], size[i], [], 0
+            for r in range(z - 1):
+                x, y = np.full(z - r - 1, at + r), np.arange(at + r + 1, at + z)
+                ok = self.pairs(e, x, y)
+                own.append((x[ok], y[ok]))
+                count += len(ok)
+                if count > self.dense * z:
+                    hot.append(e["k"][at : at + 1])
+                    break
+            else:
+                found += own
+        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
+        a, b = e["id"][x], e["id"][y]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        _, once = np.unique(mixed(a.view(np.uint64) * MIX + b.view(np.uint64)), return_index=True)
+        pair = np.stack([a[once], b[once]], axis=1)
+        hot = np.concatenate(hot).view(np.int64)
+        mask = np.arange(len(pair) + len(hot)) >= len(pair)
+        fill = lambda c, m, before: pa.array(np.concatenate([np.zeros(len(pair) if before else 0, np.int64), c, np.zeros(0 if before else len(hot), np.int64)]), mask=m)
+        yield pa.RecordBatch.from_arrays([fill(pair[:, 0], mask, False), fill(pair[:, 1], mask, False), fill(hot, ~mask, True)], names=["a", "b", "k"])
+
+
+def thin(e: np.ndarray, passed: int = PASSED) -> np.ndarray:
+    """Of a key with more than `passed` entries, one entry that says so."""
+    order = np.argsort(e["k"])
+    starts, size = runs(e["k"][order])
+    many = size > passed
+    if not many.any():
+        return e
+    keep = np.ones(len(e), bool)
+    keep[order[np.repeat(many, size)]] = False
+    mark = e[order[starts[many]]].copy()
+    mark["n"] = 0
+    return np.concatenate([e[keep], mark])
+
+
+def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, least_equal: int | None = None, recall: float = 0.99, rounds: int = 3, limits: tuple[int, int, int] = LIMITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_key (see row_key()) and lines (array<int>, the numbers of its lines that go) of each row of docs that loses lines.
 
     Lines (between line feeds) are compared without case, ASCII punctuation and spacing. Two are linked if their edit similarity over words, 1 -
-    distance / longer length, is at least similarity (a fraction); of each connected group only the first occurrence, by doc_id and line
-    number, stays. Equal lines of least_equal words or more (least_words if none is given) always meet; lines of fewer stay, as do lines without a word.
-    Of lines of least_words words or more those meet that aren't equal, with a probability of recall at least if they are just at the
-    similarity: if one of their MinHash bands agrees (LineBands). Rows with a null doc_id are left out; rows of one doc_id are taken as one
-    document; null texts have no lines.
+    distance / longer length, is at least similarity (a fraction); of each connected group only the first occurrence, by doc_id (nulls last),
+    text (by a hash) and line number, stays. Equal lines of least_equal words or more (least_words if none is given) always meet; lines of
+    fewer stay, as do lines without a word. Of lines of least_words words or more those meet that aren't equal, with a probability of recall
+    at least if they are just at the similarity: if one of their MinHash bands agrees (LineBands). Rows of one doc_id with different texts
+    are different rows; rows that are equal in both count as one, and all keep the same lines. Null texts have no lines.
+
+    Bands are dealt out in `rounds` parts, one after the other, each of which takes its share of disk.
     """
     up, down = similarity
-    near, bands = hamming_bound(up / down), LineBands(up, down, recall, least_words)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    bands, prune = LineBands(up, down, recall, least_words), Prune(up, down, *limits[:2])
+    least_equal = least_words if least_equal is None else least_equal
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
 
     def sketch(batches):
         for batch in batches:
-            for part in split_batch(batch, 1, 1 << 20):
-                doc, no, h, first, sims, band, has = sketch_lines([t or "" for t in part.column(1).to_pylist()], least_words if least_equal is None else least_equal, bands)
-                sim, keys = np.full(len(h), None), np.full(len(h), None)
-                sim[first] = [s.tobytes() for s in sims]
-                keys[first[has]] = [k.tobytes() for k in band[has]]
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(doc)), pa.array(no), pa.array(sim, pa.binary()), pa.array(keys, pa.binary())], names=["h", "doc_id", "line", "sim", "keys"])
-
+            for part in split_batch(batch, 2, 1 << 20):
+                found = Lines(part.column(2).to_pylist())
+                use = np.flatnonzero(found.n >= max(1, least_equal))
+                h = found.hash[use]
+                some = use[found.n[use] >= bands.least]
+                first = np.sort(some[np.unique(found.hash[some], return_index=True)[1]])
+                words, n = found.words_of(first)
+                sims = simhashes(occurrences(words, np.repeat(np.arange(len(n)), n)), n) if len(n) else np.zeros((0, WORDS64), np.uint64)
+                keys = bands.keys(words, n) if len(n) else np.zeros((bands.bands, 0), np.uint64)
+                doc, row = (c.to_numpy(zero_copy_only=False) for c in (part.column(1), part.column(0)))
+                cols = [h, row[found.text[use]], doc[found.text[use]], found.number[use].astype(np.int32), found.hash[first], sims, np.minimum(n, LONGEST).astype(np.uint16), keys.view(np.uint8).reshape(*keys.shape, 8)[:, :, 2:]]
+                yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64()), pa.array([len(first)], pa.int64()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], names=["n_lines", "n_first", *packed])
+
+    packed = ("h", "row", "doc", "line", "first", "sim", "size", "keys")
     scratch = Scratch(docs.sparkSession)
-    lines = scratch.table(texts.mapInArrow(sketch, "h long, doc_id long, line int, sim binary, keys binary"))
-    distinct = scratch.table(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("sim").alias("sim")))
+    lines = scratch.table(texts.mapInArrow(sketch, "n_lines long, n_first long," + ",".join(f"{c} binary" for c in packed)))
+    n_lines, n_first = lines.agg(F.coalesce(F.sum("n_lines"), F.lit(0)), F.coalesce(F.sum("n_first"), F.lit(0))).first()
 
-    def keyed(batches):
-        for b in batches:
-            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), bands.minhash.bands).cast(pa.list_(pa.int64()))], names=["id", "keys"])
-
-    keys = lines.where("keys is not null").select("h", "keys").mapInArrow(keyed, "id long, keys array<long>")  # a line may come several times
-    found = cut(bucket_pairs(keys))
-    sims = distinct.select(F.col("h").alias("id"), "sim")
+    def entries(batches, low: int, high: int):
+        for batch in batches:
+            for first, sim, size, keys in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                ids = np.frombuffer(first, np.int64)
+                out, k = np.empty((high - low, len(ids)), ENTRY), np.zeros((high - low, len(ids), 8), np.uint8)
+                k[:, :, 2:] = np.frombuffer(keys, np.uint8).reshape(bands.bands, len(ids), 6)[low:high]
+                out["k"] = k.view(np.uint64)[:, :, 0] | np.arange(low + 1, high + 1, dtype=np.uint64)[:, None]
+                out["id"], out["sim"], out["n"] = ids, np.frombuffer(sim, np.uint64).reshape(len(ids), WORDS64), np.frombuffer(size, np.uint16)
+                yield out.ravel()
+
+    met = []
+    for i in range(rounds):
+        low, high = bands.bands * i // rounds, bands.bands * (i + 1) // rounds
+        if low < high:
+            met.append(cut(deal(lines.select("first", "sim", "size", "keys"), lambda b, low=low, high=high: entries(b, low, high), prune.meet, "a long, b long, k long", parts_for(docs, n_first * (high - low) * ENTRY.itemsize), lambda e: thin(e, limits[2]))))
+    found = met[0]
+    for m in met[1:]:
+        found = found.unionByName(m)
+    close = cut(found.where("a is not null").select("a", "b").distinct())
+    hot = cut(found.where("k is not null").select("k").distinct())
+    hot_bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(hot, "k"))
+
+    def members(batches):
+        for e in entries(batches, 0, bands.bands):
+            e = e[in_bitmap(hot_bits.value, e["k"])]
+            yield pa.RecordBatch.from_arrays([pa.array(e["k"].astype(np.int64)), pa.array(e["id"].astype(np.int64)), pa.array([s.tobytes() for s in e["sim"]], pa.binary())], names=["k", "id", "sim"])
+
+    any_hot = not hot.isEmpty()
     side = lambda d, c: d.select(F.col("id").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in d.columns if n != "id"))
-    close = found.where("a is not null").select("a", "b").distinct().join(side(sims, "a"), "a").join(side(sims, "b"), "b")
-
-    def prune(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WORDS64) for c in ("a_sim", "b_sim"))
-            ok = np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= near)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
-
-    close = cut(close.select("a", "b", "a_sim", "b_sim").mapInArrow(prune, "a long, b long"))
-    hot = found.where("a is null").select("t", "k").distinct()
-    spots = cut(keys.select("id", F.posexplode("keys").alias("t", "k")).join(hot, ["t", "k"]).distinct())
-    in_play = cut(close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(spots.select("id")).distinct())
-    content = cut(_contents(texts, distinct.select(F.col("h").alias("id"), "first").join(in_play, "id")))
+    asked = close.select(F.explode(F.array("a", "b")).alias("id"))
+    if any_hot:
+        spots = cut(lines.select("first", "sim", "size", "keys").mapInArrow(members, "k long, id long, sim binary").join(hot, "k").dropDuplicates(["k", "id"]))
+        asked = asked.unionByName(spots.select("id"))
+    asked = cut(asked.distinct())
+    content = cut(_contents(texts, _places(lines, asked, "id")))
 
     def verify(batches):
         for b in batches:
-            ok = [i for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())) if similar(x, y, up, down)]
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(ok, pa.int64())) for c in (0, 1)], names=["a", "b"])
+            x, y = (b.column(c).to_pylist() for c in (2, 3))
+            ok = pa.array(np.flatnonzero(similar(x, y, up, down)))
+            yield pa.RecordBatch.from_arrays([b.column(c).take(ok) for c in (0, 1)], names=["a", "b"])
 
     edges = close.join(side(content, "a"), "a").join(side(content, "b"), "b").select("a", "b", "a_words", "b_words").mapInArrow(verify, "a long, b long")
 
     def compare(batches):
-        for (_, _, i, j), (_, _, _, _, own, ids, sim, words) in runs_of(batches, 4):
+        for (_, i, j), (_, _, _, own, ids, sim, words) in runs_of(batches, 3):
             own, ids, words = own.to_numpy(), ids.to_numpy(), words.to_pylist()
             sim = np.frombuffer(b"".join(sim.to_pylist()), np.uint64).reshape(-1, WORDS64)
+            enough = shared_enough(words, up, down)
             group, out = np.arange(len(ids)), []
             for r in range(len(ids)):
                 if i < j and own[r]:
                     continue
-                others = np.flatnonzero(own == 1) if i < j else np.arange(r + 1, len(ids))
-                others = others[np.bitwise_count(sim[others] ^ sim[r]).sum(axis=1, dtype=np.int64) <= near]
-                for o in others:
-                    if group[o] != group[r] and similar(words[r], words[o], up, down):  # what is joined needs no further link
-                        group[group == group[o]] = group[r]
-                        out.append((ids[r], ids[o]))
+                others = np.flatnonzero(enough[r] & (group != group[r]) & (own == 1 if i < j else np.arange(len(ids)) > r))  # what is joined needs no further link
+                others = others[np.bitwise_count(sim[others] ^ sim[r]).sum(axis=1, dtype=np.int64) <= prune.near]
+                others = others[similar([words[r]] * len(others), [words[o] for o in others], up, down)]
+                group[np.isin(group, group[others])] = group[r]
+                out += [(ids[r], ids[o]) for o in others]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    meet = blocks(spots, 1024).select("t", "k", "i", "j", "own", "id").join(sims, "id").join(content, "id").select("t", "k", "i", "j", "own", "id", "sim", "words")
-    edges = edges.unionByName(meet.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "own", "id").mapInArrow(compare, "a long, b long"))
-    comp = components(cut(edges))
-    named = distinct.select("h", "first", "copies").join(comp.withColumnRenamed("node", "h"), "h", "left")
-    firsts = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    grouped = named.where("component is not null").join(firsts, "component").where("copies > 1 or keep <> first").select("h", "keep")
-    repeated = cut(grouped.unionByName(named.where("component is null and copies > 1").select("h", F.col("first").alias("keep"))))
-
-    gone = lines.select("h", "doc_id", "line").join(repeated, "h").where(F.struct("doc_id", "line") != F.col("keep"))
-    out = cut(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    if any_hot:
+        meet = blocks(spots.withColumn("t", F.lit(0)), 1024).select("k", "i", "j", "own", "id", "sim").join(content, "id").select("k", "i", "j", "own", "id", "sim", "words")
+        edges = edges.unionByName(meet.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "own", "id").mapInArrow(compare, "a long, b long"))
+    comp = cut(components(cut(edges)))
+
+    def hashes(batches):
+        for h in (np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()):
+            yield np.ascontiguousarray(h).view(HASH)
+
+    def twice(data: bytes):
+        h = np.sort(np.frombuffer(data, np.uint64))
+        again = np.unique(h[1:][h[1:] == h[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], names=["h"])
+
+    equal = cut(deal(lines.select("h"), hashes, twice, "h long", parts_for(docs, n_lines * 8), only_twice))
+    groups = cut(comp.select(F.col("node").alias("h"), F.col("component").alias("g")).unionByName(equal.join(comp.select(F.col("node").alias("h")), "h", "left_anti").select("h", F.col("h").alias("g"))))
+    placed = cut(_places(lines, groups, "h").join(groups, "h").select("g", "doc", "row", "line"))
+    keep = cut(placed.groupBy("g").agg(F.min(F.struct("doc", "row", "line")).alias("keep")))
+    gone = placed.join(keep, "g").where(F.struct("doc", "row", "line") != F.col("keep"))
+    out = cut(gone.groupBy(F.col("row").alias("row_key")).agg(F.array_sort(F.collect_set("line")).alias("lines")))
     scratch.drop()
     return out
 
 
-def _contents(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """id and words (their hashes) of the lines asked for, by id and first (doc_id and line of one occurrence)."""
-    by_doc = asked.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.line").alias("line"), "id").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("asked"))
-    by_doc = cut(by_doc)  # a row of a document asks for its own lines only
-    some = texts.where(maybe_in(bitmap_of(by_doc, "doc_id"), "doc_id")).join(by_doc, "doc_id")
+HASH = np.dtype([("k", "<u8")])
+
+
+def only_twice(h: np.ndarray) -> np.ndarray:
+    """Each hash once or twice: more of them say no more."""
+    s = np.sort(h["k"])
+    keep = np.ones(len(s), bool)
+    keep[2:] = s[2:] != s[:-2]
+    return s[keep].view(HASH)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row of documents: a hash of its id and its text."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_col)
+
+
+def shared_enough(words: list[bytes], up: int, down: int) -> np.ndarray:
+    """Of each line with each, whether they share enough words to be similar, whatever their order; by products of matrices, some words at a time."""
+    n = np.fromiter((len(w) // 8 for w in words), np.int64, len(words))
+    row = np.repeat(np.arange(len(n)), n)
+    kinds, at = np.unique(occurrences(np.frombuffer(b"".join(words), np.uint64), row), return_inverse=True)
+    often = np.bincount(at, minlength=len(kinds)) > 1
+    place = np.where(often, np.cumsum(often) - 1, -1)[at]
+    row, place = row[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place, both = row[order], place[order], np.zeros((len(n), len(n)), np.float32)
+    for low in range(0, int(often.sum()), 1024):
+        s, e = np.searchsorted(place, [low, low + 1024])
+        m = np.zeros((len(n), 1024), np.float32)
+        m[row[s:e], place[s:e] - low] = 1
+        both += m @ m.T
+    return both * down >= np.maximum(n[:, None], n[None, :]) * up
+
+
+def _places(lines: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """h, row, doc and line of all places of the lines asked for (a distinct column of hashes)."""
+    bits = lines.sparkSession.sparkContext.broadcast(bitmap_of(asked, key))
+
+    def emit(batches):
+        for chunk in (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)))):
+            cols = [np.frombuffer(x, t) for x, t in zip(chunk, (np.int64, np.int64, np.int64, np.int32))]
+            use = in_bitmap(bits.value, cols[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], names=["h", "row", "doc", "line"])
+
+    found = lines.select("h", "row", "doc", "line").mapInArrow(emit, "h long, row long, doc long, line int")
+    return found.join(asked.select(F.col(key).alias("h")), "h", "left_semi")
+
+
+def _contents(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """id and words (their hashes) of the lines at these places (h, row, doc, line), from one place of each."""
+    one = places.groupBy("h").agg(F.min("row").alias("row"))
+    one = places.join(one, ["h", "row"]).groupBy("h", "row").agg(F.min("line").alias("line"))
+    by_row = cut(one.groupBy("row").agg(F.collect_list(F.struct("line", F.col("h").alias("id"))).alias("asked")))  # a row asks for its own lines only
+    some = texts.where(maybe_in(bitmap_of(by_row, "row"), "row")).select("row", "text").join(by_row, "row")
 
     def emit(batches):
-        hashes = WordHashes()
         for batch in batches:
             for part in split_batch(batch, 0):
                 ids, out = [], []
                 for text, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    split = (text or "").split("\n")
+                    split = text.split("\n")
                     for x in want:
                         if x["line"] < len(split):
                             ids.append(x["id"])
-                            out.append(hashes.of(normalised(split[x["line"]])).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "words"])
+                            out.append(split[x["line"]])
+                w = Words([lowered(t) for t in out], LETTER)
+                raw = w.hash.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([raw[8 * a : 8 * b] for a, b in zip(w.starts.tolist(), w.starts[1:].tolist())], pa.binary())], names=["id", "words"])
 
-    return some.select("text", "asked").mapInArrow(emit, "id long, words binary").groupBy("id").agg(F.min("words").alias("words"))
+    return some.select("text", "asked").mapInArrow(emit, "id long, words binary").dropDuplicates(["id"])
 
 
 def without_lines(text: Column, lines: Column) -> Column:
@@ -332,11 +509,11 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     Every row of docs stays, with its other columns; null texts stay null; an empty table stays empty.
     """
     tag = uuid.uuid4().hex  # no column of docs has such a name
-    doc, numbers, key = (f"{n}_{tag}" for n in ("doc", "lines", "key"))
-    gone = find_repeats(docs, **options).select(F.col("doc_id").alias(doc), F.col("lines").alias(numbers))
+    own, numbers, key = (f"{n}_{tag}" for n in ("own", "lines", "key"))
+    gone = find_repeats(docs, **options).select(F.col("row_key").alias(own), F.col("lines").alias(numbers))
     text = options.get("text_col", "text")
-    keyed = docs.drop("n_dropped").withColumn(key, F.col(options.get("id_col", "doc_id")).cast("long"))
-    touched = maybe_in(bitmap_of(gone, doc), key)  # the rest needs no shuffle
-    joined = keyed.where(touched).join(gone, F.col(key) == F.col(doc), "left").withColumn(text, without_lines(F.col(text), F.col(numbers)))
-    joined = joined.withColumn("n_dropped", F.greatest(F.coalesce(F.size(numbers), F.lit(0)), F.lit(0))).drop(doc, numbers, key)
+    keyed = docs.drop("n_dropped").withColumn(key, row_key(options.get("id_col", "doc_id"), text))
+    touched = maybe_in(bitmap_of(gone, own), key)  # the rest needs no shuffle
+    joined = keyed.where(touched).join(gone, F.col(key) == F.col(own), "left").withColumn(text, without_lines(F.col(text), F.col(numbers)))
+    joined = joined.withColumn("n_dropped", F.greatest(F.coalesce(F.size(numbers), F.lit(0)), F.lit(0))).drop(own, numbers, key)
     return joined.unionByName(keyed.where(~touched).drop(key).withColumn("n_dropped", F.lit(0)))
