@@ -203,9 +203,10 @@ def test_passages(spark):
     rows = spark.createDataFrame([(d, t, 3) for d, t in docs], "doc_id long, text string, h int")
     got = passages.find_passages(rows).collect()
     text = {d: (t or "").split() for d, t in docs if d is not None}
-    assert {r["doc_id"] for r in got} | {r["other_id"] for r in got} == planted | {0, 65, 64, 66}
+    assert {r["doc_id"] for r in got} | {r["other_id"] for r in got} == planted | {0, 65, 64, 66, None}
+    assert any(r["doc_id"] is None and r["other_id"] == 1 and r["matched"] >= 150 for r in got) and all(r["other_id"] is not None for r in got)
     for r in got:
-        assert r["other_id"] < r["doc_id"] and r["end"] - r["start"] >= 45
+        assert (r["doc_id"] is None or r["other_id"] < r["doc_id"]) and r["end"] - r["start"] >= 45
         if r["doc_id"] in planted and r["doc_id"] % 7 != 2:
             assert text[r["doc_id"]][r["start"] : r["end"]] == exact == text[r["other_id"]][r["other_start"] :][:70]
     assert next(r for r in got if r["doc_id"] == 65)["matched"] == 150
@@ -266,10 +267,12 @@ def test_repeated_ids_with_other_texts_keep_their_own_lines(spark):
 def test_dense_and_hot_buckets_give_the_same_groups(spark):
     rng = random.Random(8)
     base = words(rng, 24)
-    docs = [(d, " ".join([*base[: d % 24], f"c{d}", *base[d % 24 + 1 :]])) for d in range(150)] + [(1000 + d, " ".join(words(rng, 24))) for d in range(40)]
+    docs = [(d, " ".join([*base[: d % 24], f"c{d}", *base[d % 24 + 1 :]])) for d in range(150)]
+    chain = [" ".join([*(f"x{k}" for k in range(d)), *(f"y{k}" for k in range(d, 24))]) for d in range(0, 25, 2)]  # each similar to the next, not to all
+    docs += [(500 + i, t) for i, t in enumerate(chain)] + [(1000 + d, " ".join(words(rng, 24))) for d in range(40)]
     rows = spark.createDataFrame(docs, "doc_id long, text string")
-    want = {d: int(0 < d < 1000) for d, _ in docs}
-    for limits in ((4096, 16, 256), (20, 16, 256), (4096, 16, 3), (4096, 0, 256)):
+    want = {d: int(0 < d < 1000 and d != 500) for d, _ in docs}
+    for limits in ((4096, 16, 256), (20, 0, 256), (4096, 16, 3)):
         assert {r["doc_id"]: r["n_dropped"] for r in lines.drop_repeats(rows, limits=limits).collect()} == want
 
 
@@ -319,3 +322,24 @@ def test_edited_passages_down_to_the_identity(spark):
     got = {r["doc_id"] // 2 for r in passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     found = {kind: sum(d in got for d in range(i, 240, 6)) for i, kind in enumerate(kinds)}
     assert all(n >= 36 for n in found.values()), found
+
+
+@pytest.mark.parametrize("kind", ["offset", "low rank", "clustered", "plain"])
+def test_links_are_found_whatever_the_shape_of_the_cloud(spark, kind):
+    rng = np.random.default_rng(3)
+    n, d = 900, 32
+    base = rng.standard_normal((n // 3, 4 if kind == "low rank" else d))
+    near = np.concatenate([base + s * rng.standard_normal(base.shape) * np.linalg.norm(base, axis=1, keepdims=True) / base.shape[1] ** 0.5 for s in (0, 0.18, 0.2)])
+    if kind == "low rank":
+        near = near @ rng.standard_normal((4, d))
+    if kind == "offset":
+        near += 3 * np.linalg.norm(near, axis=1).mean() * np.ones(d) / d**0.5
+    if kind == "clustered":
+        near += 6 * rng.standard_normal((5, d))[rng.integers(0, 5, n // 3)][np.tile(np.arange(n // 3), 3)]
+    x = near.astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(rows).collect()}
+    u = x.astype(np.float64)
+    close = u @ u.T >= 0.98 * np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(u, axis=1)[None, :]
+    there = int(close.sum()) - n
+    assert there > 300 and sum(got.values()) >= 0.999 * there

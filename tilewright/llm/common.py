@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one in the local temp folder only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temp folder if all runs in one process (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tilewright-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -44,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id (long, unique, not null) and text of each row of docs. Where ids are repeated or null, rows are numbered in the order of id (nulls
+    last) and text instead, and the second frame has _row, the number, and doc_id, the id; else it is None."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return rows, None
+    rows = cut(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id()))
+    return rows.select(F.col("_row").alias("doc_id"), "text"), rows.select("_row", "doc_id")
+
+
 class Scratch:
     """Parquet tables in the shared folder, for what is read more than once; drop() removes them."""
 
@@ -56,12 +68,14 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
+    def drop(self, all_but: int = 0) -> None:
+        """Remove the tables, but for the last all_but."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.paths:
+        gone = self.paths[: len(self.paths) - all_but]
+        for path in gone:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-        self.paths = []
+        self.paths = self.paths[len(gone) :]
 
 
 BITMAP = 1 << 24

@@ -25,12 +25,15 @@ WORDS64 = 2  # length of a SimHash in 64-bit words
 BITS = 64 * WORDS64
 #: Of each byte, its bits as eight lanes of a byte, so that words are counted eight bits at a time.
 _LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).copy().view(np.uint64).ravel()
-#: What is dealt out for a line and a band: the key, the line's hash, its SimHash and its number of words (0: the key has too many lines).
+#: What is dealt out for a line and a band: the key, the line's hash, its SimHash and its number of words.
 ENTRY = np.dtype([("k", "<u8"), ("id", "<i8"), ("sim", "<u8", (WORDS64,)), ("n", "<u2")])
-LONGEST = (1 << 16) - 1  # numbers of words beyond are one
-#: How keys with many lines are handled, without effect on the result: lines of a key that one part compares, pairs per line from which a key
-#: counts as dense, lines of a key that one batch passes on. Beyond, a key's lines meet in pairs of blocks.
+LONGEST = (1 << 15) - 1  # numbers of words beyond are one
+SPLIT = np.uint16(1 << 15)  # set in n: the lines under this key are part of those of another one
+#: How keys with many lines are handled, without effect on the result: lines of a key that one part compares pair by pair, pairs per line from
+#: which a key counts as dense, lines of a key that one batch passes on under it.
 LARGE, DENSE, PASSED = LIMITS = 4096, 16, 256
+#: What a pair of lines that meet is: a candidate; a line with the leader of its group; a line (with itself) whose keys have to be gone through again.
+PAIR, STAR, AGAIN = 0, 1, 2
 
 
 class Lines:
@@ -224,9 +227,9 @@ def similar(x: list[bytes], y: list[bytes], up: int, down: int) -> np.ndarray:
 
 
 def hamming_bound(similarity: float) -> int:
-    """Bits in which SimHashes of lines at the similarity hardly ever differ more: the mean plus four deviations."""
+    """Bits in which SimHashes of lines at the similarity hardly ever differ more: the mean plus three deviations (one pair in a thousand does)."""
     p = math.acos(similarity) / math.pi
-    return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
+    return math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
 
 
 class Prune:
@@ -242,63 +245,81 @@ class Prune:
         return ok[np.bitwise_count(e["sim"][x[ok]] ^ e["sim"][y[ok]]).sum(axis=1, dtype=np.int64) <= self.near]
 
     def meet(self, data: bytes):
-        """a and b of the pairs that meet under a key and may be similar; or k of a key with too many lines or pairs."""
+        """a, b and kind of the pairs that meet under a key and may be similar. Of a dense key a line is paired with the leader of its group (the
+        smallest line near it) and with the lines near it in other groups."""
         e = np.frombuffer(data, ENTRY)
         e = e[np.argsort(e["k"])]
         same = e["k"][1:] == e["k"][:-1]
-        some = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (e["n"] == 0))
-        e = e[some]
-        e = e[np.lexsort((e["n"], e["id"], e["k"]))]
-        e = e[np.concatenate([np.ones(min(1, len(e)), bool), (e["k"][1:] != e["k"][:-1]) | (e["id"][1:] != e["id"][:-1]) | (e["n"][:-1] == 0)])]
+        e = e[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(e) else e
+        e = e[np.lexsort((e["id"], e["k"]))]
+        e = e[np.concatenate([np.ones(min(1, len(e)), bool), (e["k"][1:] != e["k"][:-1]) | (e["id"][1:] != e["id"][:-1])])]
         starts, size = runs(e["k"])
-        none = np.minimum.reduceat(e["n"], starts) == 0 if len(e) else np.zeros(0, bool)
-        hot = [e["k"][starts[none | (size > self.large)]]]
-        found = []
-        for z in np.unique(size[(size > 1) & (size <= min(48, self.large)) & ~none]):
-            at = starts[(size == z) & ~none]
+        split = e["n"][starts] >= SPLIT
+        e["n"] &= ~SPLIT
+        found, few = [], (size > 1) & (size <= min(48, self.large)) & ~split
+        for z in np.unique(size[few]):
+            at = starts[few & (size == z)]
             x, y = (np.repeat(at, len(t)) + np.tile(t, len(at)) for t in np.triu_indices(z, 1))
             for s in range(0, len(x), 1 << 20):
                 u, v = x[s : s + (1 << 20)], y[s : s + (1 << 20)]
                 ok = self.pairs(e, u, v)
-                found.append((u[ok], v[ok]))
-        for i in np.flatnonzero((size > 48) & (size <= self.large) & ~none):
-            at, z, own, count = starts[i], size[i], [], 0
-            for r in range(z - 1):
-                x, y = np.full(z - r - 1, at + r), np.arange(at + r + 1, at + z)
-                ok = self.pairs(e, x, y)
-                own.append((x[ok], y[ok]))
-                count += len(ok)
-                if count > self.dense * z:
-                    hot.append(e["k"][at : at + 1])
-                    break
-            else:
-                found += own
-        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
-        a, b = e["id"][x], e["id"][y]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        _, once = np.unique(mixed(a.view(np.uint64) * MIX + b.view(np.uint64)), return_index=True)
-        pair = np.stack([a[once], b[once]], axis=1)
-        hot = np.concatenate(hot).view(np.int64)
-        mask = np.arange(len(pair) + len(hot)) >= len(pair)
-        fill = lambda c, m, before: pa.array(np.concatenate([np.zeros(len(pair) if before else 0, np.int64), c, np.zeros(0 if before else len(hot), np.int64)]), mask=m)
-        yield pa.RecordBatch.from_arrays([fill(pair[:, 0], mask, False), fill(pair[:, 1], mask, False), fill(hot, ~mask, True)], names=["a", "b", "k"])
-
-
-def thin(e: np.ndarray, passed: int = PASSED) -> np.ndarray:
-    """Of a key with more than `passed` entries, one entry that says so."""
-    order = np.argsort(e["k"])
-    starts, size = runs(e["k"][order])
-    many = size > passed
-    if not many.any():
+                found.append((u[ok], v[ok], PAIR))
+        for i in np.flatnonzero((size > 1) & ~few):
+            found += self.many(e, starts[i], size[i], size[i] <= self.large and not split[i])
+        x, y = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
+        kind = np.repeat(np.array([f[2] for f in found], np.int32), [len(f[0]) for f in found]) if found else np.zeros(0, np.int32)
+        a, b = e["id"][x], e["id"][y]  # a < b, as ids ascend within a key
+        _, once = np.unique(mixed(a.view(np.uint64) * MIX + b.view(np.uint64)) ^ kind.astype(np.uint64), return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(kind[once])], names=["a", "b", "kind"])
+
+    def many(self, e: np.ndarray, at: int, z: int, whole: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """meet() of one key with z lines, from `at` on; if not whole, lines that aren't near the first have to be gone through again."""
+        found, count = [], 0
+        for r in range(z - 1 if whole else 0):
+            x, y = np.full(z - r - 1, at + r), np.arange(at + r + 1, at + z)
+            ok = self.pairs(e, x, y)
+            found.append((x[ok], y[ok], PAIR))
+            count += len(ok)
+            if count > self.dense * z:
+                break
+        else:
+            if whole:
+                return found
+        found, group, rest = [], np.full(z, -1), np.arange(z)
+        while len(rest) and (whole or not len(found)):
+            near = np.concatenate([[0], 1 + self.pairs(e, np.full(len(rest) - 1, at + rest[0]), at + rest[1:])]).astype(np.int64)
+            group[rest[near]] = rest[0]
+            found.append((np.full(len(near) - 1, at + rest[0]), at + rest[near[1:]], STAR))
+            rest = np.delete(rest, near)
+        if not whole:
+            return [*found, (at + rest, at + rest, AGAIN)]
+        for r in range(z - 1):
+            y = np.flatnonzero(group[r + 1 :] != group[r]) + r + 1
+            if len(y):
+                ok = self.pairs(e, np.full(len(y), at + r), at + y)
+                found.append((np.full(len(ok), at + r), at + y[ok], PAIR))
+        return found
+
+
+def apart(e: np.ndarray, passed: int = PASSED) -> np.ndarray:
+    """Of a key with more than `passed` entries, all get a key of their own; the first, which leads them, keeps the old one as well."""
+    order = np.lexsort((e["id"], e["k"]))
+    e = e[order]
+    starts, size = runs(e["k"])
+    hot = np.flatnonzero(size > passed)
+    if not len(hot):
         return e
+    at = np.repeat(starts[hot] - (np.cumsum(size[hot]) - size[hot]), size[hot]) + np.arange(size[hot].sum())
+    own = e[at].copy()
+    first = np.repeat(own["id"][np.cumsum(size[hot]) - size[hot]], size[hot])
+    own["k"] = mixed(own["k"] ^ mixed(first.view(np.uint64) + MIX))
+    own["n"] |= SPLIT
     keep = np.ones(len(e), bool)
-    keep[order[np.repeat(many, size)]] = False
-    mark = e[order[starts[many]]].copy()
-    mark["n"] = 0
-    return np.concatenate([e[keep], mark])
+    keep[at] = np.arange(len(at)) - np.repeat(np.cumsum(size[hot]) - size[hot], size[hot]) == 0
+    return np.concatenate([e[keep], own])
 
 
-def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, least_equal: int | None = None, recall: float = 0.99, rounds: int = 3, limits: tuple[int, int, int] = LIMITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_words: int = 3, least_equal: int | None = None, recall: float = 0.99, rounds: int = 4, limits: tuple[int, int, int] = LIMITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key (see row_key()) and lines (array<int>, the numbers of its lines that go) of each row of docs that loses lines.
 
     Lines (between line feeds) are compared without case, ASCII punctuation and spacing. Two are linked if their edit similarity over words, 1 -
@@ -349,57 +370,57 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
     for i in range(rounds):
         low, high = bands.bands * i // rounds, bands.bands * (i + 1) // rounds
         if low < high:
-            met.append(cut(deal(lines.select("first", "sim", "size", "keys"), lambda b, low=low, high=high: entries(b, low, high), prune.meet, "a long, b long, k long", parts_for(docs, n_first * (high - low) * ENTRY.itemsize), lambda e: thin(e, limits[2]))))
+            met.append(cut(deal(lines.select("first", "sim", "size", "keys"), lambda b, low=low, high=high: entries(b, low, high), prune.meet, "a long, b long, kind int", parts_for(docs, n_first * (high - low) * ENTRY.itemsize), lambda e: apart(e, limits[2]))))
     found = met[0]
     for m in met[1:]:
         found = found.unionByName(m)
-    close = cut(found.where("a is not null").select("a", "b").distinct())
-    hot = cut(found.where("k is not null").select("k").distinct())
-    hot_bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(hot, "k"))
-
-    def members(batches):
-        for e in entries(batches, 0, bands.bands):
-            e = e[in_bitmap(hot_bits.value, e["k"])]
-            yield pa.RecordBatch.from_arrays([pa.array(e["k"].astype(np.int64)), pa.array(e["id"].astype(np.int64)), pa.array([s.tobytes() for s in e["sim"]], pa.binary())], names=["k", "id", "sim"])
-
-    any_hot = not hot.isEmpty()
     side = lambda d, c: d.select(F.col("id").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in d.columns if n != "id"))
-    asked = close.select(F.explode(F.array("a", "b")).alias("id"))
-    if any_hot:
-        spots = cut(lines.select("first", "sim", "size", "keys").mapInArrow(members, "k long, id long, sim binary").join(hot, "k").dropDuplicates(["k", "id"]))
-        asked = asked.unionByName(spots.select("id"))
-    asked = cut(asked.distinct())
-    content = cut(_contents(texts, _places(lines, asked, "id")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of lines that are similar."""
+        pairs = cut(pairs)
+        content = cut(_contents(texts, _places(lines, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")))
+        return cut(pairs.join(side(content, "a"), "a").join(side(content, "b"), "b").select("a", "b", "a_words", "b_words").mapInArrow(verify, "a long, b long"))
 
     def verify(batches):
         for b in batches:
-            x, y = (b.column(c).to_pylist() for c in (2, 3))
-            ok = pa.array(np.flatnonzero(similar(x, y, up, down)))
-            yield pa.RecordBatch.from_arrays([b.column(c).take(ok) for c in (0, 1)], names=["a", "b"])
-
-    edges = close.join(side(content, "a"), "a").join(side(content, "b"), "b").select("a", "b", "a_words", "b_words").mapInArrow(verify, "a long, b long")
-
-    def compare(batches):
-        for (_, i, j), (_, _, _, own, ids, sim, words) in runs_of(batches, 3):
-            own, ids, words = own.to_numpy(), ids.to_numpy(), words.to_pylist()
-            sim = np.frombuffer(b"".join(sim.to_pylist()), np.uint64).reshape(-1, WORDS64)
-            enough = shared_enough(words, up, down)
-            group, out = np.arange(len(ids)), []
-            for r in range(len(ids)):
-                if i < j and own[r]:
-                    continue
-                others = np.flatnonzero(enough[r] & (group != group[r]) & (own == 1 if i < j else np.arange(len(ids)) > r))  # what is joined needs no further link
-                others = others[np.bitwise_count(sim[others] ^ sim[r]).sum(axis=1, dtype=np.int64) <= prune.near]
-                others = others[similar([words[r]] * len(others), [words[o] for o in others], up, down)]
-                group[np.isin(group, group[others])] = group[r]
-                out += [(ids[r], ids[o]) for o in others]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-    if any_hot:
-        meet = blocks(spots.withColumn("t", F.lit(0)), 1024).select("k", "i", "j", "own", "id", "sim").join(content, "id").select("k", "i", "j", "own", "id", "sim", "words")
-        edges = edges.unionByName(meet.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "own", "id").mapInArrow(compare, "a long, b long"))
-    comp = cut(components(cut(edges)))
+            for part in split_batch(b, 2, 1 << 21):
+                ok = pa.array(np.flatnonzero(similar(part.column(2).to_pylist(), part.column(3).to_pylist(), up, down)))
+                yield pa.RecordBatch.from_arrays([part.column(c).take(ok) for c in (0, 1)], names=["a", "b"])
+
+    edges = verified(found.where("a <> b").select("a", "b").distinct())
+    comp = cut(components(edges))
+    # Lines of a group that were compared with its leader only, and aren't joined with it, meet all lines that share a key with them.
+    again = found.where(f"kind = {AGAIN}").select("a")
+    stars = found.where(f"kind = {STAR}").select("a", "b").distinct().join(edges, ["a", "b"], "left_anti")
+    named = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    alone = cut(stars.join(named("a"), "a", "left").join(named("b"), "b", "left").where("a_in is null or b_in is null or a_in <> b_in").select(F.col("b").alias("a")).unionByName(again).distinct())
+    if not alone.isEmpty():
+        led = found.where(f"kind = {STAR}").join(alone, "a", "left_semi").select(F.col("b").alias("a"))
+        alone = cut(alone.unionByName(led).distinct())
+        wanted = Members(alone, "a")
+        keys = cut(wanted.of(lines, entries, bands.bands, "id").select("k").distinct())
+        spots = Members(keys, "k").of(lines, entries, bands.bands, "k").dropDuplicates(["k", "id"])
+        spots = spots.join(alone.select(F.col("a").alias("id"), F.lit(True).alias("alone")), "id", "left").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
+        spots = cut(spots.withColumn("t", F.lit(0)).withColumn("component", F.coalesce("component", "id")).withColumn("alone", F.coalesce("alone", F.lit(False))))
+
+        def compare(batches):
+            for (_, i, j), (_, _, _, own, ids, sim, n, lone, within) in runs_of(batches, 3):
+                e = np.empty(len(ids), ENTRY)
+                e["id"], e["sim"], e["n"] = ids.to_numpy(), np.frombuffer(b"".join(sim.to_pylist()), np.uint64).reshape(-1, WORDS64), n.to_numpy()
+                own, lone, within, out = own.to_numpy(), lone.to_numpy(zero_copy_only=False), within.to_numpy(), []
+                for r in range(len(e)):
+                    if i < j and own[r]:
+                        continue
+                    y = np.flatnonzero((lone[r] | lone) & (within != within[r]) & (own == 1 if i < j else np.arange(len(e)) > r))
+                    y = y[prune.pairs(e, np.full(len(y), r), y)]
+                    out.append(np.stack([np.minimum(e["id"][r], e["id"][y]), np.maximum(e["id"][r], e["id"][y])]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["a", "b"])
+
+        meet = blocks(spots, 1024).select("k", "i", "j", "own", "id", "sim", "n", "alone", "component")
+        more = meet.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "own", "id").mapInArrow(compare, "a long, b long").distinct()
+        comp = cut(components(edges.unionByName(verified(more.join(found.select("a", "b"), ["a", "b"], "left_anti")))))
 
     def hashes(batches):
         for h in (np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()):
@@ -420,6 +441,26 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
     return out
 
 
+class Members:
+    """Entries of lines whose key or hash is among some."""
+
+    def __init__(self, asked: DataFrame, column: str):
+        self.asked, self.column = asked, column
+        self.bits = asked.sparkSession.sparkContext.broadcast(bitmap_of(asked, column))
+
+    def of(self, lines: DataFrame, entries, bands: int, by: str) -> DataFrame:
+        """k, id, sim and n; by: k or id."""
+        bits = self.bits
+
+        def run(batches):
+            for e in entries(batches, 0, bands):
+                e = e[in_bitmap(bits.value, np.ascontiguousarray(e[by]).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(e["k"].astype(np.int64)), pa.array(e["id"].astype(np.int64)), pa.array([s.tobytes() for s in e["sim"]], pa.binary()), pa.array(e["n"].astype(np.int32))], names=["k", "id", "sim", "n"])
+
+        found = lines.select("first", "sim", "size", "keys").mapInArrow(run, "k long, id long, sim binary, n int")
+        return found.join(self.asked.select(F.col(self.column).alias(by)).distinct(), by, "left_semi")
+
+
 HASH = np.dtype([("k", "<u8")])
 
 
@@ -436,24 +477,6 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), text_col)
 
 
-def shared_enough(words: list[bytes], up: int, down: int) -> np.ndarray:
-    """Of each line with each, whether they share enough words to be similar, whatever their order; by products of matrices, some words at a time."""
-    n = np.fromiter((len(w) // 8 for w in words), np.int64, len(words))
-    row = np.repeat(np.arange(len(n)), n)
-    kinds, at = np.unique(occurrences(np.frombuffer(b"".join(words), np.uint64), row), return_inverse=True)
-    often = np.bincount(at, minlength=len(kinds)) > 1
-    place = np.where(often, np.cumsum(often) - 1, -1)[at]
-    row, place = row[place >= 0], place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    row, place, both = row[order], place[order], np.zeros((len(n), len(n)), np.float32)
-    for low in range(0, int(often.sum()), 1024):
-        s, e = np.searchsorted(place, [low, low + 1024])
-        m = np.zeros((len(n), 1024), np.float32)
-        m[row[s:e], place[s:e] - low] = 1
-        both += m @ m.T
-    return both * down >= np.maximum(n[:, None], n[None, :]) * up
-
-
 def _places(lines: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """h, row, doc and line of all places of the lines asked for (a distinct column of hashes)."""
     bits = lines.sparkSession.sparkContext.broadcast(bitmap_of(asked, key))
