@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, split_batch
+from .tokens import mixed, powers
 
 RUN = ("length", "first_rank", "n", "each", "first_sequence", "offset")
 
@@ -92,23 +93,26 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]]
     return runs
 
 
-#: The pre-split pattern of the vocabulary and its mark of a word's end; below LIMIT lower-casing goes letter by letter and
-#: normal forms don't matter.
+#: The pre-split pattern of the vocabulary and its mark of a word's end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-LIMIT = "\u0130"
+#: Of each byte: 0 white space, 1 part of a letter, 2 digit, 3 other; and whether a chunk that holds it is looked up as a whole: with an apostrophe
+#: or the beginning of a special token, control characters, or anything but ASCII and the letters from U+00C0 to U+00FF.
+KIND = np.array([0 if c in b" \t\n\x0b\x0c\r" else 1 if 65 <= c <= 90 or 97 <= c <= 122 or c > 127 else 2 if 48 <= c <= 57 else 3 for c in range(256)], np.uint8)
+ODD = np.array([c in b"'<" or c < 32 and c not in b"\t\n\x0b\x0c\r" or c == 127 or c > 191 and c != 0xC3 for c in range(256)])
 
 
 class ChunkEncoder:
-    """Ids of a text from the tokenizers library, each word only once.
+    """Ids of texts from the tokenizers library, each word only once.
 
     The vocabulary's normalizer turns white space into single spaces and its pre-splitter drops them, so a text's ids are those of its
-    chunks between spaces and line breaks, one after the other, and a chunk's ids those of its pre-split words. Chunks and words met before
-    are looked up (the memory of them is bounded); the new words of a text go to the library in one call, whose ids are parted where words
-    end. Chunks with letters from LIMIT on, or that may hold a special token, go to the library as they are.
+    chunks between white space, one after the other, and a chunk's ids those of its pre-split words. All texts of a call are one array of
+    bytes: lower-casing and pre-splitting compare neighbouring bytes, and words are looked up by 64-bit hashes in a table of 2 ** slots places
+    (one word a place, the last one stays), so its memory is bounded. The new words of a call go to the library at once, whose ids are parted
+    where words end. Chunks with bytes of ODD are words of their own.
     """
 
-    def __init__(self, content: str, most: int = 500_000):
+    def __init__(self, content: str, slots: int = 21):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -117,38 +121,103 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
-        self.most, self.chunks, self.words, self.find = most, {}, {}, regex.compile(SPLIT).findall
+        self.find, self.mask = regex.compile(SPLIT).findall, np.uint64((1 << slots) - 1)
+        self.keys, self.at, self.n = np.zeros(1 << slots, np.uint64), np.zeros(1 << slots, np.int32), np.zeros(1 << slots, np.int32)
+        self.ids, self.used = np.zeros(1 << 23, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not texts:
+            return []
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        first, last, h, odd = self.words(buf)
+        at, n, ids = self.lookup(buf, first, last, h, odd)
+        flat = ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]  # at and n: 32 bits in the table, 64 in sums
+        edges = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(first, edges)] * 4
+        out = flat.astype("<u4").tobytes()
+        return [out[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    @staticmethod
+    def words(buf: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where each word begins and ends (bytes), its hash, and whether it is a chunk with odd bytes."""
+        kind = KIND[buf]
+        after = np.append(buf[1:], 0)
+        odd = ODD[buf] | (buf == 0xC3) & ((after == 0x97) | (after == 0xB7))
+        solid = np.concatenate([[0], (kind > 0).view(np.int8), [0]])
+        step = np.diff(solid)
+        begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        whole = np.zeros(len(buf) + 1, np.int8)
+        if odd.any():
+            some = np.unique(np.searchsorted(begins, np.flatnonzero(odd & (kind > 0)), side="right") - 1)
+            whole[begins[some]] = 1
+            whole[ends[some]] -= 1
+        whole = np.cumsum(whole[:-1], dtype=np.int8).view(bool)
+        edge = np.empty(len(buf) + 1, bool)
+        edge[0] = edge[-1] = True
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        inside = np.concatenate([[False], whole[1:] & whole[:-1], [False]])
+        edge[inside] = False
+        edges = np.flatnonzero(edge)
+        use = kind[edges[:-1]] > 0
+        first, last = edges[:-1][use], edges[1:][use]
+        upper = (buf >= 65) & (buf <= 90)
+        upper[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)
+        upper &= ~whole
+        value = buf.astype(np.uint64)
+        value += np.uint64(32) * upper
+        value += np.uint64(1)
+        up, down = powers(len(buf) + 1)
+        value *= up[:-1]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(value)])
+        return first, last, mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)), whole[first]
+
+    def lookup(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where each word's ids are, how many, and in what array."""
+        slot = (h & self.mask).astype(np.int64)
+        miss = np.flatnonzero(self.keys[slot] != h)
+        if not len(miss):
+            return self.at[slot], self.n[slot], self.ids
+        new, one, which = np.unique(h[miss], return_index=True, return_inverse=True)
+        raw, start, end, as_is = buf.tobytes(), first[miss[one]].tolist(), last[miss[one]].tolist(), odd[miss[one]].tolist()
+        ids = self.fresh([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start, end)], as_is)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate(ids)
+        if self.used + len(flat) > len(self.ids):
+            self.keys[:], self.used = 0, 0
+            if len(flat) > len(self.ids):
+                self.ids = np.zeros(2 * len(flat), self.ids.dtype)
+            return self.lookup(buf, first, last, h, odd)
+        base = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        at, n = self.at[slot], self.n[slot]
+        at[miss], n[miss] = base[which], size[which]
+        to = (new & self.mask).astype(np.int64)
+        self.keys[to], self.at[to], self.n[to] = new, base, size
+        return at, n, self.ids
+
+    def fresh(self, words: list[str], odd: list[bool]) -> list[np.ndarray]:
+        """Ids of words; odd ones are chunks."""
+        plain: dict[str, int] = {}
+        parts: list[list[int] | None] = []
+        for w, o in zip(words, odd):
+            if o and not (w.isascii() and w.isprintable() and "<" not in w):
+                parts.append(None)
+            else:
+                parts.append([plain.setdefault(x, len(plain)) for x in (self.find(w.lower()) if o else (w.lower(),))])
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], np.uint32)
+        cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
         out = []
-        for at in range(0, len(texts), 32):
-            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 32]]
-            self.learn(set().union(*parts))
-            known = self.chunks.__getitem__
-            out += [b"".join(map(known, ps)) for ps in parts]
-        return out
-
-    def learn(self, parts: set[str]) -> None:
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        chunks, words, find, split, new = self.chunks, self.words, self.find, [], set()
-        for p in parts.difference(chunks):
-            if (p.isascii() or max(p) < LIMIT) and "<|" not in p:
-                ws = find(p.lower())
-                split.append((p, ws))
-                new.update(ws)
+        for w, p in zip(words, parts):
+            if p is None:
+                out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
+            elif len(p) == 1:
+                out.append(ids[cuts[p[0]] : cuts[p[0] + 1]])
             else:
-                chunks[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        new = list(new.difference(words))
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            at, raw = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
-            words.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:])]))
-        for p, ws in split:
-            chunks[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+                out.append(np.concatenate([ids[cuts[i] : cuts[i + 1]] for i in p] or [ids[:0]]))
+        return out
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -169,7 +238,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in split_batch(batch, 1):
+            for part in split_batch(batch, 1, 1 << 20):
                 out = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encoder(shared.value).encode(texts)):
