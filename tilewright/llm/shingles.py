@@ -10,46 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, split_batch
+from .common import cut, split_batch, unique_ids
 from .graph import components, link
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes:
-    """64-bit hashes of words (runs of characters other than ASCII white space), with a bounded memory of words met before."""
-
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
-
-    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            known.update((w, xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))) for w in set(words).difference(known))
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that scatters them."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of n word hashes; of a shorter text one window of all its words."""
-    n = min(n, len(words))
-    if not n:
-        return words
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        out = mixed(out * _MIX + words[i : len(words) - n + 1 + i] + np.uint64(n))
-    return out
-
+from .tokens import MIX, Words, grams_of, mixed
 
 def plan_bands(similarity: float, recall: float) -> tuple[int, int]:
     """Bands and rows: the most rows for which the bands that give the recall at the similarity take 100 hashes at most."""
@@ -67,62 +30,74 @@ class MinHash:
     def __init__(self, bands: int, rows: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        self.mul = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-
-    def keys(self, items: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.mul), np.iinfo(np.uint64).max)
-        for at in range(0, len(items), 1024):
-            part = items[at : at + 1024]
-            low = np.minimum(low, (part[None, :] * self.mul[:, None] + self.add[:, None]).min(axis=1))
-        key = np.zeros(self.bands, np.uint64)
-        for r in range(self.rows):
-            key = mixed(key * _MIX + low[r :: self.rows])
-        return key.view(np.int64)
+        self.mul, self.add = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) for _ in range(2))
+        self.mul |= np.uint32(1)
+
+    def keys(self, items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """sets x bands keys of the sets that begin at starts (none is empty)."""
+        x = (mixed(items) >> np.uint64(32)).astype(np.uint32)
+        out, now, low = np.empty((self.bands, len(starts)), np.uint64), np.empty_like(x), np.empty(len(starts), np.uint32)
+        for band in range(self.bands):
+            key = np.full(len(starts), band + 1, np.uint64)
+            for j in range(band * self.rows, (band + 1) * self.rows):
+                np.multiply(x, self.mul[j], out=now)
+                now += self.add[j]
+                np.minimum.reduceat(now, starts, out=low)
+                key *= MIX
+                key += low
+            out[band] = mixed(key)
+        return np.ascontiguousarray(out.T).view(np.int64)
+
+
+def gram_sets(texts: list, n: int) -> list[np.ndarray]:
+    """The sorted set of n-gram hashes of each text; null texts have none."""
+    words = Words([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    g, at = grams_of(words.hash, words.starts, n, whole=True)
+    return [np.unique(g[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 def jaccard_join(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, component_id and kept.
 
     Documents are linked if the Jaccard similarity of their sets of word n-grams is at least similarity (a fraction). class_id is the smallest
-    doc_id with the same set; component_id the smallest that links lead to; kept says that it is the row's own. A text of fewer than n words
-    has one n-gram, of all its words; null texts and texts without words have none and link with nothing. Copies are compared once and count
-    as a link each; repeated rows are copies of each other, and all of them get the same values. An empty table gives an empty one; other
-    columns are ignored.
+    doc_id with the same set; component_id the smallest that links lead to; kept says that the row is the first of its component. A text of
+    fewer than n words has one n-gram, of all its words; null texts and texts without words have none and link with nothing. Each row is a
+    document of its own: rows of one doc_id, or without one, come in the order of their texts (nulls last), and only the first of a component
+    is kept; a null doc_id gives null ids. Copies are compared once and count as a link each. An empty table gives an empty one; other columns
+    are ignored. N-grams are named by 64-bit hashes.
 
     The bands are chosen for the recall at the threshold; pairs of equal band hashes are candidates, and every candidate is verified.
     """
     up, down = similarity
     bands, rows = plan_bands(up / down, recall)
+    texts, back = unique_ids(docs, id_col, text_col)
 
     def encode(batches):
-        hashes, minhash = WordHashes(), MinHash(bands, rows)
+        minhash = MinHash(bands, rows)
         for batch in batches:
-            for part in split_batch(batch, 1):
-                sets, prints, keys = [], [], []
-                for t in part.column(1).to_pylist():
-                    g = np.unique(grams(hashes.of((t or "").encode("utf-8", "surrogatepass").split()), n))
-                    sets.append(len(g))
-                    prints.append(xxhash.xxh3_128_digest(g.tobytes()))
-                    keys.append(minhash.keys(g) if len(g) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_grams", "print", "keys"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+            for part in split_batch(batch, 1, 1 << 20):
+                sets = gram_sets(part.column(1).to_pylist(), n)
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                some = np.flatnonzero(size)
+                keys = minhash.keys(np.concatenate(sets), (np.cumsum(size) - size)[some]) if len(some) else np.zeros((0, bands), np.int64)
+                lists = np.zeros((len(sets), bands), np.int64)
+                lists[some] = keys
+                column = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(lists.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), column], names=["doc_id", "n_grams", "print", "keys"])
+
     coded = cut(texts.mapInArrow(encode, "doc_id long, n_grams long, print binary, keys array<long>"))
     some = coded.where("n_grams > 0")
     classes = cut(some.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.min("n_grams").alias("n_grams"), F.min("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()))
 
     def sets(batches):
-        hashes = WordHashes()
         for batch in batches:
-            for part in split_batch(batch, 1):
-                out = [np.unique(grams(hashes.of((t or "").encode("utf-8", "surrogatepass").split()), n)).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "grams"])
+            for part in split_batch(batch, 1, 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in gram_sets(part.column(1).to_pylist(), n)], pa.binary())], names=["id", "grams"])
 
     def full_sets(ids: DataFrame) -> DataFrame:
         """The n-grams of the classes asked for, from the text of one document each."""
         want = ids.join(classes.select("id", "class_id"), "id").select("id", F.col("class_id").alias("doc_id"))
-        return texts.join(want, "doc_id").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(sets, "id long, grams binary")
+        return texts.join(want, "doc_id").select("id", "text").mapInArrow(sets, "id long, grams binary")
 
     def linked(a: int | np.ndarray, b: int | np.ndarray, both: int | np.ndarray) -> bool | np.ndarray:
         return both * (up + down) >= up * (a + b)
@@ -162,4 +137,9 @@ def jaccard_join(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int =
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "component").select("print", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component_id")
     out = coded.select("doc_id", F.when(F.col("n_grams") > 0, F.col("print")).alias("print")).join(named, "print", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if back is None:
+        return out
+    for c in ("doc_id", "class_id", "component_id"):
+        out = out.join(back.select(F.col("_row").alias(c), F.col("doc_id").alias("_id")), c).withColumn(c, F.col("_id")).drop("_id")
+    return out.select("doc_id", "class_id", "n_links", "component_id", "kept")
