@@ -2,8 +2,10 @@
 
 Iterative quantisation learns, on a bounded sample, rotations that bring the centred principal components close to the corners of a cube, so
 that their signs are balanced binary codes in which close vectors differ in few bits. The codes are cut into substrings, one table each; two
-vectors are candidates if they agree in a whole substring. The number of tables follows from the recall wanted at the threshold, the length of
-a substring from the number of vectors. Every candidate pair is judged by the cosine of the original vectors in double precision.
+vectors are candidates if they agree in a whole substring. Length and number of the substrings are planned on pairs made from the sample that lie
+at the threshold exactly, half of them apart in the directions in which the sample's own vectors differ: centring widens the angles of vectors
+with a large common mean, so that the angle alone doesn't tell how many bits differ. Every candidate pair is judged by the cosine of the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, hashed_sample
 from .graph import components, link
+from .tokens import mixed
 
 
 @dataclass
@@ -29,36 +32,57 @@ class Quantiser:
 
     def keys(self, x: np.ndarray, group: np.ndarray) -> np.ndarray:
         """A key for each unit vector and table; vectors of different groups get different keys (but for chance)."""
-        code = np.concatenate([(x - self.mean) @ a > 0 for a in self.axes], axis=1)
-        parts = code[:, : self.tables * self.bits].reshape(len(x), self.tables, self.bits)
-        key = parts @ (1 << np.arange(self.bits, dtype=np.int64))
+        key = np.zeros((len(x), self.tables), np.int64)
+        if self.bits:
+            code = np.concatenate([(x - self.mean) @ a > 0 for a in self.axes], axis=1)
+            parts = code[:, : self.tables * self.bits].reshape(len(x), self.tables, self.bits)
+            key = parts @ (1 << np.arange(self.bits, dtype=np.int64))
         return key ^ ((group.astype(np.int64) << np.int64(self.bits)) & np.int64(0x7FFFFFFFFFFFFFFF))[:, None]
 
 
-def plan_tables(n: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Bits of a substring and number of tables: about n / 4 buckets, and the recall wanted of a pair at the threshold, whose bits differ
-    with probability angle / pi."""
-    bits = min(30, max(8, math.ceil(math.log2(max(n, 2))) - 2))
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+MOST_TABLES = 64
 
 
-def fit_quantiser(sample: np.ndarray, n: int, cosine: float, recall: float, rounds: int = 30, seed: int = 1) -> Quantiser:
-    """sample: unit vectors; n: of how many vectors it is a sample."""
-    bits, tables = plan_tables(n, cosine, recall)
+def pairs_at(sample: np.ndarray, cosine: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Two sides of n pairs at the cosine exactly: a vector of the sample, moved towards another one or in any direction."""
+    x = sample[rng.integers(0, len(sample), n)]
+    way = np.where((np.arange(n) % 2 == 0)[:, None], sample[rng.integers(0, len(sample), n)] - x, rng.standard_normal(x.shape))
+    way -= (way * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(way, axis=1)
+    ok = size > 1e-9
+    return x[ok], cosine * x[ok] + math.sqrt(1 - cosine * cosine) * way[ok] / size[ok, None]
+
+
+def fit_quantiser(sample: np.ndarray, n: int, cosine: float, recall: float, rounds: int = 30, seed: int = 1, pairs: int = 10_000) -> Quantiser:
+    """sample: unit vectors; n: of how many vectors it is a sample.
+
+    Substrings have the most bits, up to about log2(n / 4), for which MOST_TABLES tables lose no more of the pairs at the threshold than the
+    recall allows; with none, there is one table in which all vectors meet.
+    """
     mean = sample.mean(axis=0)
     x = sample - mean
     values, vectors = np.linalg.eigh(x.T @ x)
     width = min(x.shape[1], 64)
     pca = vectors[:, np.argsort(-values)[:width]]
     v, axes, rng = x @ pca, [], np.random.default_rng(seed)
-    while len(axes) * width < bits * tables:
-        r = np.linalg.qr(rng.standard_normal((width, width)))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        axes.append(pca @ r)
-    return Quantiser(mean, axes, bits, tables)
+    p, q = (s - mean for s in pairs_at(sample, cosine, pairs, rng))
+    agree = np.zeros((len(p), 0), bool)
+    for bits in range(min(30, max(8, math.ceil(math.log2(max(n, 2))) - 2)), 0, -1):
+        met = np.zeros(len(p), bool)
+        for tables in range(1, MOST_TABLES + 1):
+            while len(axes) * width < bits * tables:
+                r = np.linalg.qr(rng.standard_normal((width, width)))[0]
+                for _ in range(rounds):
+                    u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
+                    r = (u @ w).T
+                axes.append(pca @ r)
+                agree = np.concatenate([agree, (p @ axes[-1] > 0) == (q @ axes[-1] > 0)], axis=1)
+            met |= agree[:, (tables - 1) * bits : tables * bits].all(axis=1)
+            if (~met).sum() <= (1 - recall) * len(met) / 2:
+                return Quantiser(mean, axes[: -(-bits * tables // width)], bits, tables)
+            if tables == 16 and met.mean() < 0.9:  # hopeless at this length
+                break
+    return Quantiser(mean, [], 0, 1)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -98,7 +122,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
             flat_v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
             start = np.cumsum(size) - size
             tables = max(m.tables for m in shared.value.values())
-            keys = np.zeros((len(size), tables), np.int64)
+            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)[:, None] * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
+            keys = mixed(own).view(np.int64)  # where a length has fewer tables: a key that no other vector has
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 x = flat_v[start[at][:, None] + np.arange(d)].astype(np.float64)
