@@ -121,6 +121,6 @@ def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str]
 
 
 def added_conversation(rows: DataFrame) -> DataFrame:
-    """rows and conversation -1, whose texts hold control strings."""
+    """rows and conversation -1, whose texts hold control strings. Rows that already have that number belong to the same conversation."""
     more = rows.sparkSession.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id long, turn long, role string, text string")
     return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)

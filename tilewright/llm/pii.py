@@ -56,7 +56,7 @@ def base_spans(text: str) -> list[Span]:
     if not re.search("[0-9]", text):
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) < 3 or len(q) == 3 and q <= "255" for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")

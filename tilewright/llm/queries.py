@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, chat, embeddings, lines, packing, passages, pii, quality, shingles, toxicity
 from ..plans.shipping import shipped
 from .common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -66,4 +67,3 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op9_collinear_chains, op10_ordinal_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
