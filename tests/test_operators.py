@@ -83,7 +83,7 @@ def blobs(spark, n=300, seed=0):
 
 def test_training_finds_blobs(spark):
     x, rows = blobs(spark)
-    for centers in (kmeans.fit(rows, 3), kmeans.lloyd(rows, x[[0, 100, 200]], 3)):
+    for centers in (kmeans.fit(rows, 3), kmeans.full_passes(rows, x[[0, 100, 200]], 3)):
         sizes = {r["count"] for r in kmeans.assign(rows, centers).groupBy("cluster").count().collect()}
         assert sizes == {100}
     assert kmeans.mini_batch_fit(rows, 3, parts=3).shape == (3, 3)
@@ -172,3 +172,33 @@ def test_silhouette_of_all_takes_every_row(spark):
     rows = spark.createDataFrame([(i, int(k), x.tolist()) for i, (k, x) in enumerate(zip(c, v))], "vec_id long, cluster int, vector array<double>")
     assert kselect.silhouette_of_all(rows, "vec_id").first()[0] == pytest.approx(want, abs=2e-6)
     assert kselect.silhouette_of_all(rows, "vec_id", block_rows=1000).first()[0] == pytest.approx(want, abs=2e-6)
+
+
+def test_null_vectors_get_no_cluster_and_no_projection(spark):
+    rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, None), (2, [5.0, 5.0])], "unique_id long, vector array<double>")
+    centers = np.array([[0.0, 0.0], [5.0, 5.0]])
+    got = {r["unique_id"]: (r["cluster"], r["d2"]) for r in kmeans.assign(rows, centers).collect()}
+    assert got == {0: (0, 1.0), 1: (None, None), 2: (1, 0.0)}
+    table = spark.createDataFrame([(0, [0.0, 0.0]), (1, [5.0, 5.0])], "cluster int, center array<double>")
+    assert {r["unique_id"]: (r["cluster"], r["d2"]) for r in kmeans.assign_native(rows, table, "unique_id").collect()} == got
+    shown = {r["unique_id"]: r["projected"] for r in kmeans.project(rows, np.zeros(2), np.eye(2)[:, :1]).collect()}
+    assert shown == {0: [0.0], 1: None, 2: [5.0]}
+
+
+def test_sweep_against_plain_metrics(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "unique_id long, vector array<double>")
+    got = {r["k"]: r for r in kselect.sweep(rows, [2, 3], "unique_id").collect()}
+    own = np.repeat(np.arange(3), 30)
+    centers = np.stack([x[own == c].mean(0) for c in range(3)])
+    assert got[3]["inertia"] == pytest.approx(((x - centers[own]) ** 2).sum(), abs=1e-5) and got[3]["inertia"] < got[2]["inertia"]
+    assert got[3]["silhouette"] > 0.9 and got[3]["n"] == 90
+
+
+def test_chunks_of_a_group_follow_its_order(spark):
+    rows = [(i % 3, (i * 37) % 100 if i % 11 else None, i) for i in range(100)]
+    got = sampling.chunk_numbers(spark.createDataFrame(rows, "g int, o int, id int"), "g", "o", 7, parts=5).collect()
+    for g in range(3):
+        order = sorted((r for r in got if r["g"] == g), key=lambda r: (r["o"] is not None, r["o"] or 0, r["chunk"]))
+        assert [r["chunk"] for r in order] == [i // 7 for i in range(len(order))]

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import tilewright.plans.more  # noqa: F401 - registers its queries
 from tilewright.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,45 @@ def first_five_and_rest(key: Column) -> Column:
     """tissue, block, slice, date, box and the rest (joined again) of a key; null below six parts."""
     p = F.split(key, "_")
     return F.when(F.size(p) >= 6, F.concat(F.slice(p, 1, 5), F.array(F.array_join(F.slice(p, 6, 1000), "_"))))
+
+
+def row_id() -> Column:
+    """A surrogate id from the row's place; stable only for a plan that is computed once."""
+    return F.md5(F.monotonically_increasing_id().cast("string"))
+
+
+def swap_box(key: Column, box_id: Column, short_name: Column) -> Column:
+    """A tile key with the box id between underscores replaced by the box's short name, where it occurs."""
+    old, new = (F.concat(F.lit("_"), c.cast("string"), F.lit("_")) for c in (box_id, short_name))
+    return F.when(F.contains(key, old), F.replace(key, old, new)).otherwise(key)
+
+
+def image_path(prefix: str, stain: str, box: str = "box_id") -> Column:
+    """prefix/tissue/block/slice/date/box/file-stain.tiff; the stain "virtual" is written as stained-sr."""
+    suffix = {"virtual": "stained-sr"}.get(stain, stain)
+    return F.concat(F.lit(prefix.rstrip("/") + "/"), F.concat_ws("/", "tissue_type", "block_id", "slice_id", "scan_date", F.col(box).cast("string"), "filename"), F.lit(f"-{suffix}.tiff"))
+
+
+def rebase(path: Column, old: str, new: str | None) -> Column:
+    """A path with one prefix in place of another; unchanged where there is none to put."""
+    return path if new is None else F.replace(path, F.lit(old), F.lit(new))
+
+
+def tile_type_of(path: Column) -> Column:
+    """What stands after the last dash of a path, up to a dot."""
+    return F.element_at(F.split(F.element_at(F.split(path, "-"), -1), r"\."), 1)
+
+
+def with_ids(rows, make: Callable[[], Column], name: str = "unique_id"):
+    """rows with ids by the caller's own expression."""
+    return rows.withColumn(name, make())
+
+
+def with_paths(rows, make: Callable[[Column], Column], key: str = "tile_key", name: str = "path"):
+    """rows with paths by the caller's own expression of the key."""
+    return rows.withColumn(name, make(F.col(key)))
+
+
+def dimension(vector: Column) -> Column:
+    """The length of a vector; 0 for none."""
+    return F.size(F.coalesce(vector, F.array().cast("array<float>")))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The fields that can be filtered by, and the values that validation accepts.
-FILTER_FIELDS = ("block_id", "box_id", "created_at", "filename", "model", "preprocessing", "scan_date", "slice_id", "slide_key", "tile_type", "tissue_type", "unique_id", "cluster", "dataset", "dataset_version", "id", "dimension", "modality")
-VALID_MODALITIES = ("stained", "unstained")
-VALID_PREPROCESSING = ("resize", "center_crop", "top_left_crop", "none", "pretrained_transform")
+FILTER_FIELDS = ("block_id", "box_id", "cluster", "created_at", "dimension", "dataset", "dataset_version", "filename", "id", "modality", "model", "preprocessing", "scan_date", "slice_id", "slide_key", "tile_type", "tissue_type", "unique_id")
+VALID_MODALITIES = ("stained", "unstained", "stained-sr")
+VALID_PREPROCESSING = ("resize", "center_crop")
 
 
 class TermFilter:
@@ -43,30 +43,47 @@ def multi_get(docs: DataFrame, ids: DataFrame, key: str = "unique_id") -> DataFr
     return docs.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def reasons(columns: dict[str, str] | None = None) -> Column:
-    """The name of the first rule that a document breaks, or null."""
+def count(docs: DataFrame, where: Column | None = None) -> int:
+    """How many documents a filter leaves."""
+    return scan(docs, where).count()
+
+
+def tile_group(docs: DataFrame, size: int = 10_000, columns: list[str] | None = None, id_col: str = "unique_id", **terms) -> DataFrame:
+    """The documents of a group of tiles, by any of its fields; `size` of them at most, the smallest ids first."""
+    got = docs.where(TermFilter(**terms).build()).orderBy(id_col).limit(size)
+    return got if columns is None else got.select(*columns)
+
+
+def null_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each column, how many rows lack a value."""
+    return docs.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).unpivot([], columns, "column", "nulls")
+
+
+def reasons(columns: dict[str, str] | None = None, needs_model: bool = False) -> Column:
+    """The name of the first rule that a document breaks, or null; needs_model: one without a model breaks a rule too."""
     c = lambda n: F.col((columns or {}).get(n, n)).cast("string")
     bad = lambda n, pattern: ~F.coalesce(c(n).rlike(pattern), F.lit(False))
     rules = [
-        ("unique_id", bad("unique_id", r"^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$")),
+        ("unique_id", bad("unique_id", r"^(?i)[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$")),
         ("block_id", bad("block_id", r"^[a-z0-9]+$")),
         ("box_id", bad("box_id", r"^[0-9]+-[0-9]+$")),
         ("created_at", F.expr(f"try_to_timestamp({(columns or {}).get('created_at', 'created_at')})").isNull()),
         ("filename", bad("filename", r"^tile_[0-9]+-[0-9]+-[0-9]+-[0-9]+$")),
+        ("modality", ~F.coalesce(c("modality").isin(*VALID_MODALITIES), F.lit(False))),
         ("tile_type", ~F.coalesce(c("tile_type").isin(*VALID_MODALITIES), F.lit(False))),
         ("preprocessing", ~F.coalesce(c("preprocessing").isin(*VALID_PREPROCESSING), F.lit(False))),
         ("scan_date", bad("scan_date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")),
         ("slice_id", bad("slice_id", r"^[0-9]+$")),
         ("tissue_type", bad("tissue_type", r"^[A-Za-z]+$")),
         ("slide_key", ~F.coalesce(c("slide_key") == F.concat_ws("_", c("tissue_type"), c("block_id"), c("slice_id"), c("scan_date"), c("box_id"), c("filename")), F.lit(False))),
-        ("model", c("model").isNull() | (c("model") == "")),
+        *([("model", c("model").isNull() | (c("model") == ""))] if needs_model else []),
     ]
     return F.coalesce(*(F.when(broken, F.lit(name)) for name, broken in rules))
 
 
-def validate(docs: DataFrame) -> DataFrame:
+def validate(docs: DataFrame, needs_model: bool = False) -> DataFrame:
     """docs with reason, and valid."""
-    return docs.withColumn("reason", reasons()).withColumn("valid", F.col("reason").isNull())
+    return docs.withColumn("reason", reasons(needs_model=needs_model)).withColumn("valid", F.col("reason").isNull())
 
 
 def with_defaults(docs: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -101,6 +118,12 @@ def write_back(docs: DataFrame, preds: DataFrame, key: str = "unique_id", force:
     return got.withColumn("updated", take & ~F.col("_p").eqNullSafe(F.col("cluster"))).withColumn("cluster", F.when(take, F.col("_p")).otherwise(F.col("cluster"))).drop("_key", "_p")
 
 
+def write_back_changes(docs: DataFrame, preds: DataFrame, key: str = "unique_id", force: bool = False) -> DataFrame:
+    """What write_back() would change, and nothing written: key, cluster before and after."""
+    after = write_back(docs, preds, key, force).where("updated").select(key, F.col("cluster").alias("after"))
+    return docs.select(key, F.col("cluster").alias("before")).join(after, key)
+
+
 def keep_approved(docs: DataFrame, field: str, approved: list) -> DataFrame:
     return docs.where(F.col(field).isin(*approved))
 

@@ -23,7 +23,7 @@ def fit(rows: DataFrame, k: int, seed: int = 42, rounds: int = 20, vector: str =
     return np.array(KMeans(k=k, seed=seed, maxIter=rounds).fit(data).clusterCenters())
 
 
-def lloyd(rows: DataFrame, centers: Centers, rounds: int = 1, vector: str = "vector") -> Centers:
+def full_passes(rows: DataFrame, centers: Centers, rounds: int = 1, vector: str = "vector") -> Centers:
     """Full passes from given centres; a centre without rows stays."""
     for _ in range(rounds):
         means = mean_vectors(assign(rows, centers, vector), ["cluster"], vector).collect()  # k rows
@@ -57,7 +57,8 @@ def mini_batch_fit(rows: DataFrame, k: int, parts: int = 8, seed: int = 42, id_c
 
 
 def assign(rows: DataFrame, centers: Centers, vector: str = "vector") -> DataFrame:
-    """rows with cluster (the nearest centre, ties: the smallest number) and d2. The centres travel with the function: k x d doubles."""
+    """rows with cluster (the nearest centre, ties: the smallest number) and d2; both null where the vector is. The centres travel with the
+    function: k x d doubles."""
     from pyspark.sql.functions import pandas_udf
 
     half = (centers**2).sum(axis=1) / 2
@@ -65,11 +66,14 @@ def assign(rows: DataFrame, centers: Centers, vector: str = "vector") -> DataFra
     def nearest(v):
         import pandas as pd
 
-        if not len(v):
-            return pd.DataFrame({"cluster": np.zeros(0, np.int32), "d2": np.zeros(0)})
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        at = np.argmax(x @ centers.T - half, axis=1)
-        return pd.DataFrame({"cluster": at.astype(np.int32), "d2": ((x - centers[at]) ** 2).sum(axis=1)})
+        there = v.notna().to_numpy()
+        cluster, d2 = pd.array(np.zeros(len(v), np.int32), dtype="Int32"), pd.array(np.zeros(len(v)), dtype="Float64")
+        cluster[~there], d2[~there] = pd.NA, pd.NA
+        if there.any():
+            x = np.stack(v[there].to_numpy()).astype(np.float64)
+            at = np.argmax(x @ centers.T - half, axis=1)
+            cluster[there], d2[there] = at.astype(np.int32), ((x - centers[at]) ** 2).sum(axis=1)
+        return pd.DataFrame({"cluster": cluster, "d2": d2})
 
     return rows.withColumn("_a", pandas_udf(nearest, "cluster int, d2 double")(F.col(vector))).select("*", "_a.cluster", "_a.d2").drop("_a")
 
@@ -78,6 +82,7 @@ def assign_native(rows: DataFrame, centers: DataFrame, id_col: str, vector: str
     """As assign(), with centers a frame (cluster, center), joined as a broadcast of at most k rows, expressions only."""
     table = F.broadcast(centers.agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("_c")))
     best = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col(vector), c["center"]).alias("d2"), c["cluster"].alias("cluster"))))
+    best = F.when(F.col(vector).isNotNull(), best)
     return rows.crossJoin(table).withColumn("_b", best).select(*rows.columns, F.col("_b.cluster").alias("cluster"), F.col("_b.d2").alias("d2"))
 
 
@@ -136,7 +141,9 @@ def project(rows: DataFrame, mean: np.ndarray, axes: np.ndarray, vector: str = "
     def run(v):
         import pandas as pd
 
-        return pd.Series(list((np.stack(v.to_numpy()).astype(np.float64) - mean) @ axes) if len(v) else [])
+        there = v.notna().to_numpy()
+        got = iter((np.stack(v[there].to_numpy()).astype(np.float64) - mean) @ axes if there.any() else ())
+        return pd.Series([next(got) if x else None for x in there], dtype=object)
 
     return rows.withColumn(name, pandas_udf(run, "array<double>")(F.col(vector)))
 

@@ -116,18 +116,66 @@ def knee(k: list[float], inertia: list[float], sensitivity: float = 1.0) -> floa
     return None
 
 
+METRICS = "n long, k int, inertia double, calinski_harabasz double, davies_bouldin double, silhouette double"
+
+
 def sweep(rows: DataFrame, ks: list[int], id_col: str, with_silhouette: bool = True, components: int | None = None, max_silhouette_rows: int = 5_000) -> DataFrame:
-    """A row of metrics for each k, from models fitted on all rows."""
+    """A row of metrics for each k, from models fitted on all rows; one row a k comes to the driver."""
     from . import kmeans
 
     if components:
         mean, axes, _ = kmeans.pca(rows, components)
         rows = kmeans.project(rows, mean, axes, name="vector2").drop("vector").withColumnRenamed("vector2", "vector")
-    rows = rows.select(id_col, "vector").persist()
+    rows = rows.select(id_col, "vector").where("vector is not null").persist()
+    out = []
+    try:
+        for k in ks:
+            labelled = kmeans.assign(rows, kmeans.fit(rows, k))
+            got = cluster_metrics(labelled).first()
+            score = silhouette(labelled, id_col, max_rows=max_silhouette_rows).first()[0] if with_silhouette else None
+            out.append((got["n"], k, got["inertia"], got["calinski_harabasz"], got["davies_bouldin"], score))
+    finally:
+        rows.unpersist()
+    return rows.sparkSession.createDataFrame(out, METRICS)
+
+
+def sweep_conditions(rows: DataFrame, ks: list[int], id_col: str, least_tissue: float = 20.0, components: int | None = None) -> DataFrame:
+    """sweep() over all rows, and over those with enough tissue (unknown counts as 100), with condition."""
+    tissue = F.coalesce(F.col("tissue_percentage"), F.lit(100.0))
+    conditions = {"filtered": rows.where(tissue >= least_tissue), "unfiltered": rows}
     out = None
-    for k in ks:
-        labelled = kmeans.assign(rows, kmeans.fit(rows, k))
-        one = cluster_metrics(labelled).withColumn("k", F.lit(k))
-        one = one.crossJoin(silhouette(labelled, id_col, max_rows=max_silhouette_rows)) if with_silhouette else one.withColumn("silhouette", F.lit(None).cast("double"))
+    for name, part in conditions.items():
+        one = sweep(part, ks, id_col, False, components).withColumn("condition", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def grid(spark, preprocessing: list[str], apply_pca: list[bool], min_samples: list[int], modality: str = "stained-sr") -> DataFrame:
+    """A row for each combination of options, with the name of its run."""
+    one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    got = one("preprocessing", preprocessing, "string").crossJoin(one("apply_pca", apply_pca, "boolean")).crossJoin(one("min_samples", min_samples, "int"))
+    return got.withColumn("run_name", F.concat(F.lit(modality.replace("-", "_") + "_"), "preprocessing", F.lit("_pca"), F.col("apply_pca").cast("int").cast("string"), F.lit("_min"), F.col("min_samples").cast("string")))
+
+
+def grid_search(rows: DataFrame, ks: list[int], id_col: str, cls: str, preprocessing: list[str], apply_pca: list[bool], min_samples: list[int], modality: str = "stained-sr", components: int = 16, most: int = 10_000_000) -> DataFrame:
+    """sweep() for each combination of options, over a sample of min_samples rows of each class, `most` in all; with run_name. Combinations
+    without enough rows for the largest k are left out."""
+    from .sampling import greedy_sample
+
+    out = None
+    for c in grid(rows.sparkSession, preprocessing, apply_pca, min_samples, modality).orderBy("run_name").collect():  # a row per combination
+        part = greedy_sample(rows.where((F.col("modality") == modality) & (F.col("preprocessing") == c["preprocessing"])), cls, id_col, c["min_samples"], most)
+        if len(part.select(id_col).take(max(ks))) < max(ks):
+            continue
+        one = sweep(part, ks, id_col, False, components if c["apply_pca"] else None).withColumn("run_name", F.lit(c["run_name"]))
+        out = one if out is None else out.unionByName(one)
+    return rows.sparkSession.createDataFrame([], METRICS + ", run_name string") if out is None else out
+
+
+def rank_runs(metrics: DataFrame, by: str = "model") -> DataFrame:
+    """Per run the elbow, the k of the best Calinski-Harabasz and Davies-Bouldin scores (0 where missing), how far elbow and Davies-Bouldin are
+    apart, and its rank by that; ties by name."""
+    best = best_k(metrics, by).where("metric <> 'silhouette'").groupBy(by).pivot("metric", ["calinski_harabasz", "davies_bouldin"]).agg(F.first("best_k"))
+    got = elbow(metrics, by).join(best, by, "left").select(by, F.col("elbow_k").alias("elbow"), F.col("calinski_harabasz").alias("ch"), F.col("davies_bouldin").alias("db"))
+    got = got.withColumn("elbow_db_diff", F.abs(F.coalesce("elbow", F.lit(0)) - F.coalesce("db", F.lit(0))))
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("elbow_db_diff", by)))  # a row per run

@@ -85,3 +85,23 @@ def ssim(rows: DataFrame, a: str, b: str, width: int, window: int = 7, peak: flo
         return pd.Series([one(p, q) for p, q in zip(ps, qs)], dtype=float)
 
     return rows.withColumn("ssim", pandas_udf(run, "double")(F.col(a), F.col(b)))
+
+
+def cluster_pairs(stained: DataFrame, virtual: DataFrame, key: str = "slide_key") -> DataFrame:
+    """key, cluster_stained and cluster_virtual of what both assign."""
+    return stained.select(key, F.col("cluster").alias("cluster_stained")).join(virtual.select(key, F.col("cluster").alias("cluster_virtual")), key)
+
+
+def with_clusters(pairs: DataFrame, stained: DataFrame, virtual: DataFrame, key: str = "slide_key") -> DataFrame:
+    """Pairs of vectors with both their clusters; pairs that lack one are left out."""
+    return pairs.join(cluster_pairs(stained, virtual, key), key)
+
+
+def query_split(rows: DataFrame, most: int | None = None, key: str = "slide_key", query: str = "__query__") -> DataFrame:
+    """All rows with is_query; of the others `most` at most, by a hash of their key."""
+    from .sampling import hashed_sample
+
+    mine = F.coalesce(F.col(key) == query, F.lit(False))
+    others = rows.where(~mine)
+    others = others if most is None else hashed_sample(others, key, most)
+    return others.withColumn("is_query", F.lit(False)).unionByName(rows.where(mine).withColumn("is_query", F.lit(True)))

@@ -33,9 +33,20 @@ def source_quotas(rows: DataFrame, cls: str, source: str, targets: DataFrame) ->
 
 
 def quota_sample(rows: DataFrame, cls: str, source: str, id_col: str, per_class: int, most: int) -> DataFrame:
-    quotas = source_quotas(rows, cls, source, class_targets(rows, cls, per_class, most))
-    ranked = rows.dropDuplicates([id_col]).withColumn("_rank", F.row_number().over(Window.partitionBy(cls, source).orderBy(draw_order(id_col), F.col(id_col))))
-    return ranked.join(F.broadcast(quotas), [cls, source]).where("_rank <= quota").drop("_rank", "quota")
+    """Each (class, source) gets its quota of rows, drawn by a hash of the id; of repeated ids the first by class and source counts.
+
+    Rows whose hash is far too large to be drawn are left out where they are (eight deviations beyond the share that the quota needs), so what
+    is sorted follows the quotas, not the table.
+    """
+    counts = rows.groupBy(cls, source).agg(F.count(F.lit(1)).alias("_n"))
+    quotas = source_quotas(rows, cls, source, class_targets(rows, cls, per_class, most)).where("quota > 0").join(counts, [cls, source])
+    share = (F.col("quota") + 8 * F.sqrt("quota") + 16) / F.col("_n")
+    drawn = F.conv(F.substring(draw_order(id_col), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    repeated = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(id_col)
+    once = rows.join(repeated, id_col, "left_anti").unionByName(keep_first(rows.join(repeated, id_col, "left_semi"), [id_col], [F.col(cls), F.col(source)]))
+    likely = once.join(F.broadcast(quotas), [cls, source]).where(drawn < share)
+    rank = F.row_number().over(Window.partitionBy(cls, source).orderBy(draw_order(id_col), F.col(id_col)))
+    return likely.withColumn("_rank", rank).where("_rank <= quota").select(*rows.columns)
 
 
 def per_group_sample(rows: DataFrame, group: str, id_col: str, n: int) -> DataFrame:
@@ -57,5 +68,19 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def chunk_numbers(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size))
+def chunk_numbers(rows: DataFrame, group: str, order: str, size: int, parts: int = 64) -> DataFrame:
+    """rows with chunk: each group's rows, in order, in chunks of `size`.
+
+    Where order is a number, a group is ranked in `parts` ranges of it (the same for all groups, at approximate quantiles), whose sizes are then
+    summed, so no task orders a whole group; else by one window a group.
+    """
+    kind = rows.schema[order].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size))
+    cuts = sorted({*rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)})
+    part = F.coalesce(sum((F.col(order) >= c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(-1))  # nulls come first
+    placed = rows.withColumn("_p", part)
+    w = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))  # `parts` rows a group
+    own = placed.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)) - 1)
+    return own.join(bases, own[group].eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q"))).withColumn("chunk", F.floor((F.col("_base") + F.col("_r")) / size)).select(*rows.columns, "chunk")

@@ -61,3 +61,8 @@ def count_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows per cluster before and after, and the difference; clusters of one side only count 0 on the other."""
     a, b = (d.groupBy("cluster").agg(F.count(F.lit(1)).alias(n)) for d, n in ((before, "before"), (after, "after")))
     return a.join(b, "cluster", "full").na.fill(0, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before"))
+
+
+def special_split(rows: DataFrame, cluster: str = "cluster") -> tuple[DataFrame, DataFrame]:
+    """Rows of real clusters, and of the special ones (negative numbers, which relabelling gives)."""
+    return rows.where(F.col(cluster) >= 0), rows.where(F.col(cluster) < 0)

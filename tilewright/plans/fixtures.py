@@ -47,7 +47,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "quality": (("part",), "SELECT cast(p_partkey as string) AS slide_key, cast(p_partkey % 12 as int) AS cluster, p_size / 50.0 AS ssim, cast(20 + p_size % 17 as double) AS psnr, p_retailprice / 100.0 AS mse FROM part"),
     "sampling": (("quality",), "SELECT cluster, cast(count(*) * (1 + cluster % 5) as bigint) AS sample_count FROM quality GROUP BY cluster"),
     "kmetrics": ((), "SELECT model, cast(k as int) AS k, cast(inertia as double) AS inertia, cast(chi as double) AS calinski_harabasz, cast(dbi as double) AS davies_bouldin, cast(sil as double) AS silhouette FROM (VALUES " + ", ".join(f"('{m}', {k}, {round(a * 1000 / k**p + 40 - k / 8, 3)}, {round(300 + b * k - k * k / 9, 3)}, {round(2.5 - c * k / 40 + k * k / 4000, 4)}, {'NULL' if m == 'conch' else round(0.1 + ((k * 7 + d) % 31) / 300, 4)})" for m, a, p, b, c, d in (("path_foundation", 9, 0.5, 2.1, 1.1, 3), ("conch", 7, 0.7, 3.2, 0.9, 8), ("uni", 11, 0.4, 1.4, 1.3, 17)) for k in (8, 16, 24, 32, 48, 64, 80, 96)) + ") AS t(model, k, inertia, chi, dbi, sil)"),
-    "bad_docs": (("tiles",), "SELECT vec_id, CASE WHEN vec_id % 13 = 1 THEN 'no-id' ELSE unique_id END AS unique_id, CASE WHEN vec_id % 13 = 2 THEN 'B 1' ELSE block_id END AS block_id, CASE WHEN vec_id % 13 = 3 THEN '17' ELSE short_box_name END AS box_id, CASE WHEN vec_id % 13 = 4 THEN 'yesterday' ELSE '2025-10-01 12:00:00' END AS created_at, CASE WHEN vec_id % 13 = 5 THEN 'tile_1-2-3' ELSE filename END AS filename, CASE WHEN vec_id % 13 = 6 THEN 'inferred' ELSE tile_type END AS tile_type, CASE WHEN vec_id % 13 = 7 THEN 'crop' ELSE preprocessing END AS preprocessing, CASE WHEN vec_id % 13 = 8 THEN '25-10-01' ELSE scan_date END AS scan_date, CASE WHEN vec_id % 13 = 9 THEN 'x' ELSE slice_id END AS slice_id, CASE WHEN vec_id % 13 = 10 THEN NULL ELSE tissue_type END AS tissue_type, tissue_type || '_' || block_id || '_' || slice_id || '_' || scan_date || '_' || short_box_name || '_' || filename || CASE WHEN vec_id % 13 = 11 THEN 'z' ELSE '' END AS slide_key, CASE WHEN vec_id % 13 = 12 THEN '' ELSE model END AS model FROM tiles"),
+    "bad_docs": (("tiles",), "SELECT vec_id, CASE WHEN vec_id % 14 = 1 THEN 'no-id' ELSE unique_id END AS unique_id, CASE WHEN vec_id % 14 = 2 THEN 'B 1' ELSE block_id END AS block_id, CASE WHEN vec_id % 14 = 3 THEN '17' ELSE short_box_name END AS box_id, CASE WHEN vec_id % 14 = 4 THEN 'yesterday' ELSE '2025-10-01 12:00:00' END AS created_at, CASE WHEN vec_id % 14 = 5 THEN 'tile_1-2-3' ELSE filename END AS filename, CASE WHEN vec_id % 14 = 12 THEN 'virtual' WHEN vec_id % 14 = 13 THEN 'stained-sr' ELSE modality END AS modality, CASE WHEN vec_id % 14 = 6 THEN 'inferred' WHEN vec_id % 14 = 13 THEN 'stained-sr' ELSE tile_type END AS tile_type, CASE WHEN vec_id % 14 = 7 THEN 'none' ELSE preprocessing END AS preprocessing, CASE WHEN vec_id % 14 = 8 THEN '25-10-01' ELSE scan_date END AS scan_date, CASE WHEN vec_id % 14 = 9 THEN 'x' ELSE slice_id END AS slice_id, CASE WHEN vec_id % 14 = 10 THEN NULL ELSE tissue_type END AS tissue_type, tissue_type || '_' || block_id || '_' || slice_id || '_' || scan_date || '_' || short_box_name || '_' || filename || CASE WHEN vec_id % 14 = 11 THEN 'z' ELSE '' END AS slide_key, CASE WHEN vec_id % 14 = 0 THEN '' ELSE model END AS model FROM tiles"),
 }
 
 

@@ -336,13 +336,12 @@ def multi_get(spark, sf_dir):
     return documents.multi_get(view(spark, sf_dir, "orders"), ids, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-_RULES = ("unique_id", "block_id", "box_id", "created_at", "filename", "tile_type", "preprocessing", "scan_date", "slice_id", "tissue_type", "slide_key", "model")
+_RULES = {1: "unique_id", 2: "block_id", 3: "box_id", 4: "created_at", 5: "filename", 6: "tile_type", 7: "preprocessing", 8: "scan_date", 9: "slice_id", 10: "tissue_type", 12: "modality"}
 
 
-@query("SELECT vec_id, CASE vec_id % 13 " + " ".join(f"WHEN {i + 1} THEN '{r}'" for i, r in enumerate(_RULES)) + " ELSE CASE WHEN NOT regexp_full_match(tissue_type, '[A-Za-z]+') THEN 'tissue_type' END END AS reason FROM bad_docs WHERE NOT (vec_id % 13 > 10 AND NOT regexp_full_match(tissue_type, '[A-Za-z]+'))", "bad_docs")
+@query("SELECT vec_id, CASE vec_id % 14 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in _RULES.items()) + " ELSE CASE WHEN NOT regexp_full_match(tissue_type, '[A-Za-z]+') THEN 'tissue_type' WHEN vec_id % 14 = 11 THEN 'slide_key' END END AS reason FROM bad_docs", "bad_docs")
 def validate_documents(spark, sf_dir):
-    got = documents.validate(view(spark, sf_dir, "bad_docs"))
-    return got.where("NOT (vec_id % 13 > 10 AND NOT tissue_type rlike '^[A-Za-z]+$')").select("vec_id", "reason")
+    return documents.validate(view(spark, sf_dir, "bad_docs")).select("vec_id", "reason")
 
 
 @query("SELECT vec_id, unique_id FROM tiles WHERE vec_id % 3 = 0 AND unique_id NOT IN (SELECT unique_id FROM tiles WHERE vec_id % 2 = 0)", "tiles")
@@ -467,7 +466,7 @@ def inertia_chi_dbi_fixed(spark, sf_dir):
     return kselect.cluster_metrics(labelled(spark, sf_dir))
 
 
-@query(f"WITH x AS (SELECT a.vec_id AS i, a.label AS c, b.label AS c2, avg({DIST.format('a.embedding', 'b.embedding')}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 2000 GROUP BY 1, 2, 3), ab AS (SELECT i, c, min(d) FILTER (c = c2) AS a, min(d) FILTER (c <> c2) AS b FROM x GROUP BY 1, 2) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab")
+@query(f"WITH x AS (SELECT a.vec_id AS i, a.label AS c, b.label AS c2, avg({DIST.format('a.embedding', 'b.embedding')}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), ab AS (SELECT i, c, min(d) FILTER (c = c2) AS a, min(d) FILTER (c <> c2) AS b FROM x GROUP BY 1, 2) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab")
 def silhouette_exact(spark, sf_dir):
     return kselect.silhouette_of_all(labelled(spark, sf_dir), "vec_id")
 
@@ -575,7 +574,12 @@ def filename_metadata(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-")
+    """A new folder in the one that driver and executors share; in a temp folder only where all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tilewright-")
     return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
