@@ -112,7 +112,7 @@ class ChunkEncoder:
     where words end. Chunks with bytes of ODD are words of their own.
     """
 
-    def __init__(self, content: str, slots: int = 21):
+    def __init__(self, content: str, slots: int = 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -170,7 +170,8 @@ class ChunkEncoder:
         value += np.uint64(1)
         up, down = powers(len(buf) + 1)
         value *= up[:-1]
-        total = np.concatenate([[np.uint64(0)], np.cumsum(value)])
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
         return first, last, mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)), whole[first]
 
     def lookup(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -238,7 +239,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in split_batch(batch, 1, 1 << 20):
+            for part in split_batch(batch, 1, 1 << 19):
                 out = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encoder(shared.value).encode(texts)):

@@ -31,7 +31,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x9E3779B97F4A7C15
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
