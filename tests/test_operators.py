@@ -202,3 +202,25 @@ def test_chunks_of_a_group_follow_its_order(spark):
     for g in range(3):
         order = sorted((r for r in got if r["g"] == g), key=lambda r: (r["o"] is not None, r["o"] or 0, r["chunk"]))
         assert [r["chunk"] for r in order] == [i // 7 for i in range(len(order))]
+
+
+def test_incremental_model_goes_on_after_a_restart(spark, tmp_path):
+    from tilewright.streaming.micro import IncrementalModel
+
+    rng = np.random.default_rng(2)
+    batch = lambda: spark.createDataFrame([(i, [float(x) for x in rng.normal(size=2)]) for i in range(20)], "unique_id long, vector array<double>")
+    a, b, start = batch(), batch(), np.array([[-1.0, 0.0], [1.0, 0.0]])
+    whole = IncrementalModel(start)
+    whole.update(a, 0)
+    whole.update(b, 1)
+    IncrementalModel(start, str(tmp_path), spark).update(a, 0)
+    again = IncrementalModel(start, str(tmp_path), spark)
+    again.update(a, 0)  # replayed
+    again.update(b, 1)
+    assert np.allclose(again.centers, whole.centers) and (again.counts == whole.counts).all() and again.seen == 1
+
+
+def test_versions_rotate(spark, tmp_path):
+    for n in range(4):
+        assert sinks.write_version(spark.range(n), f"{tmp_path}/t", keep=2) == n + 1
+    assert sinks.versions(spark, f"{tmp_path}/t") == [3, 4] and spark.read.parquet(f"{tmp_path}/t/4").count() == 3

@@ -68,3 +68,23 @@ def load_centers(spark: SparkSession, path: str) -> np.ndarray:
 def model_name(k: int, modality: str, least_tissue: float = 0) -> str:
     """One name for training and prediction."""
     return f"kmeans_{modality}_k{k}" + (f"_tissue{least_tissue:g}" if least_tissue else "")
+
+
+def write_version(df: DataFrame, path: str, keep: int = 3) -> int:
+    """Write df as the next version of a table (a folder a version, complete or not there) and remove all but the last `keep`; its number."""
+    version = max(versions(df.sparkSession, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/{version}")
+    spark = df.sparkSession
+    for old in versions(spark, path)[:-keep]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return version
+
+
+def versions(spark, path: str) -> list[int]:
+    """The complete versions of a table, in order."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

@@ -55,20 +55,45 @@ def documents_once(batch: DataFrame, key: str = "unique_id") -> DataFrame:
 
 
 class IncrementalModel:
-    """Mini-batch k-means over the batches of a stream; centres and counts are k rows and live on the driver."""
-
-    def __init__(self, centers: np.ndarray):
-        self.centers, self.counts, self.seen = np.asarray(centers, float), np.zeros(len(centers)), -1
+    """Mini-batch k-means over the batches of a stream; centres and counts are k rows and live on the driver.
+
+    With a path, the state after each batch is written there (a folder a batch, the last two stay), and a model with the same path goes on from
+    it: after a restart the stream's checkpoint skips the batches that the state has seen, and a replayed one changes nothing.
+    """
+
+    def __init__(self, centers: np.ndarray, path: str | None = None, spark: SparkSession | None = None):
+        self.centers, self.counts, self.seen, self.path = np.asarray(centers, float), np.zeros(len(centers)), -1, path
+        if path and spark is not None:
+            for batch in sorted(self._batches(spark), reverse=True)[:1]:
+                rows = spark.read.parquet(f"{path}/{batch}").orderBy("cluster").collect()  # k rows
+                self.centers, self.counts, self.seen = np.array([r["center"] for r in rows]), np.array([r["n"] for r in rows]), batch
+
+    def _batches(self, spark: SparkSession) -> list[int]:
+        """The batches whose state was written in full."""
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        found = [f.getPath() for f in files.listStatus(at)]
+        return [int(p.getName()) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.seen:  # replayed
             return
-        got = mean_vectors(kmeans.assign(batch, self.centers), ["cluster"]).collect()
+        got = mean_vectors(kmeans.assign(batch, self.centers).where("cluster is not null"), ["cluster"]).collect()
         n, sums = np.zeros(len(self.centers)), np.zeros_like(self.centers)
         for r in got:
             n[r["cluster"]], sums[r["cluster"]] = r["n"], np.array(r["center"]) * r["n"]
         self.centers, self.counts = kmeans.mini_batch(self.centers, self.counts, sums, n)
         self.seen = batch_id
+        if self.path:
+            spark = batch.sparkSession
+            rows = [(i, c.tolist(), float(m)) for i, (c, m) in enumerate(zip(self.centers, self.counts))]
+            spark.createDataFrame(rows, "cluster int, center array<double>, n double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+            files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for old in sorted(self._batches(spark))[:-2]:
+                files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str, late: str) -> DataFrame:
