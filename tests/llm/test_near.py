@@ -343,3 +343,26 @@ def test_links_are_found_whatever_the_shape_of_the_cloud(spark, kind):
     close = u @ u.T >= 0.98 * np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(u, axis=1)[None, :]
     there = int(close.sum()) - n
     assert there > 300 and sum(got.values()) >= 0.999 * there
+
+
+def common_run(a: list[str], b: list[str]) -> int:
+    """Words of the longest stretch that both hold."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))]
+        best = max(best, *row)
+    return best
+
+
+def test_exact_passages_against_all_pairs_of_documents(spark):
+    """Pieces of a pool, cut anywhere, in documents that share parts of them with many others."""
+    rng = random.Random(31)
+    pool, docs = [words(rng, 120) for _ in range(6)], []
+    for d in range(70):
+        piece, n = rng.choice(pool), rng.choice((20, 30, 40, 50, 55, 70))
+        at = rng.randint(0, 120 - n)
+        docs.append((d, [*words(rng, 25), *piece[at : at + n], *words(rng, 25)]))
+    got = {r["doc_id"] for r in passages.find_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"), many=3).collect()}
+    runs = {d: max([0, *(common_run(t, o) for _, o in docs[:d])]) for d, t in docs}
+    assert {d for d, n in runs.items() if n >= 50} <= got and not any(runs[d] < 30 for d in got)
+    assert sum(n >= 50 for n in runs.values()) >= 10

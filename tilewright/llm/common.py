@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -33,19 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in files that outlive any executor. Its shuffle files go at once; else they stay until the driver
-    happens to collect its garbage."""
-    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    shared_dir(spark)
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """What is run here removes its shuffle files at once; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a new frame, which is planned under this setting
+        yield
     finally:
         spark.conf.set(name, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in files that outlive any executor."""
+    shared_dir(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a new frame, which is planned under this setting
+
+
 def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """doc_id (long, unique, not null) and text of each row of docs. Where ids are repeated or null, rows are numbered in the order of id (nulls
     last) and text instead, and the second frame has _row, the number, and doc_id, the id; else it is None."""
@@ -65,7 +72,8 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.select("*").write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, all_but: int = 0) -> None:

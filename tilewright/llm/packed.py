@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ def parts_for(df: DataFrame, total_bytes: int) -> int:
     return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PART)))
 
 
-def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], use: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int, thin: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """make: structured arrays (field "k": unsigned 64-bit key) from batches of df. Records of a key meet in one call of use, with those of
+def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], use: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int, thin: Callable[[np.ndarray], np.ndarray] | None = None, key: Callable[[np.ndarray], np.ndarray] = operator.itemgetter("k")) -> DataFrame:
+    """make: structured arrays from batches of df; key: the unsigned 64-bit key of each record, by default its field "k". Records of a key meet in one call of use, with those of
     other keys, in no order. thin: what of a batch of records is passed on; it may drop what use doesn't need only."""
 
     def spread(batches):
@@ -36,7 +37,7 @@ def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.n
         records = np.concatenate(held)
         if thin is not None:
             records = thin(records)
-        p = ((records["k"] >> np.uint64(16)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        p = ((key(records) >> np.uint64(16)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
         order = np.argsort(p, kind="stable")
         records, p = records[order], p[order]
         at = np.flatnonzero(np.concatenate([np.ones(min(1, len(p)), bool), p[1:] != p[:-1]]))
