@@ -25,6 +25,8 @@ from .common import map_texts
 #: The pre-split pattern that the vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.iinfo(np.int32).max
+#: Compiled rows that are held at a time: a bit a label each, 50 MB with 50,000 labels.
+MOST_ROWS = 8_192
 Piece = tuple[tuple[int, ...], str]  # ids, and the same in decimal, joined by commas
 
 
@@ -101,6 +103,8 @@ class MergeAutomaton:
             at, before = int(self.right[at]), int(self.step[at])
         for a, b, lefts, steps in self.levels:  # a merged label has an arc where its left part still had one at that merge
             np.copyto(gone[a:b], -1, where=gone[lefts] <= steps)
+        if len(self.rows) >= MOST_ROWS:
+            self.rows.clear()
         self.rows[token] = bits = np.packbits(gone == NEVER, bitorder="little").tobytes()
         return bits
 
