@@ -48,7 +48,7 @@ class OrdinalModel:
     thresholds: np.ndarray  # ascending, GRADES - 1
     cut_at: float  # rejected from this probability of a grade above 0 on
 
-    def linear(self, text: str, known: dict[str, tuple[str, ...]], most: int = 500_000) -> float:
+    def linear(self, text: str, known: dict[str, tuple[str, ...]], most: int = 200_000) -> float:
         """w . x, where x has the density of each feature the model knows; known: the features of words met before."""
         counts: dict[str, int] = {}
         words = words_of(text)
@@ -119,12 +119,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_00
     n_words = np.bincount(rows, counts.flatten().to_numpy(), len(y))
     word_at, counts, vocabulary = coded.indices.to_numpy(), counts.flatten().to_numpy(), coded.dictionary
     length = pc.utf8_length(vocabulary).to_numpy()
-    kept, parts, base = [], [], 0
+    kept, parts, base, total = [], [], 0, np.zeros(len(y))
     for k in (None, *PREFIXES):
         kinds = vocabulary.dictionary_encode() if k is None else pc.utf8_slice_codeunits(vocabulary, 0, k).dictionary_encode()
         use = length[word_at] > (k or 0)
-        pair, at = np.unique(rows[use] * len(kinds.dictionary) + kinds.indices.to_numpy()[word_at[use]], return_inverse=True)
-        parts.append(((pair // len(kinds.dictionary)).astype(np.int32), (pair % len(kinds.dictionary) + base).astype(np.int32), np.bincount(at, counts[use], len(pair)).astype(np.float32)))
+        size = len(kinds.dictionary)
+        pair, at = np.unique(rows[use] * size + kinds.indices.to_numpy()[word_at[use]], return_inverse=True)
+        n_at = np.bincount(at, counts[use], len(pair)).astype(np.float32)
+        del at
+        in_text, kind = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        total += np.bincount(in_text, n_at, len(y))
+        often = np.bincount(kind, minlength=size)[kind] >= least_texts  # the rest is no feature
+        parts.append((in_text[often], kind[often] + np.int32(base), n_at[often]))
         kept.append((base, k, kinds.dictionary))
         base += len(kinds.dictionary)
     rows, cols, counts = (np.concatenate(x) for x in zip(*parts))
@@ -137,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_00
     pick = np.argsort(-spread, kind="stable")[:max_features]
     pick = pick[spread[pick] > 2]
     marked = (odds > 2) & (spread > 2.5)
-    rate = np.bincount(rows, counts * marked[cols], len(y)) / np.maximum(np.bincount(rows, counts, len(y)), 1)
+    rate = np.bincount(rows, counts * marked[cols], len(y)) / np.maximum(total, 1)
     edges = np.quantile(rate[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (rate > edges[0]).astype(int) + (rate > edges[1]), 0)
     names = [f"{kind[i - low].as_py()}*" if k else kind[i - low].as_py() for i in pick.tolist() for low, k, kind in [next(x for x in reversed(kept) if x[0] <= i)]]
