@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import Scratch, bitmap_of, cut, in_bitmap, maybe_in, split_batch
 from .graph import blocks, components, runs_of
-from .packed import deal, parts_for, runs
+from .packed import deal, parts_for, rounds_for, runs
 from .tokens import LETTER, MIX, Words, lowered, mixed, occurrences, powers
 from .shingles import plan_bands
 
@@ -29,11 +29,11 @@ _LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).copy
 ENTRY = np.dtype([("k", "<u8"), ("id", "<i8"), ("sim", "<u8", (WORDS64,)), ("n", "<u2")])
 LONGEST = (1 << 15) - 1  # numbers of words beyond are one
 SPLIT = np.uint16(1 << 15)  # set in n: the lines under this key are part of those of another one
-#: How keys with many lines are handled, without effect on the result: lines of a key that one part compares pair by pair, pairs per line from
-#: which a key counts as dense, lines of a key that one batch passes on under it.
-LARGE, DENSE, PASSED = LIMITS = 4096, 16, 256
-#: What a pair of lines that meet is: a candidate; a line with the leader of its group; a line (with itself) whose keys have to be gone through again.
-PAIR, STAR, AGAIN = 0, 1, 2
+#: How keys with many lines are handled: lines of a key that one part compares, near pairs per line from which a key may be dense, lines of a key
+#: that one batch passes on under it. Beyond the first or the last, what isn't near the key's first line is gone through again in pairs of blocks.
+LARGE, DENSE, PASSED = LIMITS = 16_384, 16, 2_048
+#: What a pair of lines that meet is: a candidate; or a line (with itself) whose keys have to be gone through again.
+PAIR, AGAIN = 0, 2
 
 
 class Lines:
@@ -245,8 +245,7 @@ class Prune:
         return ok[np.bitwise_count(e["sim"][x[ok]] ^ e["sim"][y[ok]]).sum(axis=1, dtype=np.int64) <= self.near]
 
     def meet(self, data: bytes):
-        """a, b and kind of the pairs that meet under a key and may be similar. Of a dense key a line is paired with the leader of its group (the
-        smallest line near it) and with the lines near it in other groups."""
+        """a, b and kind of the pairs that meet under a key and may be similar; see many()."""
         e = np.frombuffer(data, ENTRY)
         e = e[np.argsort(e["k"])]
         same = e["k"][1:] == e["k"][:-1]
@@ -273,32 +272,42 @@ class Prune:
         yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(kind[once])], names=["a", "b", "kind"])
 
     def many(self, e: np.ndarray, at: int, z: int, whole: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """meet() of one key with z lines, from `at` on; if not whole, lines that aren't near the first have to be gone through again."""
-        found, count = [], 0
-        for r in range(z - 1 if whole else 0):
-            x, y = np.full(z - r - 1, at + r), np.arange(at + r + 1, at + z)
-            ok = self.pairs(e, x, y)
-            found.append((x[ok], y[ok], PAIR))
-            count += len(ok)
-            if count > self.dense * z:
-                break
-        else:
-            if whole:
-                return found
-        found, group, rest = [], np.full(z, -1), np.arange(z)
-        while len(rest) and (whole or not len(found)):
-            near = np.concatenate([[0], 1 + self.pairs(e, np.full(len(rest) - 1, at + rest[0]), at + rest[1:])]).astype(np.int64)
-            group[rest[near]] = rest[0]
-            found.append((np.full(len(near) - 1, at + rest[0]), at + rest[near[1:]], STAR))
-            rest = np.delete(rest, near)
+        """meet() of one key with z lines, from `at` on.
+
+        All near pairs, unless the key is dense: half of its pairs and more are near. Then a line near the leader (the first line with nearly the
+        most near ones) is paired with the leader and with the line nearest to it, and any other with all that are near. If the key isn't whole,
+        lines near the first one are paired with it, and the others have to be gone through again.
+        """
         if not whole:
-            return [*found, (at + rest, at + rest, AGAIN)]
+            near = self.pairs(e, np.full(z - 1, at), np.arange(at + 1, at + z)) + at + 1
+            rest = np.setdiff1d(np.arange(at + 1, at + z), near)
+            return [(np.full(len(near), at), near, PAIR), (rest, rest, AGAIN)]
+        few = z <= 1024
+        found, degree, nearest = [], np.zeros(z, np.int64), np.full(z, np.iinfo(np.int64).max)
         for r in range(z - 1):
-            y = np.flatnonzero(group[r + 1 :] != group[r]) + r + 1
-            if len(y):
-                ok = self.pairs(e, np.full(len(y), at + r), at + y)
-                found.append((np.full(len(ok), at + r), at + y[ok], PAIR))
-        return found
+            x, y = np.full(z - r - 1, r), np.arange(r + 1, z)
+            y = y[self.pairs(e, at + x, at + y)]
+            apart_by = np.bitwise_count(e["sim"][at + y] ^ e["sim"][at + r]).sum(axis=1, dtype=np.int64) << 32
+            degree[r] += len(y)
+            degree[y] += 1
+            nearest[y] = np.minimum(nearest[y], apart_by | r)
+            nearest[r] = min(nearest[r], int((apart_by | y).min(initial=np.iinfo(np.int64).max)))
+            if few:
+                found.append((x[: len(y)], y))
+        count = int(degree.sum()) // 2
+        if few and (count <= self.dense * z or 4 * count < z * (z - 1)):
+            return [(at + x, at + y, PAIR) for x, y in found]
+        leader = int(np.flatnonzero(degree >= 0.9 * degree.max())[0])
+        others = np.delete(np.arange(z), leader)
+        led = np.zeros(z, bool)
+        led[others[self.pairs(e, np.full(z - 1, at + leader), at + others)]] = True
+        own = np.flatnonzero(led)
+        out = [(np.full(len(own), leader), own), (own, nearest[own] & np.int64((1 << 32) - 1))]
+        for r in np.flatnonzero(~led):
+            y = np.delete(np.arange(z), r)
+            y = y[self.pairs(e, np.full(z - 1, at + r), at + y)]
+            out.append((np.full(len(y), r), y))
+        return [(at + np.minimum(x, y), at + np.maximum(x, y), PAIR) for x, y in out]
 
 
 def apart(e: np.ndarray, passed: int = PASSED) -> np.ndarray:
@@ -329,7 +338,7 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
     at least if they are just at the similarity: if one of their MinHash bands agrees (LineBands). Rows of one doc_id with different texts
     are different rows; rows that are equal in both count as one, and all keep the same lines. Null texts have no lines.
 
-    Bands are dealt out in `rounds` parts, one after the other, each of which takes its share of disk.
+    Bands are dealt out in `rounds` parts at most, one after the other, each of which takes its share of disk.
     """
     up, down = similarity
     bands, prune = LineBands(up, down, recall, least_words), Prune(up, down, *limits[:2])
@@ -366,7 +375,7 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
                 out["id"], out["sim"], out["n"] = ids, np.frombuffer(sim, np.uint64).reshape(len(ids), WORDS64), np.frombuffer(size, np.uint16)
                 yield out.ravel()
 
-    met = []
+    met, rounds = [], rounds_for(n_first * bands.bands * ENTRY.itemsize, rounds)
     for i in range(rounds):
         low, high = bands.bands * i // rounds, bands.bands * (i + 1) // rounds
         if low < high:
@@ -390,14 +399,8 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
 
     edges = verified(found.where("a <> b").select("a", "b").distinct())
     comp = cut(components(edges))
-    # Lines of a group that were compared with its leader only, and aren't joined with it, meet all lines that share a key with them.
-    again = found.where(f"kind = {AGAIN}").select("a")
-    stars = found.where(f"kind = {STAR}").select("a", "b").distinct().join(edges, ["a", "b"], "left_anti")
-    named = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    alone = cut(stars.join(named("a"), "a", "left").join(named("b"), "b", "left").where("a_in is null or b_in is null or a_in <> b_in").select(F.col("b").alias("a")).unionByName(again).distinct())
+    alone = cut(found.where(f"kind = {AGAIN}").select("a").distinct())
     if not alone.isEmpty():
-        led = found.where(f"kind = {STAR}").join(alone, "a", "left_semi").select(F.col("b").alias("a"))
-        alone = cut(alone.unionByName(led).distinct())
         wanted = Members(alone, "a")
         keys = cut(wanted.of(lines, entries, bands.bands, "id").select("k").distinct())
         spots = Members(keys, "k").of(lines, entries, bands.bands, "k").dropDuplicates(["k", "id"])

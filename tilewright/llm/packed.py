@@ -18,6 +18,11 @@ def parts_for(df: DataFrame, total_bytes: int) -> int:
     return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PART)))
 
 
+def rounds_for(total_bytes: int, most: int) -> int:
+    """In how many rounds to deal out so many bytes: one for each half a gigabyte, `most` at most. Small tables need no rounds to spare disk."""
+    return max(1, min(most, total_bytes >> 29))
+
+
 def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], use: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int, thin: Callable[[np.ndarray], np.ndarray] | None = None, key: Callable[[np.ndarray], np.ndarray] = operator.itemgetter("k")) -> DataFrame:
     """make: structured arrays from batches of df; key: the unsigned 64-bit key of each record, by default its field "k". Records of a key meet in one call of use, with those of
     other keys, in no order. thin: what of a batch of records is passed on; it may drop what use doesn't need only."""
