@@ -224,3 +224,29 @@ def test_versions_rotate(spark, tmp_path):
     for n in range(4):
         assert sinks.write_version(spark.range(n), f"{tmp_path}/t", keep=2) == n + 1
     assert sinks.versions(spark, f"{tmp_path}/t") == [3, 4] and spark.read.parquet(f"{tmp_path}/t/4").count() == 3
+
+
+def test_ssim_against_plain_windows(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.random((9, 8)), rng.random((9, 8))
+    got = paired.ssim(spark.createDataFrame([(a.ravel().tolist(), b.ravel().tolist())], "a array<double>, b array<double>"), "a", "b", 8, window=3, peak=1.0).first()["ssim"]
+    c1, c2, each = 0.01**2, 0.03**2, []
+    for i in range(7):
+        for j in range(6):
+            x, y = a[i : i + 3, j : j + 3].ravel(), b[i : i + 3, j : j + 3].ravel()
+            v = np.cov(x, y)
+            each.append((2 * x.mean() * y.mean() + c1) * (2 * v[0, 1] + c2) / ((x.mean() ** 2 + y.mean() ** 2 + c1) * (v[0, 0] + v[1, 1] + c2)))
+    assert got == pytest.approx(np.mean(each))
+
+
+def test_full_passes_and_mini_batches_against_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    x, start = rng.normal(size=(60, 3)), rng.normal(size=(4, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "unique_id long, vector array<double>")
+    want = start.copy()
+    for _ in range(3):
+        own = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+        want = np.stack([x[own == c].mean(0) if (own == c).any() else want[c] for c in range(4)])
+    assert np.allclose(kmeans.full_passes(rows, start, 3), want)
+    centers, counts = kmeans.mini_batch(start, np.array([2.0, 0.0, 1.0, 5.0]), np.array([[3.0, 0, 0], [4.0, 2, 0], [0, 0, 0], [1.0, 1, 1]]), np.array([3.0, 2.0, 0.0, 1.0]))
+    assert np.allclose(centers[0], (2 * start[0] + [3, 0, 0]) / 5) and np.allclose(centers[1], [2, 1, 0]) and np.allclose(centers[2], start[2]) and counts.tolist() == [5, 2, 1, 6]
