@@ -1,6 +1,7 @@
 """Operators with exact contracts, against plain versions."""
 
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tilewright.llm import bpe, chat, packing, pii, quality
+from tilewright.llm import bpe, chat, packing, pii, quality, toxicity
 from tilewright.llm.queries import tokenizer
 
 pytestmark = pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="needs the public vocabularies")
@@ -238,3 +239,98 @@ def test_quality_table(spark):
     assert not any(got[i]["kept"] for i in range(120, 124)) and all(got[i]["base_failed"] for i in range(120, 124))
     assert quality.fit_quality(docs, labels.limit(0)) is None
     assert quality.judge(docs, None).where("kept").count() == 120 and quality.judge(docs.limit(0), None).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 9))
+def test_sure_candidates_stay_without_a_label(seed, n):
+    """What find_spans() leaves out: no label reaches 0.6 where all lie SURE below none, whatever chain, skip edges and unaries."""
+    rng = np.random.default_rng(seed)
+    k = len(pii.LABELS)
+    field = pii.Field(np.zeros((1, k)), rng.choice([-0.5, 0.5, 0.1], (k, k)), float(rng.uniform(0.5, 4)))
+    unary = np.concatenate([rng.uniform(0, 3, (n, 1)), -pii.SURE - rng.exponential(0.5, (n, k - 1))], axis=1)
+    edges = pii.edges_of([rng.choice(["token-of-12-a", "token-of-12-b", "9999"]) for _ in range(n)])
+    assert pii.marginals(field, unary, edges)[:, 1:].max() < 0.6
+
+
+def test_loopy_marginals_come_close_to_enumeration():
+    """On small loops (chain and skip edges) with weak potentials."""
+    rng = np.random.default_rng(7)
+    k = len(pii.LABELS)
+    for _ in range(5):
+        field = pii.Field(np.zeros((1, k)), rng.uniform(-0.3, 0.3, (k, k)), 0.5)
+        unary = rng.normal(size=(4, k))
+        edges = pii.edges_of(["9999", "8888", "9999", "8888"])
+        total = np.zeros((4, k))
+        for labels in itertools.product(range(k), repeat=4):
+            score = sum(unary[i, y] for i, y in enumerate(labels)) + sum((field.skip * (labels[a] == labels[b])) if skip else field.chain[labels[a], labels[b]] for a, b, skip in edges)
+            for i, y in enumerate(labels):
+                total[i, y] += np.exp(score)
+        assert np.abs(pii.marginals(field, unary, edges) - total / total.sum(axis=1, keepdims=True)).max() < 0.03
+
+
+def test_very_long_digit_runs_are_no_addresses():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.base_spans("9" + "1" * 5000 + ".1.1.1") == [] == pii.base_spans("256.1.1.1")
+    assert pii.base_spans("at 255.0.0.1") == [("ip", 3, 12)]
+
+
+def fewest_bins(sizes: list[int], capacity: int) -> int:
+    """By trying all ways."""
+    best = len(sizes)
+
+    def put(at: int, bins: list[int]) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if at == len(sizes):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + sizes[at] <= capacity:
+                put(at + 1, [*bins[:i], bins[i] + sizes[at], *bins[i + 1 :]])
+        put(at + 1, [*bins, sizes[at]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_packing_takes_hardly_more_sequences_than_the_fewest(sizes):
+    runs = packing.plan_runs(Counter(sizes), 20)
+    used = max(first + -(-n // each) for _, _, n, each, first, _ in runs)
+    assert used <= fewest_bins(sorted(sizes, reverse=True), 20) + 1
+
+
+def test_forest_against_a_walk_row_by_row():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 3)), (rng.random(300) < 0.5).astype(float)
+    forest = quality.fit_forest(x, y, [1, 0, -1], trees=7, depth=3)
+    for row, raw in zip(x[:60], forest.raw(x[:60])):
+        total = forest.start
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            total += forest.value[at]
+        assert raw == pytest.approx(total)
+
+
+def test_ordinal_fit_is_a_minimum_of_the_plain_likelihood():
+    rng = np.random.default_rng(2)
+    x = rng.random((120, 3))
+    grade = np.digitize(x @ [2.0, -1.0, 0.5] + 0.3 * rng.standard_normal(120), [0.2, 0.7, 1.1])
+    w, theta = toxicity.fit_ordinal(np.repeat(np.arange(120), 3), np.tile(np.arange(3), 120), x.ravel(), grade, 3, l2=0.01, steps=4000)
+
+    def loss(w, theta):
+        total = 0.0
+        for row, g in zip(x, grade):
+            above = [1.0, *(1 / (1 + np.exp(-(row @ w - t))) for t in theta), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / len(x) + 0.005 * (w @ w)
+
+    here = loss(w, theta)
+    for i in range(3):
+        for step in (-0.05, 0.05):
+            moved = np.eye(3)[i] * step
+            assert loss(w + moved, theta) > here - 1e-5 and loss(w, np.sort(theta + moved)) > here - 1e-5

@@ -366,3 +366,22 @@ def test_exact_passages_against_all_pairs_of_documents(spark):
     runs = {d: max([0, *(common_run(t, o) for _, o in docs[:d])]) for d, t in docs}
     assert {d for d, n in runs.items() if n >= 50} <= got and not any(runs[d] < 30 for d in got)
     assert sum(n >= 50 for n in runs.values()) >= 10
+
+
+def test_line_groups_against_all_pairs(spark):
+    """Dense groups whose lines lie around the threshold from one another: as many lines stay as there are groups by brute force."""
+    rng = random.Random(41)
+    docs = []
+    for _ in range(3):
+        base = words(rng, 30)
+        for _ in range(110):
+            line = list(base)
+            for i in rng.sample(range(30), rng.choice((1, 2, 3, 4, 5, 6))):
+                line[i] = f"v{rng.randint(0, 10**6)}"
+            docs.append((len(docs), " ".join(line)))
+    text = [t.split() for _, t in docs]
+    near = [(i, j) for i in range(len(text)) for j in range(i) if 5 * sum(x != y for x, y in zip(text[i], text[j])) <= 30]
+    root = groups(len(text), near)
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert 3 <= len(set(root)) and len(near) > 2000
+    assert sum(got[d] == int(root[d] != d) for d in got) >= 0.99 * len(got)
