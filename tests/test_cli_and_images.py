@@ -56,5 +56,5 @@ def test_stages_in_a_row(spark, tmp_path):
     assert shares.count() > 4 and {r["cluster"] for r in shares.collect()} >= {-1}
     n = spark.table("cli_run_predictions").count()
     cli.predict(spark, parse(["predict", "--tiles", "table:cli_tiles", "--out", "cli_run_predictions", "--models", str(tmp_path / "m"), "--k", "4"]))
-    assert spark.table("cli_run_predictions").count() == n == spark.table("cli_tiles").where("modality = 'stained'").select("unique_id").distinct().count() or n > 0
+    assert spark.table("cli_run_predictions").count() == n == spark.table("cli_tiles").where("modality = 'stained'").select("unique_id").distinct().count()
     assert cli.optimal_k(spark, parse(["optimal-k", "--tiles", "table:cli_tiles", "--ks", "2,3"])).count() == 2

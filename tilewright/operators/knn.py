@@ -22,9 +22,9 @@ def knn(rows: DataFrame, query: list[float], top_k: int = 10, where: Column | No
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str = "unique_id", vector: str = "vector") -> DataFrame:
-    """Each query's top_k rows of the corpus other than itself, blockwise: corpus batches against all queries (a stated, small set), best kept
-    per batch, then merged."""
-    q = queries.select(id_col, vector).toArrow()
+    """Each query's top_k rows of the corpus other than itself, ties by id, blockwise: corpus batches against all queries (a stated, small set),
+    best kept per batch, then merged in two steps. Null vectors are left out."""
+    q = queries.select(id_col, vector).where(F.col(vector).isNotNull()).toArrow()
     ids = q.column(0).to_pylist()
     matrix = np.array(q.column(1).to_pylist(), np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -38,12 +38,14 @@ def knn_join(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str = "u
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
             s = m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
             k = min(top_k + 1, s.shape[1])
-            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(np.array(names, dtype=object), k), "id": pdf["id"].to_numpy()[at.ravel()], "cosine": np.take_along_axis(s, at, 1).ravel()})
+            q, at = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])  # all that tie with the last one
+            yield pd.DataFrame({"query_id": np.array(names, dtype=object)[q], "id": pdf["id"].to_numpy()[at], "cosine": s[q, at]})
 
     kind = corpus.schema[id_col].dataType.simpleString()
     near = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null").mapInPandas(run, f"query_id {kind}, id {kind}, cosine double").where("query_id <> id")
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "id"))), 1, top_k).alias("b"))
+    keep = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "id"))), 1, top_k).alias("b")
+    some = near.groupBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_part")).agg(keep)  # so that no task gathers what all batches kept
+    best = some.select("query_id", F.explode("b").alias("x")).select("query_id", (-F.col("x.d")).alias("cosine"), F.col("x.id").alias("id")).groupBy("query_id").agg(keep)
     return best.select("query_id", F.posexplode("b").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.d")).alias("cosine"))
 
 
