@@ -347,7 +347,7 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
 
     def sketch(batches):
         for batch in batches:
-            for part in split_batch(batch, 2, 1 << 20):
+            for part in split_batch(batch, 2, 1 << 19):
                 found = Lines(part.column(2).to_pylist())
                 use = np.flatnonzero(found.n >= max(1, least_equal))
                 h = found.hash[use]
@@ -393,7 +393,7 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
 
     def verify(batches):
         for b in batches:
-            for part in split_batch(b, 2, 1 << 21):
+            for part in split_batch(b, 2, 1 << 20):
                 ok = pa.array(np.flatnonzero(similar(part.column(2).to_pylist(), part.column(3).to_pylist(), up, down)))
                 yield pa.RecordBatch.from_arrays([part.column(c).take(ok) for c in (0, 1)], names=["a", "b"])
 

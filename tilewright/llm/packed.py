@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of records that a task holds before it passes them on, and that one part should hold.
-FLUSH = PART = 1 << 24
+FLUSH = PART = 1 << 23
 
 
 def parts_for(df: DataFrame, total_bytes: int) -> int:
@@ -37,6 +37,8 @@ def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.n
                 held, size = [], 0
         if held:
             yield packed(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # a worker goes on to other tasks
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         records = np.concatenate(held)
@@ -57,6 +59,7 @@ def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.n
                 found.setdefault(p, []).append(data)
         for p in sorted(found):
             yield from use(b"".join(found.pop(p)))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(spread, "p int, data binary").repartition(parts, "p").mapInArrow(gather, schema)
 

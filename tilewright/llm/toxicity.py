@@ -48,7 +48,7 @@ class OrdinalModel:
     thresholds: np.ndarray  # ascending, GRADES - 1
     cut_at: float  # rejected from this probability of a grade above 0 on
 
-    def linear(self, text: str, known: dict[str, tuple[str, ...]], most: int = 200_000) -> float:
+    def linear(self, text: str, known: dict[str, tuple[str, ...]], most: int = 100_000) -> float:
         """w . x, where x has the density of each feature the model knows; known: the features of words met before."""
         counts: dict[str, int] = {}
         words = words_of(text)
