@@ -18,7 +18,7 @@ def ship_package(spark: SparkSession) -> None:
     """Send a zip of this package to the executors, once for each application; bound what one Arrow batch sends to Python at a time."""
     context = spark.sparkContext
     if spark.conf.get(BATCH_BYTES, None) in (None, "67108864b"):  # the default, which whole texts fill
-        spark.conf.set(BATCH_BYTES, "8m")
+        spark.conf.set(BATCH_BYTES, "4m")
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
