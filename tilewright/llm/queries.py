@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, lines, packing, passages, pii, quality, shingles, toxicity
+from . import bpe, chat, embeddings, lines, packing, passages, pii, quality, shingles, tandem, toxicity
 from ..plans.shipping import shipped
 from .common import table
 from .oracles import ORACLE_SQL as ORACLE_SQL
@@ -65,5 +65,9 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "toxic", (~F.col("toxic")).alias("kept"), "severity", "grade", "p_toxic")
 
 
-_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op9_collinear_chains, op10_ordinal_toxicity)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.digest_runs(tandem.find_runs(tandem.with_looped_tails(table(spark, sf_dir, "documents"))))
+
+
+_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op9_collinear_chains, op10_ordinal_toxicity, op11_periodic_runs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
