@@ -63,4 +63,12 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10)
 from t group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_itq_near_dup": OP1, "op5_jaccard_join": OP5, "op8_chat_format": OP8}
+OP13 = """
+with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n from pages),
+g as (select h, max(page_id) r from p where n >= 1000 group by h)
+select page_id, n::bigint payload_bytes, sha1(p.h) payload_digest, case when page_id is distinct from coalesce(r, page_id) then 'revisit' else 'response' end record_type,
+  case when page_id is distinct from coalesce(r, page_id) then r end refers_to
+from p left join g on g.h = p.h and n >= 1000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_itq_near_dup": OP1, "op5_jaccard_join": OP5, "op8_chat_format": OP8, "op13_warc_zstd": OP13}
