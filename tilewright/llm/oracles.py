@@ -63,6 +63,28 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10)
 from t group by conv_id
 """
 
+OP12 = r"""
+with d as (select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') text from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) x from d),
+l as (select id, lang, source, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t, count(*) n from w group by all),
+k as (select lang, t, sum(n) total from l group by lang, t having count(*) >= 30),
+s as (select lang, count(*) v, sum(total) m from k group by lang),
+c as (select l.lang, l.source, l.t, sum(n) n from l join k on k.lang = l.lang and k.t = l.t group by l.lang, l.source, l.t),
+g as (select x.lang, x.source, coalesce(sum(c.n), 0) m from (select distinct lang, source from d) x left join c on c.lang = x.lang and c.source = x.source group by x.lang, x.source),
+p as (
+  select g.lang, g.source, k.t, coalesce(c.n, 0) n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.m + 5 * s.v) p, 1 + (1000000000 * (k.total + 5)) // (s.m + 5 * s.v) q
+  from g join s on s.lang = g.lang join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.t = k.t
+),
+f as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by a.lang, a.source, b.source),
+r as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(f.f, 0)::bigint value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', t, (p - q)::bigint from p where n > 0 and p > q
+)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int rank
+from r qualify part = 'pair' or rank <= 50
+"""
+
 OP13 = """
 with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n from pages),
 g as (select h, max(page_id) r from p where n >= 1000 group by h)
@@ -71,4 +93,4 @@ select page_id, n::bigint payload_bytes, sha1(p.h) payload_digest, case when pag
 from p left join g on g.h = p.h and n >= 1000
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_itq_near_dup": OP1, "op5_jaccard_join": OP5, "op8_chat_format": OP8, "op13_warc_zstd": OP13}
+ORACLE_SQL: dict[str, str] = {"op1_itq_near_dup": OP1, "op5_jaccard_join": OP5, "op8_chat_format": OP8, "op12_source_divergence": OP12, "op13_warc_zstd": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, lines, packing, passages, pii, quality, shingles, tandem, toxicity, warc
+from . import bpe, chat, divergence, embeddings, lines, packing, passages, pii, quality, shingles, tandem, toxicity, warc
 from ..plans.shipping import shipped
 from .common import Scratch, table
 from .oracles import ORACLE_SQL as ORACLE_SQL
@@ -69,10 +69,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.digest_runs(tandem.find_runs(tandem.with_looped_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op13_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.archive_pages(table(spark, sf_dir, "pages"), Scratch(spark))
     return warc.read_pages(warc.read_archives(archives, payloads=False))
 
 
-_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op9_collinear_chains, op10_ordinal_toxicity, op11_periodic_runs, op13_warc_zstd)
+_ALL = (op1_itq_near_dup, op2_bpe_automaton, op3_quality_trees, op4_line_dedup, op5_jaccard_join, op6_pii_crf, op7_best_fit_packing, op8_chat_format, op9_collinear_chains, op10_ordinal_toxicity, op11_periodic_runs, op12_source_divergence, op13_warc_zstd)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
