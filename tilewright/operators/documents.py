@@ -59,22 +59,48 @@ def null_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).unpivot([], columns, "column", "nulls")
 
 
+#: Fixed value: dates and times in ISO 8601 as the validation takes them (days of months and weeks of years are looked at besides).
+ISO_TIME = (
+    r"\A(?:\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-?W(?:0[1-9]|[1-4]\d|5[0-3])(?:-?[1-7])?)"
+    r"(?:(?s:.)(?:(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)?|(?:[01]\d|2[0-3])[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)"
+    r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d+)?)?)?)?)?\z"
+)
+
+
+def is_iso_time(text: Column) -> Column:
+    """Whether a string is a date, or a date and time, in ISO 8601; false for null."""
+    digits = F.regexp_replace(F.substring(text, 1, 10), "[^0-9W]", "")
+    year = F.substring(digits, 1, 4)
+    day = lambda d: F.try_to_timestamp(d, F.lit("yyyyMMdd"))
+    thursday = lambda d: F.dayofweek(day(F.concat(year, F.lit(d)))) == 5
+    week = F.substring(digits, 5, 1) == "W"
+    there = F.when(week, (F.substring(digits, 6, 2) != "53") | thursday("0101") | thursday("1231")).otherwise(day(F.substring(digits, 1, 8)).isNotNull())
+    return F.coalesce(text.rlike(ISO_TIME) & (year != "0000") & there, F.lit(False))
+
+
+def is_uuid(text: Column) -> Column:
+    """Whether a string holds the 32 digits of a UUID, with or without hyphens, braces and the prefixes of a name; false for null."""
+    digits = F.replace(F.btrim(F.replace(F.replace(text, F.lit("urn:")), F.lit("uuid:")), F.lit("{}")), F.lit("-"))
+    return F.coalesce(digits.rlike(r"\A[0-9a-fA-F]{32}\z"), F.lit(False))
+
+
 def reasons(columns: dict[str, str] | None = None, needs_model: bool = False) -> Column:
-    """The name of the first rule that a document breaks, or null; needs_model: one without a model breaks a rule too."""
+    """The name of the first rule that a document breaks, or null; needs_model: one without a model breaks a rule too. Patterns hold for whole
+    values, line feeds included."""
     c = lambda n: F.col((columns or {}).get(n, n)).cast("string")
-    bad = lambda n, pattern: ~F.coalesce(c(n).rlike(pattern), F.lit(False))
+    bad = lambda n, pattern: ~F.coalesce(c(n).rlike(rf"\A(?:{pattern})\z"), F.lit(False))
     rules = [
-        ("unique_id", bad("unique_id", r"^(?i)[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$")),
-        ("block_id", bad("block_id", r"^[a-z0-9]+$")),
-        ("box_id", bad("box_id", r"^[0-9]+-[0-9]+$")),
-        ("created_at", F.expr(f"try_to_timestamp({(columns or {}).get('created_at', 'created_at')})").isNull()),
-        ("filename", bad("filename", r"^tile_[0-9]+-[0-9]+-[0-9]+-[0-9]+$")),
+        ("unique_id", ~is_uuid(c("unique_id"))),
+        ("block_id", bad("block_id", "[a-z0-9]+")),
+        ("box_id", bad("box_id", r"\p{Nd}+-\p{Nd}+")),
+        ("created_at", ~is_iso_time(c("created_at"))),
+        ("filename", bad("filename", r"tile_\p{Nd}+-\p{Nd}+-\p{Nd}+-\p{Nd}+")),
         ("modality", ~F.coalesce(c("modality").isin(*VALID_MODALITIES), F.lit(False))),
         ("tile_type", ~F.coalesce(c("tile_type").isin(*VALID_MODALITIES), F.lit(False))),
         ("preprocessing", ~F.coalesce(c("preprocessing").isin(*VALID_PREPROCESSING), F.lit(False))),
-        ("scan_date", bad("scan_date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")),
-        ("slice_id", bad("slice_id", r"^[0-9]+$")),
-        ("tissue_type", bad("tissue_type", r"^[A-Za-z]+$")),
+        ("scan_date", bad("scan_date", r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}")),
+        ("slice_id", bad("slice_id", r"\p{Nd}+")),
+        ("tissue_type", bad("tissue_type", "[A-Za-z]+")),
         ("slide_key", ~F.coalesce(c("slide_key") == F.concat_ws("_", c("tissue_type"), c("block_id"), c("slice_id"), c("scan_date"), c("box_id"), c("filename")), F.lit(False))),
         *([("model", c("model").isNull() | (c("model") == ""))] if needs_model else []),
     ]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, norm
 
 
 def knn(rows: DataFrame, query: list[float], top_k: int = 10, where: Column | None = None, exclude_id: object = None, exclude_block: str | None = None, id_col: str = "unique_id", vector: str = "vector") -> DataFrame:
@@ -21,12 +23,22 @@ def knn(rows: DataFrame, query: list[float], top_k: int = 10, where: Column | No
     return got if exclude_block is None else got.where(F.col("block_id") != exclude_block)
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str = "unique_id", vector: str = "vector") -> DataFrame:
-    """Each query's top_k rows of the corpus other than itself, ties by id, blockwise: corpus batches against all queries (a stated, small set),
-    best kept per batch, then merged in two steps. Null vectors are left out."""
-    q = queries.select(id_col, vector).where(F.col(vector).isNotNull()).toArrow()
+def knn_join(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str = "unique_id", vector: str = "vector", block: int = 16_384) -> DataFrame:
+    """Each query's top_k rows of the corpus other than itself, ties by id, blockwise: corpus batches against `block` queries at a time, best kept
+    per batch, then merged in two steps. Vectors that are null or have no length have no neighbours and are none."""
+    there = F.col(vector).isNotNull() & (norm(F.col(vector)) > 0)
+    asked = queries.select(id_col, vector).where(there)
+    parts = max(1, -(-asked.count() // block))
+    if parts > 1:
+        part = F.pmod(F.xxhash64(id_col), F.lit(parts))
+        return reduce(DataFrame.unionByName, (_knn_block(asked.where(part == p), corpus.where(there), top_k, id_col, vector) for p in range(parts)))
+    return _knn_block(asked, corpus.where(there), top_k, id_col, vector)
+
+
+def _knn_block(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str, vector: str) -> DataFrame:
+    q = queries.select(id_col, vector).toArrow()
     ids = q.column(0).to_pylist()
-    matrix = np.array(q.column(1).to_pylist(), np.float64)
+    matrix = np.array(q.column(1).to_pylist() or np.zeros((0, 1)), np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -35,6 +47,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str = "u
 
         names, m = shared.value
         for pdf in batches:
+            if not len(names) or not len(pdf):
+                continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
             s = m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
             k = min(top_k + 1, s.shape[1])
@@ -42,7 +56,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, top_k: int, id_col: str = "u
             yield pd.DataFrame({"query_id": np.array(names, dtype=object)[q], "id": pdf["id"].to_numpy()[at], "cosine": s[q, at]})
 
     kind = corpus.schema[id_col].dataType.simpleString()
-    near = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null").mapInPandas(run, f"query_id {kind}, id {kind}, cosine double").where("query_id <> id")
+    near = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {kind}, id {kind}, cosine double").where("query_id <> id")
     keep = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "id"))), 1, top_k).alias("b")
     some = near.groupBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_part")).agg(keep)  # so that no task gathers what all batches kept
     best = some.select("query_id", F.explode("b").alias("x")).select("query_id", (-F.col("x.d")).alias("cosine"), F.col("x.id").alias("id")).groupBy("query_id").agg(keep)

@@ -33,20 +33,30 @@ def source_quotas(rows: DataFrame, cls: str, source: str, targets: DataFrame) ->
 
 
 def quota_sample(rows: DataFrame, cls: str, source: str, id_col: str, per_class: int, most: int) -> DataFrame:
-    """Each (class, source) gets its quota of rows, drawn by a hash of the id; of repeated ids the first by class and source counts.
+    """Each (class, source) gets its quota of rows, in the order of a hash of the id; of rows with the same id the first by class and source counts.
 
-    Rows whose hash is far too large to be drawn are left out where they are (eight deviations beyond the share that the quota needs), so what
-    is sorted follows the quotas, not the table.
+    Rows without an id are never drawn. Quotas follow the numbers of rows; a (class, source) with fewer different ids than its quota gives them all. How many ids each slice of hashes
+    holds is counted, and only the slices that a quota reaches into are ordered, so what is ordered follows the quotas, not the table, and
+    no quota is left short.
     """
-    counts = rows.groupBy(cls, source).agg(F.count(F.lit(1)).alias("_n"))
-    quotas = source_quotas(rows, cls, source, class_targets(rows, cls, per_class, most)).where("quota > 0").join(counts, [cls, source])
-    share = (F.col("quota") + 8 * F.sqrt("quota") + 16) / F.col("_n")
-    drawn = F.conv(F.substring(draw_order(id_col), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    repeated = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(id_col)
-    once = rows.join(repeated, id_col, "left_anti").unionByName(keep_first(rows.join(repeated, id_col, "left_semi"), [id_col], [F.col(cls), F.col(source)]))
-    likely = once.join(F.broadcast(quotas), [cls, source]).where(drawn < share)
-    rank = F.row_number().over(Window.partitionBy(cls, source).orderBy(draw_order(id_col), F.col(id_col)))
-    return likely.withColumn("_rank", rank).where("_rank <= quota").select(*rows.columns)
+    quotas = source_quotas(rows, cls, source, class_targets(rows, cls, per_class, most)).where("quota > 0")
+    first = F.min(F.struct(F.col(cls).alias("cls"), F.col(source).alias("source"))).alias("_f")
+    once = rows.groupBy(F.col(id_col).alias("_id")).agg(first).select("_id", F.col("_f.cls").alias("_cls"), F.col("_f.source").alias("_src"), draw_order("_id").alias("_h"))
+    once = once.withColumn("_slice", F.substring("_h", 1, 3))
+    before = F.sum("_n").over(Window.partitionBy("_cls", "_src").orderBy("_slice")) - F.col("_n")  # at most 4096 slices
+    wanted = quotas.select(F.col(cls).alias("_cls"), F.col(source).alias("_src"), F.col("quota").alias("_quota"))
+    filled = once.groupBy("_cls", "_src", "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before)
+    reached = _join_groups(filled, wanted).where("_before < _quota").groupBy("_cls", "_src").agg(F.max("_slice").alias("_last"), F.max("_quota").alias("_quota"))
+    rank = F.row_number().over(Window.partitionBy("_cls", "_src").orderBy("_h", "_id"))
+    drawn = _join_groups(once, reached).where("_slice <= _last").withColumn("_rank", rank).where("_rank <= _quota").select("_id", "_cls", "_src")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(cls) == F.col("_cls")) & F.col(source).eqNullSafe(F.col("_src"))
+    return keep_first(rows.join(drawn, same, "left_semi"), [id_col], [F.col(cls), F.col(source)])
+
+
+def _join_groups(left: DataFrame, right: DataFrame) -> DataFrame:
+    """By class and source; a missing source is one."""
+    right = right.withColumnsRenamed({"_cls": "_cls2", "_src": "_src2"})
+    return left.join(right, (F.col("_cls") == F.col("_cls2")) & F.col("_src").eqNullSafe(F.col("_src2"))).drop("_cls2", "_src2")
 
 
 def per_group_sample(rows: DataFrame, group: str, id_col: str, n: int) -> DataFrame:
