@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import documents, kselect, paired, sampling, tissue
+from ..operators import documents, ivf, kselect, paired, sampling, tissue
 from .fixtures import view
-from .queries import PD, labelled, query
+from .queries import COS, PD, _scratch, labelled, query
 
 KS = (4, 8)
 
@@ -114,3 +114,23 @@ def cluster_grids(spark, sf_dir):
     """A few tiles for each cluster, as the cells of its grid."""
     got = sampling.per_group_sample(view(spark, sf_dir, "preds"), "cluster", "id", 4)
     return got.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+
+
+_NEAREST = f"SELECT q.vec_id AS query_id, e.vec_id AS id, {COS.format('e.embedding', 'q.embedding')} AS c FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id"
+
+
+@query(f"WITH s AS ({_NEAREST}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank, id, round(c, 6) AS cosine FROM s QUALIFY rank <= 10")
+def ivf_knn_exact(spark, sf_dir):
+    """Exact neighbours from an index: bounds leave out what can't be among them."""
+    rows = view(spark, sf_dir, "embeddings")
+    index = ivf.Index.build(rows, f"{_scratch(spark)}/index", id_col="vec_id", vector="embedding")
+    got = index.search(rows.where("vec_id % 100 = 0"), 10, exact=True)
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def ivf_knn_candidates(spark, sf_dir):
+    """Neighbours among the thousand best by their codes, of stained tiles only."""
+    rows = view(spark, sf_dir, "tiles")
+    index = ivf.Index.build(rows, f"{_scratch(spark)}/index", ("modality",), "vec_id")
+    return index.search(rows.where("vec_id % 100 = 0"), 50, num_candidates=1000, where=F.col("modality") == "stained")
