@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.keyed import KeyedTable
+
 #: The fields that can be filtered by, and the values that validation accepts.
 FILTER_FIELDS = ("block_id", "box_id", "cluster", "created_at", "dimension", "dataset", "dataset_version", "filename", "id", "modality", "model", "preprocessing", "scan_date", "slice_id", "slide_key", "tile_type", "tissue_type", "unique_id")
 VALID_MODALITIES = ("stained", "unstained", "stained-sr")
@@ -150,6 +152,13 @@ def write_back_changes(docs: DataFrame, preds: DataFrame, key: str = "unique_id"
     return docs.select(key, F.col("cluster").alias("before")).join(after, key)
 
 
+def write_back_into(table: KeyedTable, preds: DataFrame, force: bool = False) -> dict:
+    """write_back() into a keyed table: the documents of preds are read, and only buckets of those that change are rewritten; the commit."""
+    key = table.state()["key"]
+    changed = write_back(table.get(preds.where("cluster is not null")), preds, key, force).where("updated")
+    return table.update(changed.select(key, "cluster"))
+
+
 def keep_approved(docs: DataFrame, field: str, approved: list) -> DataFrame:
     return docs.where(F.col(field).isin(*approved))
 

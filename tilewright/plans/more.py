@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import documents, ivf, kselect, paired, sampling, tissue
+from ..sources.keyed import KeyedTable
 from .fixtures import view
 from .queries import COS, PD, _scratch, labelled, query
 
@@ -134,3 +135,37 @@ def ivf_knn_candidates(spark, sf_dir):
     rows = view(spark, sf_dir, "tiles")
     index = ivf.Index.build(rows, f"{_scratch(spark)}/index", ("modality",), "vec_id")
     return index.search(rows.where("vec_id % 100 = 0"), 50, num_candidates=1000, where=F.col("modality") == "stained")
+
+
+_BUCKET = "cast(('0x' || substr(md5(unique_id), 1, 8)) as bigint) % 64"
+
+
+def _upserted(spark, sf_dir):
+    """A keyed table of tiles, after an upsert of every hundredth tile and of as many new ones."""
+    tiles = view(spark, sf_dir, "tiles").select("unique_id", "tissue_type", "vec_id")
+    table = KeyedTable.create(tiles, f"{_scratch(spark)}/tiles", "unique_id", 64)
+    some = tiles.where("vec_id % 100 = 0")
+    new = some.select("unique_id", F.lit("again").alias("tissue_type"), "vec_id").unionByName(some.select(F.md5("unique_id").alias("unique_id"), F.lit("new").alias("tissue_type"), "vec_id"))
+    return table, table.upsert(new)
+
+
+_UPSERTED = "t AS (SELECT unique_id, tissue_type, vec_id FROM tiles QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY vec_id) = 1), n AS (SELECT unique_id, 'again' AS tissue_type, vec_id FROM t WHERE vec_id % 100 = 0 UNION ALL SELECT md5(unique_id), 'new', vec_id FROM t WHERE vec_id % 100 = 0), u AS (SELECT * FROM t WHERE unique_id NOT IN (SELECT unique_id FROM n) UNION ALL SELECT * FROM n)"
+
+
+@query(f"WITH {_UPSERTED} SELECT * FROM u", "tiles")
+def keyed_upsert(spark, sf_dir):
+    return _upserted(spark, sf_dir)[0].read()
+
+
+@query(f"WITH {_UPSERTED}, b AS (SELECT DISTINCT {_BUCKET} AS bucket FROM n) SELECT 64 AS buckets, (SELECT count(*) FROM b) AS rewritten, (SELECT count(*) FROM u WHERE {_BUCKET} IN (SELECT bucket FROM b)) AS rows_written", "tiles")
+def keyed_upsert_report(spark, sf_dir):
+    """How many buckets an upsert rewrites, and how many rows they hold."""
+    commit = _upserted(spark, sf_dir)[1]
+    return spark.createDataFrame([(commit["buckets"], len(commit["rewritten"]), commit["rows"])], "buckets int, rewritten long, rows_written long")
+
+
+@query(f"WITH {_UPSERTED} SELECT * FROM u WHERE vec_id % 50 = 0", "tiles")
+def keyed_multi_get(spark, sf_dir):
+    """Rows by key from a keyed table; the files of other buckets aren't read."""
+    table = _upserted(spark, sf_dir)[0]
+    return table.get(table.read().where("vec_id % 50 = 0").select("unique_id"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.vectors import mean_vectors
 from ..operators import documents, kmeans
 from ..sources import sinks
+from ..sources.keyed import KeyedTable
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8, after: str | None = None, archive: str | None = None) -> DataFrame:
@@ -50,6 +51,11 @@ def ingest_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "uniq
     return run_batches(stream, each, checkpoint)
 
 
+def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, writer: str = "stream", order: str | None = None) -> StreamingQuery:
+    """Rows merged into a keyed table, a commit a batch; a batch that comes twice changes nothing, as its number is in the table's log."""
+    return run_batches(stream, lambda batch, n: table.upsert(batch, order, (writer, n)), checkpoint)
+
+
 def documents_once(batch: DataFrame, key: str = "unique_id") -> DataFrame:
     return batch.dropDuplicates([key])
 
