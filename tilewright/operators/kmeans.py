@@ -94,8 +94,12 @@ def remaining(rows: DataFrame, done: DataFrame, modality: str | None = None, key
 
 def predict_rest(rows: DataFrame, done: DataFrame, centers: Centers, ext: DataFrame | None = None, modality: str = "stained", low: float = 5.0, mid: float = 20.0) -> DataFrame:
     """Predictions for the rows that have none, relabelled by tissue where ext is given; append them to `done` and the next call has none."""
-    todo = remaining(rows, done, modality)
-    got = assign(todo if ext is None else with_tissue(todo, ext, "left", modality), centers)
+    return predictions(remaining(rows, done, modality), centers, ext, modality, low, mid)
+
+
+def predictions(rows: DataFrame, centers: Centers, ext: DataFrame | None = None, modality: str = "stained", low: float = 5.0, mid: float = 20.0) -> DataFrame:
+    """The rows' clusters, relabelled by tissue where ext is given, in the columns of a table of predictions."""
+    got = assign(rows if ext is None else with_tissue(rows, ext, "left", modality), centers)
     if ext is not None:
         got = got.withColumn("cluster", relabel_single(F.col("cluster"), F.col("tissue_percentage"), low, mid))
     return got.select("unique_id", "id", "slide_key", "tile_key", "short_box_name", "box_id", F.col("cluster").cast("int").alias("cluster"))

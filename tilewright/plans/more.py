@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import documents, ivf, kselect, paired, sampling, tissue
 from ..sources.keyed import KeyedTable
+from ..streaming import micro, state
 from .fixtures import view
-from .queries import COS, PD, _scratch, labelled, query
+from .queries import COS, ORACLE_SQL, PD, _scratch, label_centers, labelled, query
 
 KS = (4, 8)
 
@@ -169,3 +171,19 @@ def keyed_multi_get(spark, sf_dir):
     """Rows by key from a keyed table; the files of other buckets aren't read."""
     table = _upserted(spark, sf_dir)[0]
     return table.get(table.read().where("vec_id % 50 = 0").select("unique_id"))
+
+
+@query()
+def stream_state_equals_batch(spark, sf_dir):
+    """Predictions by keyed state over the tiles in three files, then over all of them again with a new checkpoint."""
+    path, tiles = _scratch(spark), view(spark, sf_dir, "tiles")
+    once = sampling.keep_first(tiles, ["unique_id"], [F.col("vec_id")])
+    once.repartition(3).write.parquet(f"{path}/in")
+    centers = np.array([r["center"] for r in label_centers(spark, sf_dir).orderBy("cluster").collect()])
+    for n in range(2):
+        stream = micro.read_stream(spark, f"{path}/in", once.schema, 1)
+        state.predict_once(stream, centers, f"{path}/out", f"{path}/state-{n}", view(spark, sf_dir, "ext")).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("unique_id", "cluster")
+
+
+ORACLE_SQL["stream_state_equals_batch"] = ORACLE_SQL["stream_equals_batch"]
