@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def class_counts(rows: DataFrame, keys: list[str], alpha: str | None = None) -> DataFrame:
     """Rows per combination of keys; alpha: a column whose values must be letters only."""
@@ -40,7 +42,9 @@ def zero_filled_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
 def describe_numeric(rows: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """Exact count, mean, deviation, least, quartiles and most."""
     c = F.col(column).cast("double")
-    return rows.agg(F.lit(column).alias("column"), F.count(c).alias("count"), *(F.round(x, digits).alias(n) for n, x in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("q25", F.percentile(c, 0.25)), ("q50", F.percentile(c, 0.5)), ("q75", F.percentile(c, 0.75)), ("max", F.max(c)))))
+    whole = rows.agg(F.lit(column).alias("column"), F.count(c).alias("count"), *(F.round(x, digits).alias(n) for n, x in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("max", F.max(c)))))
+    q = percentiles(rows, [], column, [0.25, 0.5, 0.75]).agg(F.first("q").alias("q"))  # one row, also of no values
+    return whole.crossJoin(F.broadcast(q)).select("column", "count", "mean", "std", "min", *(F.round(F.get("q", i), digits).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "max")
 
 
 def top_values(rows: DataFrame, column: str, k: int) -> DataFrame:

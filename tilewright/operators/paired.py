@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
+from .quantiles import percentiles
 
 
 def align(a: DataFrame, b: DataFrame, key: str = "slide_key", suffixes: tuple[str, str] = ("_chem", "_virt")) -> DataFrame:
@@ -20,7 +21,15 @@ def pair_distances(pairs: DataFrame, a: str = "vector_chem", b: str = "vector_vi
 
 def group_stats(rows: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:
     v = F.col(value)
-    return rows.groupBy(group).agg(*(F.round(x, digits).alias(n) for n, x in (("mean", F.avg(v)), ("median", F.percentile(v, 0.5)), ("p75", F.percentile(v, 0.75)), ("p90", F.percentile(v, 0.9)), ("p99", F.percentile(v, 0.99)), ("std", F.stddev_samp(v)))))
+    whole = rows.groupBy(group).agg(F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_samp(v), digits).alias("std"))
+    got = _with_percentiles(whole, rows, group, value, [0.5, 0.75, 0.9, 0.99])
+    return got.select(group, "mean", *(F.round(F.get("q", i), digits).alias(n) for i, n in enumerate(("median", "p75", "p90", "p99"))), "std")
+
+
+def _with_percentiles(groups: DataFrame, rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """groups with q, null where a group has no value."""
+    q = percentiles(rows, [group], value, shares).select(F.col(group).alias("_group"), "q")
+    return groups.join(q, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def std_ratio_ranking(stats: DataFrame, by: list[str], cluster: str, n: int) -> DataFrame:
@@ -38,10 +47,10 @@ def std_difference(a: DataFrame, b: DataFrame, cluster: str, n: int) -> DataFram
 
 def outliers(rows: DataFrame, group: str, value: str, width: float = 1.5) -> DataFrame:
     """Per group its quartiles, its rows, and those beyond `width` times the quartile range outside of them."""
-    q = rows.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    q = q.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = _with_percentiles(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), rows, group, value, [0.25, 0.75])
+    q = q.select(F.col(group).alias("_group"), "n", F.get("q", 0).alias("q1"), F.get("q", 1).alias("q3"))
     low, high = F.col("q1") - width * (F.col("q3") - F.col("q1")), F.col("q3") + width * (F.col("q3") - F.col("q1"))
-    flagged = rows.select(group, value).join(q, group)
+    flagged = rows.select(group, value).join(q, F.col(group).eqNullSafe(F.col("_group")))
     return flagged.groupBy(group, "n", "q1", "q3").agg(F.count_if((F.col(value) < low) | (F.col(value) > high)).alias("outliers"))
 
 
