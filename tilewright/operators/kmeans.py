@@ -12,24 +12,115 @@ from .tissue import relabel_single, with_tissue
 Centers = np.ndarray
 
 
-def fit(rows: DataFrame, k: int, seed: int = 42, rounds: int = 20, vector: str = "vector") -> Centers:
-    """Centres by Spark ML's k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def fit(rows: DataFrame, k: int, seed: int = 42, rounds: int = 20, vector: str = "vector", tolerance: float = 1e-4) -> Centers:
+    """Centres by full passes from seeds(), until no centre moves further than `tolerance` or after `rounds` passes; fewer than k where rows
+    differ less."""
+    centers = seeds(rows, k, seed, vector=vector)
+    for _ in range(rounds):
+        before, centers = centers, full_passes(rows, centers, 1, vector)
+        if ((centers - before) ** 2).sum(axis=1).max() <= tolerance**2:
+            break
+    return centers
+
 
-    if rows.isEmpty():
+def seeds(rows: DataFrame, k: int, seed: int = 42, rounds: int = 4, oversample: int = 2, vector: str = "vector") -> Centers:
+    """k rows to start from, by parallel oversampled seeding: in each round oversample * k rows are drawn by their squared distance to what was drawn
+    before; the draws, weighted by the rows that are nearest to them, are then reduced to k. The draws (rounds * oversample * k rows) are all that
+    reaches the driver."""
+    there = rows.where(F.col(vector).isNotNull())
+    first = there.select(vector).orderBy(F.rand(seed)).limit(1).toArrow().column(0)
+    if not len(first):
         raise ValueError("nothing to train on")
-    data = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    return np.array(KMeans(k=k, seed=seed, maxIter=rounds).fit(data).clusterCenters())
+    drawn = _matrix(first.combine_chunks())
+    for r in range(rounds):
+        more = far_rows(there, drawn, oversample * k, seed + 1 + r, vector)
+        if not len(more):
+            break
+        drawn = np.concatenate([drawn, more])
+    n, _, _ = cluster_sums(there, drawn, vector)
+    return weighted_centers(drawn, n, k, np.random.default_rng(seed))
+
+
+def far_rows(rows: DataFrame, centers: Centers, n: int, seed: int, vector: str = "vector") -> np.ndarray:
+    """n rows (all that aren't centers, if they are fewer), drawn without replacement by their squared distance to the nearest centre: those with
+    the smallest exponential variates at that rate, of each task first."""
+    near = assign(rows.select(vector), centers, vector).where("d2 > 0")
+    wait = -F.log1p(-F.rand(seed)) / F.col("d2")
+    got = near.select(vector, wait.alias("wait")).orderBy("wait").limit(n).select(vector).toArrow().column(0)
+    return _matrix(got.combine_chunks()) if len(got) else np.zeros((0, centers.shape[1]))
+
+
+def weighted_centers(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> Centers:
+    """k centres of a few weighted points: seeds by weighted squared distance, the best of some tries at each step, then weighted means; the best of
+    ten runs."""
+    points, at = np.unique(points, axis=0, return_inverse=True)
+    weight = np.maximum(np.bincount(at.ravel(), weight, len(points)), 1e-12)
+    if len(points) <= k:
+        return points
+    best, least, tries = points[:k], np.inf, 2 + int(np.log(k))
+    for _ in range(10):
+        centers = points[[rng.choice(len(points), p=weight / weight.sum())]]
+        d2 = ((points - centers[0]) ** 2).sum(axis=1)
+        while len(centers) < k:
+            p = weight * d2
+            some = points[rng.choice(len(points), tries, p=p / p.sum())]
+            left = np.minimum(d2, ((points - some[:, None]) ** 2).sum(axis=2))
+            pick = (left @ weight).argmin()
+            centers, d2 = np.concatenate([centers, some[[pick]]]), left[pick]
+        for _ in range(rounds):
+            own = (points @ centers.T - (centers**2).sum(axis=1) / 2).argmax(axis=1)
+            n = np.bincount(own, weight, k)
+            sums = np.stack([np.bincount(own, weight * x, k) for x in points.T], axis=1)
+            centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], centers)
+        cost = (weight * ((points - centers[(points @ centers.T - (centers**2).sum(axis=1) / 2).argmax(axis=1)]) ** 2).sum(axis=1)).sum()
+        if cost < least:
+            best, least = centers, cost
+    return best
+
+
+def _matrix(v) -> np.ndarray:
+    """The rows of an Arrow array of lists without nulls, all of one length."""
+    return np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
+
+
+def cluster_sums(rows: DataFrame, centers: Centers, vector: str = "vector") -> tuple[np.ndarray, np.ndarray, float]:
+    """Per centre the number and the sum of the rows that are nearest to it, and the sum of all squared distances. Each task sums its rows; k x d
+    numbers reach the driver."""
+    half = (centers**2).sum(axis=1) / 2
+    k, d = centers.shape
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, sums, cost = np.zeros(k), np.zeros((k, d)), 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(0))
+            at = np.argmax(x @ centers.T - half, axis=1)
+            cost += ((x - centers[at]) ** 2).sum()
+            size = np.bincount(at, minlength=k)
+            held = np.flatnonzero(size)
+            n += size
+            sums[held] += np.add.reduceat(x[np.argsort(at, kind="stable")], (np.cumsum(size) - size)[held], axis=0)
+        held = np.flatnonzero(n)
+        c = np.concatenate([np.repeat(held, d), held, [-1]])
+        i = np.concatenate([np.tile(np.arange(d), len(held)), np.full(len(held), d), [0]])
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(np.concatenate([sums[held].ravel(), n[held], [cost]]))], names=["c", "i", "x"])
+
+    got = rows.select(vector).where(F.col(vector).isNotNull()).mapInArrow(run, "c int, i int, x double").groupBy("c", "i").agg(F.sum("x").alias("x")).toArrow()
+    c, i, x = (got.column(j).to_numpy() for j in range(3))
+    both = np.zeros((k, d + 1))
+    own = c >= 0
+    both[c[own], i[own]] = x[own]
+    return both[:, d], both[:, :d], float(x[~own].sum())
 
 
 def full_passes(rows: DataFrame, centers: Centers, rounds: int = 1, vector: str = "vector") -> Centers:
     """Full passes from given centres; a centre without rows stays."""
     for _ in range(rounds):
-        means = mean_vectors(assign(rows, centers, vector), ["cluster"], vector).collect()  # k rows
-        centers = centers.copy()
-        for r in means:
-            centers[r["cluster"]] = r["center"]
+        n, sums, _ = cluster_sums(rows, centers, vector)
+        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
     return centers
 
 
@@ -42,17 +133,39 @@ def mini_batch(centers: Centers, counts: np.ndarray, sums: np.ndarray, n: np.nda
     return centers, counts
 
 
-def mini_batch_fit(rows: DataFrame, k: int, parts: int = 8, seed: int = 42, id_col: str = "unique_id", vector: str = "vector") -> Centers:
-    """One pass without replacement: `parts` batches by a hash of the id, each summed per nearest centre on the cluster."""
-    first = rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(k).select(vector).toArrow().column(0).to_pylist()  # k rows
-    centers, counts = np.array(first, np.float64), np.zeros(len(first))
-    batch = F.pmod(F.xxhash64(id_col, F.lit(seed + 1)), F.lit(parts))
+def reassign(centers: Centers, counts: np.ndarray, batch: DataFrame, starved: float, seed: int, vector: str = "vector") -> tuple[Centers, np.ndarray]:
+    """Centres that have seen less than `starved` of what the largest has seen (half of them at most, the emptiest first) go to rows of the
+    batch that are far from all others, and count as much as the smallest of the others."""
+    weak = np.flatnonzero(counts < starved * counts.max())
+    weak = weak[np.argsort(counts[weak], kind="stable")][: len(centers) // 2]
+    if not len(weak):
+        return centers, counts
+    strong = np.setdiff1d(np.arange(len(centers)), weak)
+    found = far_rows(batch.where(F.col(vector).isNotNull()), centers[strong], len(weak), seed, vector)
+    centers, counts = centers.copy(), counts.copy()
+    centers[weak[: len(found)]] = found
+    counts[weak[: len(found)]] = counts[strong].min()
+    return centers, counts
+
+
+def mini_batch_fit(rows: DataFrame, k: int, parts: int = 8, seed: int = 42, id_col: str = "unique_id", vector: str = "vector", starved: float = 0.01) -> Centers:
+    """One pass without replacement: `parts` batches by a hash of the id, each summed per nearest centre on the cluster. Centres start from the seeds of
+    the first batch that has rows; after each batch but the last two, starved ones go elsewhere, see reassign()."""
+    at = F.pmod(F.xxhash64(id_col, F.lit(seed + 1)), F.lit(parts))
+    centers = counts = None
     for b in range(parts):
-        got = mean_vectors(assign(rows.where(batch == b), centers, vector), ["cluster"], vector).collect()
-        n, sums = np.zeros(len(centers)), np.zeros_like(centers)
-        for r in got:
-            n[r["cluster"]], sums[r["cluster"]] = r["n"], np.array(r["center"]) * r["n"]
+        batch = rows.where(at == b)
+        if centers is None:
+            if batch.where(F.col(vector).isNotNull()).isEmpty():
+                continue
+            centers = seeds(batch, k, seed, vector=vector)
+            counts = np.zeros(len(centers))
+        n, sums, _ = cluster_sums(batch, centers, vector)
         centers, counts = mini_batch(centers, counts, sums, n)
+        if starved and b < parts - 2:
+            centers, counts = reassign(centers, counts, batch, starved, seed + b, vector)
+    if centers is None:
+        raise ValueError("nothing to train on")
     return centers
 
 

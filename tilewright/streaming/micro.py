@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.vectors import mean_vectors
 from ..operators import documents, kmeans
 from ..sources import sinks
 from ..sources.keyed import KeyedTable
@@ -87,10 +86,7 @@ class IncrementalModel:
     def update(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.seen:  # replayed
             return
-        got = mean_vectors(kmeans.assign(batch, self.centers).where("cluster is not null"), ["cluster"]).collect()
-        n, sums = np.zeros(len(self.centers)), np.zeros_like(self.centers)
-        for r in got:
-            n[r["cluster"]], sums[r["cluster"]] = r["n"], np.array(r["center"]) * r["n"]
+        n, sums, _ = kmeans.cluster_sums(batch, self.centers)
         self.centers, self.counts = kmeans.mini_batch(self.centers, self.counts, sums, n)
         self.seen = batch_id
         if self.path:
