@@ -32,9 +32,12 @@ def grid_search(spark, sf_dir):
     return kselect.grid_search(view(spark, sf_dir, "tiles"), [4], "vec_id", "tissue_type", ["resize"], [False, True], [5, 10], "stained", 8)
 
 
-@query("SELECT p AS preprocessing, a AS apply_pca, cast(m as int) AS min_samples, 'stained_sr_' || p || '_pca' || cast(cast(a as int) as string) || '_min' || cast(m as string) AS run_name FROM (VALUES ('resize'), ('center_crop')) x(p), (VALUES (true), (false)) y(a), (VALUES (1000), (10000), (50000)) z(m)")
+@query("SELECT p AS preprocessing, a AS apply_pca, m AS min_samples, 'stained_sr_' || p || '_pca' || cast(cast(a as int) as string) || '_min' || cast(m as string) AS run_name FROM (SELECT DISTINCT preprocessing AS p FROM tiles) x, (VALUES (true), (false)) y(a), (SELECT DISTINCT cast(count(*) as int) AS m FROM tiles GROUP BY tissue_type) z", "tiles")
 def grid_configurations(spark, sf_dir):
-    return kselect.grid(spark, ["resize", "center_crop"], [True, False], [1000, 10000, 50000])
+    """The runs of a grid over what the tiles hold: their preprocessing, and the sizes of their classes as sample sizes."""
+    tiles = view(spark, sf_dir, "tiles")
+    sizes = tiles.groupBy("tissue_type").agg(F.count(F.lit(1)).cast("int").alias("m")).select("m").distinct().collect()  # a row a class
+    return kselect.grid(spark, [r[0] for r in tiles.select("preprocessing").distinct().collect()], [True, False], [r["m"] for r in sizes])
 
 
 @query("WITH d AS (SELECT model, k, lead(inertia) OVER w - 2 * inertia + lag(inertia) OVER w AS d2 FROM kmetrics WINDOW w AS (PARTITION BY model ORDER BY k)), e AS (SELECT model, k AS elbow FROM d WHERE d2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model ORDER BY d2 DESC, k) = 1), c AS (SELECT model, k AS ch FROM kmetrics QUALIFY row_number() OVER (PARTITION BY model ORDER BY calinski_harabasz DESC, k) = 1), b AS (SELECT model, k AS db FROM kmetrics QUALIFY row_number() OVER (PARTITION BY model ORDER BY davies_bouldin, k) = 1) SELECT model, elbow, ch, db, abs(elbow - db) AS elbow_db_diff, row_number() OVER (ORDER BY abs(elbow - db), model) AS rank FROM e JOIN c USING (model) JOIN b USING (model)", "kmetrics")
