@@ -255,21 +255,35 @@ class Prune:
         starts, size = runs(e["k"])
         split = e["n"][starts] >= SPLIT
         e["n"] &= ~SPLIT
-        found, few = [], (size > 1) & (size <= min(48, self.large)) & ~split
+        found, held = [], 0
+        for x, y, kind in self.groups(e, starts, size, split):
+            found.append((x, y, kind))
+            held += len(x)
+            if held >= 1 << 20:
+                yield self.batch(e, found)
+                found, held = [], 0
+        yield self.batch(e, found)
+
+    def groups(self, e: np.ndarray, starts: np.ndarray, size: np.ndarray, split: np.ndarray):
+        """Of each key, the pairs of entries (indices) and what they are."""
+        few = (size > 1) & (size <= min(48, self.large)) & ~split
         for z in np.unique(size[few]):
             at = starts[few & (size == z)]
-            x, y = (np.repeat(at, len(t)) + np.tile(t, len(at)) for t in np.triu_indices(z, 1))
-            for s in range(0, len(x), 1 << 20):
-                u, v = x[s : s + (1 << 20)], y[s : s + (1 << 20)]
-                ok = self.pairs(e, u, v)
-                found.append((u[ok], v[ok], PAIR))
+            u, v = np.triu_indices(z, 1)
+            step = max(1, (1 << 20) // len(u))
+            for s in range(0, len(at), step):
+                x, y = (np.repeat(at[s : s + step], len(t)) + np.tile(t, len(at[s : s + step])) for t in (u, v))
+                ok = self.pairs(e, x, y)
+                yield x[ok], y[ok], PAIR
         for i in np.flatnonzero((size > 1) & ~few):
-            found += self.many(e, starts[i], size[i], size[i] <= self.large and not split[i])
+            yield from self.many(e, starts[i], size[i], size[i] <= self.large and not split[i])
+
+    def batch(self, e: np.ndarray, found: list) -> pa.RecordBatch:
         x, y = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
         kind = np.repeat(np.array([f[2] for f in found], np.int32), [len(f[0]) for f in found]) if found else np.zeros(0, np.int32)
         a, b = e["id"][x], e["id"][y]  # a < b, as ids ascend within a key
         _, once = np.unique(mixed(a.view(np.uint64) * MIX + b.view(np.uint64)) ^ kind.astype(np.uint64), return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(kind[once])], names=["a", "b", "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(kind[once])], names=["a", "b", "kind"])
 
     def many(self, e: np.ndarray, at: int, z: int, whole: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """meet() of one key with z lines, from `at` on.
@@ -386,10 +400,22 @@ def find_repeats(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least_wo
     side = lambda d, c: d.select(F.col("id").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in d.columns if n != "id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of lines that are similar."""
+        """Of the pairs (a, b) of lines those that are similar, as far as it takes to join up what they link.
+
+        First each line meets the one of its candidates that has most candidates itself; then only pairs are left that no link found joins.
+        """
         pairs = cut(pairs)
         content = cut(_contents(texts, _places(lines, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")))
-        return cut(pairs.join(side(content, "a"), "a").join(side(content, "b"), "b").select("a", "b", "a_words", "b_words").mapInArrow(verify, "a long, b long"))
+        compared = lambda some: cut(some.join(side(content, "a"), "a").join(side(content, "b"), "b").select("a", "b", "a_words", "b_words").mapInArrow(verify, "a long, b long"))
+        ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        hub = ends.join(known.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+        first = cut(hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = compared(first)
+        joined = cut(components(links))
+        own = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        rest = pairs.join(first, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
+        return links.unionByName(compared(rest.where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")))
 
     def verify(batches):
         for b in batches:
