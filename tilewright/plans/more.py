@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import documents, ivf, kselect, paired, sampling, tissue
+from ..operators import documents, ivf, kselect, paired, projection, sampling, tissue
 from ..sources.keyed import KeyedTable
 from ..streaming import micro, state
 from .fixtures import view
@@ -190,3 +190,20 @@ def stream_state_equals_batch(spark, sf_dir):
 
 
 ORACLE_SQL["stream_state_equals_batch"] = ORACLE_SQL["stream_equals_batch"]
+
+
+@query()
+def projection_2d(spark, sf_dir):
+    """A map of the embeddings: a layout of 600 rows of each label, and the places of all rows in it."""
+    rows = view(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
+    layout = projection.fit_layout(rows, id_col="vec_id")
+    return projection.place(rows, layout).select("vec_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT cast(sum(least(n, 600)) as bigint) AS sample_rows, true AS more_than_components FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)")
+def projection_neighbours(spark, sf_dir):
+    """Whether the map of the sample keeps more of its neighbours than two principal components do."""
+    rows = view(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
+    layout = projection.fit_layout(rows, id_col="vec_id")
+    kept, plane = projection.neighbours_kept(layout), projection.neighbours_kept(layout, layout.vectors[:, :2])
+    return spark.createDataFrame([(len(layout.ids), kept > plane)], "sample_rows long, more_than_components boolean")
