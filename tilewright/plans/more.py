@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import documents, ivf, kselect, paired, projection, sampling, tissue
+from ..sources import fetch
 from ..sources.keyed import KeyedTable
 from ..streaming import micro, state
 from .fixtures import view
@@ -207,3 +208,20 @@ def projection_neighbours(spark, sf_dir):
     layout = projection.fit_layout(rows, id_col="vec_id")
     kept, plane = projection.neighbours_kept(layout), projection.neighbours_kept(layout, layout.vectors[:, :2])
     return spark.createDataFrame([(len(layout.ids), kept > plane)], "sample_rows long, more_than_components boolean")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN octet_length(encode(coalesce(text, ''))) END::bigint AS bytes, CASE WHEN doc_id % 50 <> 0 THEN md5(coalesce(text, '')) END AS digest, CASE WHEN doc_id % 50 = 0 THEN 'missing' END AS error FROM documents")
+def fetch_objects(spark, sf_dir):
+    """Texts written as objects, but for every fiftieth, and fetched again: a row for each, also for what is missing."""
+    folder = _scratch(spark)
+    docs = view(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit(f"{folder}/objects/"), F.col("doc_id") % 100, F.lit("/"), F.col("doc_id")).alias("path"))
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fetch.FileStore().put(path, text.encode())
+            yield batch.select(["path"])
+
+    docs.where("doc_id % 50 <> 0").select("path", "text").mapInArrow(write, "path string").write.parquet(f"{folder}/written")
+    got = fetch.latest(fetch.fetch_into(docs, fetch.FileStore(), f"{folder}/fetched"))
+    return got.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "bytes", F.md5("content").alias("digest"), "error")
