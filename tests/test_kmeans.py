@@ -84,3 +84,39 @@ def test_weights_count(spark):
     points = np.array([[0.0], [1.0], [10.0], [11.0]])
     got = kmeans.weighted_centers(points, np.array([3.0, 1.0, 1.0, 3.0]), 2, np.random.default_rng(0))
     assert sorted(got.ravel().tolist()) == [0.25, 10.75]
+
+
+def test_components_of_each_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 6)) * [5, 4, 3, 1, 1, 1] @ np.linalg.qr(rng.standard_normal((6, 6)))[0]
+    c = np.concatenate([np.zeros(180), np.ones(118), [2, 2]]).astype(int)
+    rows = spark.createDataFrame([(i, int(g), v.tolist()) for i, (g, v) in enumerate(zip(c, x))] + [(900, None, x[0].tolist()), (901, 1, None)], "unique_id long, cluster int, vector array<double>").repartition(4)
+    for size in (100_000, 50):  # several tasks a cluster
+        monkeypatch.setattr(kmeans, "GROUP_ROWS", size)
+        model = kmeans.cluster_components(rows, 3)
+        assert sorted(model) == [0, 1, 2] and model[2][1].shape == (6, 2)
+        for g in (0, 1):
+            own = x[c == g]
+            _, _, axes = np.linalg.svd(own - own.mean(0), full_matrices=False)
+            assert np.allclose(model[g][0], own.mean(0)) and np.allclose(np.abs(np.sum(model[g][1] * axes[:3].T, axis=0)), 1)
+    got = {r["unique_id"]: r["projected"] for r in kmeans.project_clusters(rows, model).collect()}
+    assert got[900] is None and got[901] is None
+    for i in range(300):
+        assert np.allclose(got[i], (x[i] - model[c[i]][0]) @ model[c[i]][1])
+
+
+def test_sub_clusters_on_components(spark):
+    rng = np.random.default_rng(9)
+    noise, rows, want = rng.standard_normal((400, 12)) * 0.1, [], {}
+    for i in range(400):
+        g, s = i % 2, (i // 2) % 2
+        v = noise[i].copy()
+        v[g] += 5 * s  # each cluster splits along an axis of its own
+        rows.append((i, g, v.tolist()))
+        want[i] = (g, s)
+    rows.append((999, 7, [0.0] * 12))
+    got = {r["unique_id"]: (r["cluster"], r["sub_cluster"]) for r in kmeans.sub_clusters(spark.createDataFrame(rows, "unique_id long, cluster int, vector array<double>"), 2, components=2).collect()}
+    assert len(got) == 401 and got[999] == (7, 0)
+    for g in (0, 1):
+        pairs = {(want[i][1], got[i][1]) for i in range(400) if want[i][0] == g}
+        assert len(pairs) == 2 and len({p[0] for p in pairs}) == 2

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +93,6 @@ def cluster_sums(rows: DataFrame, centers: Centers, vector: str = "vector") -> t
     k, d = centers.shape
 
     def run(batches):
-        import pyarrow as pa
-
         n, sums, cost = np.zeros(k), np.zeros((k, d)), 0.0
         for batch in batches:
             if not batch.num_rows:
@@ -265,9 +266,70 @@ def project(rows: DataFrame, mean: np.ndarray, axes: np.ndarray, vector: str = "
     return rows.withColumn(name, pandas_udf(run, "array<double>")(F.col(vector)))
 
 
-def sub_clusters(rows: DataFrame, k: int = 5, rounds: int = 10, least: int | None = None, id_col: str = "unique_id", vector: str = "vector") -> DataFrame:
+GROUP_ROWS = 100_000  # rows of a cluster that one task sums
+
+
+def cluster_components(rows: DataFrame, components: int, cluster: str = "cluster", vector: str = "vector") -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each cluster the mean and its first principal axes (d x components, fewer where it has fewer rows); a mean and axes a cluster reach the driver.
+
+    The rows of a cluster are dealt to as many tasks as they need, each of which sums their products once; the sums of a cluster, d x d, then meet.
+    """
+    held = rows.select(F.col(cluster).cast("int").alias("c"), F.col(vector).alias("v")).where("c is not null and v is not null")
+    parts = held.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
+    dealt = held.join(parts, "c").select("c", F.floor(F.rand(7) * F.col("parts")).cast("int").alias("p"), "v")
+
+    def sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, m = 0, 0.0, 0.0
+        for batch in batches:
+            x = _matrix(batch.column(2))
+            n, s, m = n + len(x), s + x.sum(axis=0), m + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["c", "n", "s", "m"])
+
+    def axes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, m = 0, 0.0, 0.0
+        for batch in batches:
+            for count, one, two in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                n, s, m = n + count, s + np.frombuffer(one), m + np.frombuffer(two)
+        mean = s / n
+        values, vectors = np.linalg.eigh(m.reshape(len(s), len(s)) / n - np.outer(mean, mean))
+        top = vectors[:, np.argsort(-values)][:, : min(components, n)]
+        top = top * np.where(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])] < 0, -1, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(top).tobytes()], pa.binary())], names=["c", "mean", "axes"])
+
+    summed = dealt.groupBy("c", "p").applyInArrow(sums, "c int, n long, s binary, m binary")
+    found = summed.groupBy("c").applyInArrow(axes, "c int, mean binary, axes binary").collect()  # a model a cluster
+    return {r["c"]: (mean, np.frombuffer(r["axes"]).reshape(len(mean), -1)) for r in found for mean in [np.frombuffer(r["mean"])]}
+
+
+def project_clusters(rows: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]], cluster: str = "cluster", vector: str = "vector", name: str = "projected") -> DataFrame:
+    """rows with the vector on the axes of its cluster; null where either is missing."""
+    from pyspark.sql.functions import pandas_udf
+
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # a mean and axes a cluster
+
+    def run(c, v):
+        import pandas as pd
+
+        out: list = [None] * len(v)
+        for one in c[v.notna()].dropna().unique():
+            if int(one) in shared.value:
+                mean, axes = shared.value[int(one)]
+                at = np.flatnonzero((c == one).to_numpy() & v.notna().to_numpy())
+                for i, x in zip(at, (np.stack(v.iloc[at].to_numpy()).astype(np.float64) - mean) @ axes):
+                    out[i] = x.tolist()
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn(name, pandas_udf(run, "array<double>")(F.col(cluster).cast("int"), F.col(vector)))
+
+
+def sub_clusters(rows: DataFrame, k: int = 5, rounds: int = 10, least: int | None = None, id_col: str = "unique_id", vector: str = "vector", components: int | None = None) -> DataFrame:
     """id, cluster and sub_cluster: k-means inside each cluster, level by level over all clusters at once, so that a cluster of any size is
-    never in one task; clusters of fewer than `least` (default k) rows get 0."""
+    never in one task; clusters of fewer than `least` (default k) rows get 0. components: wider vectors are first projected on so many
+    principal axes of their own cluster."""
+    if components is not None:
+        width = rows.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+        if width is not None and width[0] > components:
+            rows = project_clusters(rows, cluster_components(rows, components, vector=vector), vector=vector, name=vector)
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
     part = rows.select(id_col, "cluster", F.col(vector).alias("v")).join(F.broadcast(sizes), "cluster")
     split = part.where(F.col("_n") >= (least or k))
