@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import documents, ivf, kselect, paired, projection, sampling, tissue
-from ..sources import fetch
+from ..sources import cache, clustered, fetch
 from ..sources.keyed import KeyedTable
-from ..streaming import micro, state
+from ..streaming import micro, monitor, state
 from .fixtures import view
 from .queries import COS, ORACLE_SQL, PD, _scratch, label_centers, labelled, query
 
@@ -225,3 +225,38 @@ def fetch_objects(spark, sf_dir):
     docs.where("doc_id % 50 <> 0").select("path", "text").mapInArrow(write, "path string").write.parquet(f"{folder}/written")
     got = fetch.latest(fetch.fetch_into(docs, fetch.FileStore(), f"{folder}/fetched"))
     return got.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "bytes", F.md5("content").alias("digest"), "error")
+
+
+@query("SELECT vec_id, tissue_type, short_box_name FROM tiles WHERE tissue_type = 'skin' AND vec_id BETWEEN 100 AND 400", "tiles")
+def clustered_lookup(spark, sf_dir):
+    """Tiles laid out by class and number at once, and looked up by both."""
+    path = f"{_scratch(spark)}/tiles"
+    clustered.write_clustered(view(spark, sf_dir, "tiles").select("vec_id", "unique_id", "tissue_type", "short_box_name"), path, ["tissue_type", "vec_id"], ["unique_id"])
+    return spark.read.parquet(path).where("tissue_type = 'skin' and vec_id between 100 and 400").select("vec_id", "tissue_type", "short_box_name")
+
+
+@query("SELECT tissue_type, modality, count(*) AS count FROM tiles GROUP BY 1, 2", "tiles")
+def cached_counts(spark, sf_dir):
+    """Counts that the first call keeps and the second reads."""
+    kept = cache.ResultCache(spark, _scratch(spark))
+    for _ in range(2):
+        got = kept.get("counts", view(spark, sf_dir, "tiles").groupBy("tissue_type", "modality").agg(F.count(F.lit(1)).alias("count")))
+    return got
+
+
+@query("WITH b AS (SELECT doc_id % 8 AS batch, count(*) AS rows FROM documents GROUP BY 1) SELECT batch, rows, round(avg(rows) OVER (ORDER BY batch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling_rows FROM b")
+def batch_rolling_mean(spark, sf_dir):
+    """What a stream over the documents in eight files reports of its batches, and the mean of the last five."""
+    folder, docs = _scratch(spark), view(spark, sf_dir, "documents").select("doc_id")
+    for i in range(8):
+        docs.where(F.col("doc_id") % 8 == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    log = monitor.ProgressLog(spark, f"{folder}/log")
+    spark.streams.addListener(log)
+    try:
+        run = micro.run_batches(micro.read_stream(spark, f"{folder}/in/*", "doc_id long", 1), lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/{n}"), f"{folder}/state")
+        run.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    rows = monitor.read_progress(spark, f"{folder}/log").where((F.col("event") == "batch") & (F.col("run_id") == str(run.runId)))
+    return monitor.rolling(rows.where("rows > 0"), ["rows"]).select("batch", "rows", "rolling_rows")
