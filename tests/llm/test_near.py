@@ -385,3 +385,15 @@ def test_line_groups_against_all_pairs(spark):
     got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert 3 <= len(set(root)) and len(near) > 2000
     assert sum(got[d] == int(root[d] != d) for d in got) >= 0.99 * len(got)
+
+
+def test_vectors_of_doubles(spark):
+    """Compared as doubles, of any size, and rows without an id."""
+    a = np.array([1.0, 0.0])
+    at = lambda c, scale=1.0: (scale * np.array([c, np.sqrt(1 - c * c)])).tolist()
+    just, under = 0.98 + 1e-12, 0.98 - 1e-9  # equal as floats
+    rows = [(1, a.tolist(), 1), (2, at(just), 1), (3, a.tolist(), 2), (4, at(under), 2), (5, (1e300 * a).tolist(), 3), (6, at(0.99, 1e300), 3), (7, (1e-300 * a).tolist(), 4), (8, at(0.99, 1e-300), 4), (None, [1.0, 5.0], 5), (None, [3.0, 3.0], 6), (9, [3.0, 3.0], 6)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None}
+    assert links == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (1, 7, True), 8: (1, 7, False), 9: (1, 9, True)}
+    assert sorted((r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None) == [(0, None, True), (1, 9, False)]

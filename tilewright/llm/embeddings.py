@@ -85,8 +85,10 @@ def fit_quantiser(sample: np.ndarray, n: int, cosine: float, recall: float, roun
     return Quantiser(mean, [], 0, 1)
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<f4").reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 1))
+def _rows(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length, in double precision; those given in it are scaled by powers of two, so that no product of theirs overflows."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if kind == "<f8" else x
 
 
 def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995, max_train_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -95,9 +97,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
     Vectors are linked if their labels are equal and not null and their cosine is at least `cosine`. Null vectors, zero vectors and those with
     null or non-finite components, and vectors with a null label, link with nothing; so do vectors of different lengths. Equal vectors of a
     label count as rows each but are compared once. Repeated rows are rows of their own: each counts as a link of the others. An empty table
-    gives an empty one; other columns are ignored. The sample is max_train_rows vectors, by a hash.
+    gives an empty one; other columns are ignored. Vectors of floats are held as such, all others as doubles; cosines are of doubles. A row without an
+    id is kept if none of its group has one. The sample is max_train_rows vectors, by a hash.
     """
-    flat = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).alias("label"))
+    kind, held = ("<f4", "array<float>") if dict(rows.dtypes)[vector_col] == "array<float>" else ("<f8", "array<double>")
+    flat = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(held).alias("v"), F.col(label_col).alias("label"))
     good = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     flat = flat.withColumn("v", F.when(good, F.col("v")))
     classes = flat.where("v is not null").groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"))
@@ -110,7 +114,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
         return alone
     models = {}
     for d in sorted(sizes):
-        x = np.array([v for v in picked.column("v").to_pylist() if len(v) == d], np.float64)
+        x = _rows([np.array(v, kind).tobytes() for v in picked.column("v").to_pylist() if len(v) == d], kind)
         models[d] = fit_quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), n, cosine, recall)
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(models)
@@ -119,14 +123,14 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
         for b in batches:
             lists, group = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
             size = np.diff(lists.offsets.to_numpy())
-            flat_v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            flat_v = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
             start = np.cumsum(size) - size
             tables = max(m.tables for m in shared.value.values())
             own = b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)[:, None] * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
             keys = mixed(own).view(np.int64)  # where a length has fewer tables: a key that no other vector has
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                x = flat_v[start[at][:, None] + np.arange(d)].astype(np.float64)
+                x = _rows([flat_v[s : s + d].tobytes() for s in start[at]], kind)
                 if d in shared.value:
                     k = shared.value[d].keys(x / np.linalg.norm(x, axis=1, keepdims=True), group[at] ^ d)
                     keys[at, : k.shape[1]] = k
@@ -142,13 +146,13 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
         x, y = a[1].to_pylist(), b[1].to_pylist()
         for d in {len(v) for v in x} & {len(v) for v in y}:
             i, j = np.flatnonzero([len(v) == d for v in x]), np.flatnonzero([len(v) == d for v in y])
-            p, q = (np.frombuffer(b"".join(s[k] for k in at), "<f4").reshape(len(at), -1).astype(np.float64) for s, at in ((x, i), (y, j)))
+            p, q = (_rows([s[k] for k in at], kind) for s, at in ((x, i), (y, j)))
             ok[np.ix_(i, j)] &= p @ q.T >= cosine * np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
         return ok
 
     def pairs(a: list, b: list) -> np.ndarray:
         same = a[0].to_numpy() == b[0].to_numpy()
-        close = [len(p) == len(q) and (u := np.frombuffer(p, "<f4").astype(np.float64)) @ (w := np.frombuffer(q, "<f4").astype(np.float64)) >= cosine * np.sqrt(u @ u) * np.sqrt(w @ w) for p, q in zip(a[1].to_pylist(), b[1].to_pylist())]
+        close = [len(p) == len(q) and (u := _rows([p], kind)[0]) @ (w := _rows([q], kind)[0]) >= cosine * np.sqrt(u @ u) * np.sqrt(w @ w) for p, q in zip(a[1].to_pylist(), b[1].to_pylist())]
         return same & np.array(close, bool)
 
     counts, edges = link(payload, pairs, blocks, ["grp", "vec"])
@@ -158,4 +162,4 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, recall: float = 0.9995,
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component_id")
     linked = flat.join(named, ["label", "v"], "left")
-    return linked.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
