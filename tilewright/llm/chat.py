@@ -10,7 +10,6 @@ Rendering all prefixes costs the square of a single conversation's turns; two re
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -53,7 +52,15 @@ class Rendered:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """How many characters two strings begin with alike, by comparing halves."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def render_spans(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Rendered:
