@@ -81,3 +81,56 @@ def test_each_rule_holds_for_the_whole_value(spark):
     rows = [(None, with_key(GOOD))] + [(n, with_key(GOOD | {n: GOOD[n] + "\n"})) for n in GOOD] + [("slide_key", GOOD | {"slide_key": with_key(GOOD)["slide_key"] + "\n"})]
     docs = spark.createDataFrame([(why, *doc.values()) for why, doc in rows], ", ".join(f"{n} string" for n in ("why", *GOOD, "slide_key")))
     assert [(r["why"], r["valid"]) for r in documents.validate(docs).where("not (why <=> reason)").select("why", "valid", "reason").collect()] == []
+
+
+def test_defaults_and_the_time(spark):
+    docs = spark.createDataFrame([("a", None), ("b", "m2")], "unique_id string, model string")
+    got = documents.with_defaults(docs, {"model": "m1", "modality": "stained", "created_at": documents.now_iso()})
+    assert [(r["model"], r["modality"]) for r in got.orderBy("unique_id").collect()] == [("m1", "stained"), ("m2", "stained")]
+    assert got.where(documents.is_iso_time(F.col("created_at"))).count() == 2
+
+
+def test_paths_of_keys_and_listed_files(spark, tmp_path):
+    from tilewright.functions import keys
+    from tilewright.sources import readers
+
+    rows = spark.createDataFrame([("skin_b1_2_2025-10-01_0-0_tile_0-0-5-5",)], "k string")
+    assert rows.select(keys.key_to_path(F.col("k"))).first()[0] == "skin/b1/2/2025-10-01/0-0/tile_0-0-5-5"
+    listing = spark.createDataFrame([("/x/a",), ("/x/b",)], "path string")
+    assert [r["p"] for r in readers.existing(spark.createDataFrame([("/x/a",), ("/x/c",)], "p string"), "p", listing).collect()] == ["/x/a"]
+
+
+def test_sources_are_cleaned_after_a_batch(spark, tmp_path):
+    from tilewright.streaming import micro
+
+    for mode in ("delete", "archive"):
+        source, archive = tmp_path / mode / "in", tmp_path / f"{mode}-archive"
+        for n in range(3):
+            spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(str(source))
+            stream = micro.read_stream(spark, str(source), "id long", 1, mode, str(archive) if mode == "archive" else None)
+            micro.run_batches(stream, lambda batch, i: batch.write.mode("append").parquet(f"{tmp_path}/{mode}/out"), str(tmp_path / mode / "state")).awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/{mode}/out").collect()) == [0, 1, 2]
+        assert len(list(source.glob("*.parquet"))) < 3  # a file goes once its batch is committed
+        assert mode == "delete" or list(archive.rglob("*.parquet"))
+
+
+def test_document_table(spark):
+    from tilewright.sources import sinks
+
+    sinks.create_documents(spark, "docs_made", buckets=4)
+    spark.sql("INSERT INTO docs_made (unique_id, cluster, vector) VALUES ('a', '1', array(1.0))")
+    sinks.create_documents(spark, "docs_made")
+    assert spark.table("docs_made").count() == 1
+    sinks.create_documents(spark, "docs_made", anew=True)
+    assert spark.table("docs_made").count() == 0
+    spark.sql("DROP TABLE docs_made")
+
+
+def test_matches_over_files(spark, tmp_path):
+    from tilewright.sources import readers
+
+    for name, ids in (("a", [1, 2, 3]), ("b", [3, None]), ("c", [9])):
+        spark.createDataFrame([(i,) for i in ids], "k long").coalesce(1).write.parquet(str(tmp_path / name))
+    found, report = readers.match_files(spark, [str(tmp_path / n) for n in "abc"], spark.createDataFrame([(1,), (3,), (3,), (None,)], "k long"), "k")
+    assert sorted(r["k"] for r in found.collect()) == [1, 3, 3]
+    assert {r["file"].split("/")[-2]: (r["rows"], r["matched"], r["missing"]) for r in report.collect()} == {"a": (3, 2, 1), "b": (2, 1, 1), "c": (1, 0, 1)}

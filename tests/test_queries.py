@@ -7,7 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-import tilewright.plans.more  # noqa: F401 - registers its queries
+import tilewright.plans.more
+import tilewright.plans.reports  # noqa: F401 - both register their queries
 from tilewright.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -18,8 +18,13 @@ def shares(counts: DataFrame, by: str, digits: int = 9) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy(by)), digits))
 
 
-def pivot_counts(counts: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    return counts.groupBy(row).pivot(column, values).agg(F.sum("count")).na.fill(0)
+def pivot_counts(counts: DataFrame, row: str, column: str, values: list, other: str | None = None) -> DataFrame:
+    """A row for each value of row, with a column for each of `values`, and one named `other` for what has none of its own."""
+    if other is None:
+        return counts.groupBy(row).pivot(column, values).agg(F.sum("count")).na.fill(0)
+    named = F.col(column).isin(values)
+    key = F.when(named, F.col(column).cast("string")).otherwise(F.lit(other))
+    return counts.select(row, key.alias(column), "count").groupBy(row).pivot(column, [*map(str, values), other]).agg(F.sum("count")).na.fill(0)
 
 
 def size_summary(rows: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -80,6 +80,11 @@ def is_iso_time(text: Column) -> Column:
     return F.coalesce(text.rlike(ISO_TIME) & (year != "0000") & there, F.lit(False))
 
 
+def now_iso() -> Column:
+    """The time of the query in ISO 8601, as created_at holds it."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def is_uuid(text: Column) -> Column:
     """Whether a string holds the 32 digits of a UUID, with or without hyphens, braces and the prefixes of a name; false for null."""
     digits = F.replace(F.btrim(F.replace(F.replace(text, F.lit("urn:")), F.lit("uuid:")), F.lit("{}")), F.lit("-"))
@@ -115,6 +120,7 @@ def validate(docs: DataFrame, needs_model: bool = False) -> DataFrame:
 
 
 def with_defaults(docs: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """docs with a value (or an expression, such as now_iso()) where they lack one, or the column."""
     for name, value in defaults.items():
         docs = docs.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in docs.columns else F.lit(value))
     return docs

@@ -150,6 +150,26 @@ def sweep_conditions(rows: DataFrame, ks: list[int], id_col: str, least_tissue:
     return out
 
 
+def condition_clusters(rows: DataFrame, ks: list[int], id_col: str, least_tissue: float = 20.0, components: int | None = None) -> DataFrame:
+    """The clusters behind sweep_conditions(), as grids show them: id, condition, k, label (of the model) and cluster (relabelled by tissue, unknown
+    as 100)."""
+    from . import kmeans
+    from .tissue import relabel_single
+
+    tissue = F.coalesce(F.col("tissue_percentage"), F.lit(100.0))
+    out = None
+    for name, part in {"filtered": rows.where(tissue >= least_tissue), "unfiltered": rows}.items():
+        part = part.select(id_col, "tissue_percentage", "vector").where("vector is not null")
+        if components:
+            mean, axes, _ = kmeans.pca(part, components)
+            part = kmeans.project(part, mean, axes, name="vector2").drop("vector").withColumnRenamed("vector2", "vector")
+        for k in ks:
+            labelled = kmeans.assign(part, kmeans.fit(part, k))
+            one = labelled.select(id_col, F.lit(name).alias("condition"), F.lit(k).alias("k"), F.col("cluster").alias("label"), relabel_single(F.col("cluster"), F.col("tissue_percentage")).alias("cluster"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def grid(spark, preprocessing: list[str], apply_pca: list[bool], min_samples: list[int], modality: str = "stained-sr") -> DataFrame:
     """A row for each combination of options, with the name of its run."""
     one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")

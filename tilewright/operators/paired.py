@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import image_path
 from ..functions.vectors import distance
 from .quantiles import percentiles
 
@@ -114,3 +115,22 @@ def query_split(rows: DataFrame, most: int | None = None, key: str = "slide_key"
     others = rows.where(~mine)
     others = others if most is None else hashed_sample(others, key, most)
     return others.withColumn("is_query", F.lit(False)).unionByName(rows.where(mine).withColumn("is_query", F.lit(True)))
+
+
+def paired_grid(pairs: DataFrame, n: int, prefix: str, key: str = "slide_key", cluster: str = "cluster") -> DataFrame:
+    """The cells of each cluster's grid: n pairs by a hash of their key, numbered from 1, with the paths of the stained and the virtual image."""
+    from .sampling import draw_order, per_group_sample
+
+    some = per_group_sample(pairs.where(F.col(cluster).isNotNull()), cluster, key, n)
+    cell = F.row_number().over(Window.partitionBy(cluster).orderBy(draw_order(key), F.col(key)))
+    return some.select(cluster, cell.alias("cell"), key, image_path(prefix, "stained").alias("stained"), image_path(prefix, "virtual").alias("virtual"))
+
+
+def components_with_query(rows: DataFrame, n: int = 3, most: int | None = None, key: str = "slide_key", query: str = "__query__", vector: str = "vector") -> DataFrame:
+    """The query's row and the others (`most` at most) in one frame, on the first n principal components of them all: key, is_query, pc1 ... pcn."""
+    from . import kmeans
+
+    both = query_split(rows.where(F.col(vector).isNotNull()), most, key, query)
+    mean, axes, _ = kmeans.pca(both, n, vector=vector)
+    got = kmeans.project(both, mean, axes, vector, "_p")
+    return got.select(key, "is_query", *(F.get("_p", i).alias(f"pc{i + 1}") for i in range(axes.shape[1])))

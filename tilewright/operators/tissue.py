@@ -12,6 +12,11 @@ LOW, MID = 5.0, 20.0
 NO_TISSUE, LITTLE_TISSUE = -2, -1
 
 
+def column_or(rows: DataFrame, name: str, value: object) -> Column:
+    """A column where rows has it (nulls become value), else the value for all."""
+    return (F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value)).alias(name)
+
+
 def dedup_tissue(ext: DataFrame, modality: str | None = None) -> DataFrame:
     """norm_key and its largest tissue_percentage: the build side of all joins, a row per key, so that no join fans out."""
     rows = ext if modality is None else ext.where(F.col("modality") == modality)

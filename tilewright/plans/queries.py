@@ -237,14 +237,14 @@ def cluster_class_counts(spark, sf_dir):
 LETTERS = ("adrenalgland", "ovary", "brain", "breast", "skin", "colon", "lung", "kidney")
 
 
-@query(f"WITH {COUNTS} SELECT cluster, " + ", ".join(f"cast(coalesce(sum(count) FILTER (tissue_type = '{t}'), 0) as bigint) AS {t}" for t in LETTERS) + " FROM c GROUP BY cluster", "preds", "ext")
+@query(f"WITH {COUNTS} SELECT cluster, " + ", ".join(f"cast(coalesce(sum(count) FILTER (tissue_type = '{t}'), 0) as bigint) AS {t}" for t in LETTERS) + f", cast(coalesce(sum(count) FILTER (coalesce(tissue_type, '') NOT IN {LETTERS}), 0) as bigint) AS other FROM c GROUP BY cluster", "preds", "ext")
 def pivot_cluster_class(spark, sf_dir):
-    return analysis.pivot_counts(_counts(spark, sf_dir), "cluster", "tissue_type", list(LETTERS))
+    return analysis.pivot_counts(_counts(spark, sf_dir), "cluster", "tissue_type", list(LETTERS), "other")
 
 
-@query(f"WITH {COUNTS} SELECT tissue_type, " + ", ".join(f'cast(coalesce(sum(count) FILTER (cluster = {k}), 0) as bigint) AS "{k}"' for k in range(10)) + " FROM c GROUP BY tissue_type", "preds", "ext")
+@query(f"WITH {COUNTS} SELECT tissue_type, " + ", ".join(f'cast(coalesce(sum(count) FILTER (cluster = {k}), 0) as bigint) AS "{k}"' for k in range(10)) + ", cast(coalesce(sum(count) FILTER (coalesce(cluster, -1) NOT BETWEEN 0 AND 9), 0) as bigint) AS other FROM c GROUP BY tissue_type", "preds", "ext")
 def pivot_class_cluster(spark, sf_dir):
-    return analysis.pivot_counts(_counts(spark, sf_dir), "tissue_type", "cluster", list(range(10)))
+    return analysis.pivot_counts(_counts(spark, sf_dir), "tissue_type", "cluster", list(range(10)), "other")
 
 
 @query(f"WITH {COUNTS} SELECT *, round(count / sum(count) OVER (PARTITION BY cluster), 9) AS share FROM c", "preds", "ext")

@@ -87,3 +87,12 @@ def path_list(spark: SparkSession, manifest: str, prefix: str = "", suffix: str
 def existing(df: DataFrame, path_col: str, listing: DataFrame) -> DataFrame:
     """Rows whose file is in a listing (a frame with path)."""
     return df.join(listing.select(F.col("path").alias(path_col)), path_col, "left_semi")
+
+
+def match_files(spark: SparkSession, paths: list[str] | str, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of many Parquet files whose key is known, with file; and a row a file: rows, matched and missing (rows without a known key)."""
+    rows = spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).withColumn("file", F.col("_metadata.file_path"))
+    there = known.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    marked = rows.join(there, F.col(key) == F.col("_key"), "left")
+    report = marked.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count("_key").alias("matched"), F.count_if(F.col("_key").isNull()).alias("missing"))
+    return marked.where("_key is not null").drop("_key"), report

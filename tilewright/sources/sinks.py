@@ -26,6 +26,17 @@ def replace_table(df: DataFrame, name: str, bucket_by: str | None = None, bucket
     (writer.bucketBy(buckets, bucket_by).sortBy(bucket_by) if bucket_by else writer).saveAsTable(name)
 
 
+#: The fields of the document table.
+DOCUMENTS = "unique_id string, block_id string, box_id string, created_at string, dataset string, dataset_version string, dimension int, filename string, id string, modality string, model string, preprocessing string, scan_date string, slice_id string, slide_key string, tile_type string, tissue_type string, cluster string, vector array<float>"
+
+
+def create_documents(spark: SparkSession, name: str, anew: bool = False, buckets: int = 64) -> None:
+    """The document table, bucketed by its key; anew: without what it held."""
+    if anew:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({DOCUMENTS}) USING parquet CLUSTERED BY (unique_id) INTO {buckets} BUCKETS")
+
+
 def create_predictions(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PREDICTIONS}) USING parquet")
 
