@@ -7,8 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+import tilewright.plans.files
 import tilewright.plans.more
-import tilewright.plans.reports  # noqa: F401 - both register their queries
+import tilewright.plans.reports  # noqa: F401 - they register their queries
 from tilewright.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
