@@ -16,13 +16,15 @@ Centers = np.ndarray
 
 
 def fit(rows: DataFrame, k: int, seed: int = 42, rounds: int = 20, vector: str = "vector", tolerance: float = 1e-4) -> Centers:
-    """Centres by full passes from seeds(), until no centre moves further than `tolerance` or after `rounds` passes; fewer than k where rows
-    differ less."""
-    centers = seeds(rows, k, seed, vector=vector)
+    """Centres by full passes from seeds(), until a pass takes less than the share `tolerance` off the sum of squared distances, or after `rounds`
+    passes; fewer than k where rows differ less."""
+    centers, before = seeds(rows, k, seed, vector=vector), np.inf
     for _ in range(rounds):
-        before, centers = centers, full_passes(rows, centers, 1, vector)
-        if ((centers - before) ** 2).sum(axis=1).max() <= tolerance**2:
+        n, sums, cost = cluster_sums(rows, centers, vector)
+        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        if before - cost <= tolerance * cost:
             break
+        before = cost
     return centers
 
 

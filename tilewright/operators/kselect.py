@@ -163,8 +163,13 @@ def condition_clusters(rows: DataFrame, ks: list[int], id_col: str, least_tissue
         if components:
             mean, axes, _ = kmeans.pca(part, components)
             part = kmeans.project(part, mean, axes, name="vector2").drop("vector").withColumnRenamed("vector2", "vector")
-        for k in ks:
-            labelled = kmeans.assign(part, kmeans.fit(part, k))
+        held = part.select("vector").persist()  # for the passes of training
+        try:
+            models = [(k, kmeans.fit(held, k)) for k in ks]
+        finally:
+            held.unpersist()
+        for k, centers in models:
+            labelled = kmeans.assign(part, centers)
             one = labelled.select(id_col, F.lit(name).alias("condition"), F.lit(k).alias("k"), F.col("cluster").alias("label"), relabel_single(F.col("cluster"), F.col("tissue_percentage")).alias("cluster"))
             out = one if out is None else out.unionByName(one)
     return out

@@ -2,7 +2,7 @@
 
 A commit is one file that names the folder of each bucket. Changed buckets are written to new folders first; then the commit's file is moved to the next
 version's name, which fails where another writer was first. So a reader sees the table before a commit or after it, and what a writer that died has left
-is never read.
+is never read. The file system's rename must be atomic and refuse a name that is taken (HDFS and local ones do; plain object stores don't).
 """
 
 from __future__ import annotations
