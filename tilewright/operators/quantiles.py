@@ -20,13 +20,16 @@ def percentiles(rows: DataFrame, group: list[str], value: str, shares: list[floa
     Nulls are no values; a group without values isn't returned (no group columns: one row, if there is a value). While a group has more than `most`
     values, a sketch of each bracket cuts it into CELLS parts, and those around the rank are kept: counting them, exactly, shows where the bracket begins. A
     bracket that misses its rank is not taken. So what one task orders is bounded by `most`, but for what a few last passes leave, and equal values count
-    as one there.
+    as one there. Groups that are all smaller than that are ordered as they are.
     """
     held = rows.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col(value).cast("double").alias("_v")).where("_v is not null")
     keys = [f"_g{i}" for i in range(len(group))]
     sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    brackets = brackets_of(held, sizes, keys, shares, passes_for(largest, most))
+    passes = passes_for(sizes.agg(F.max("_n")).first()[0] or 0, most)
+    if not passes:  # no group has more values than a task may order
+        whole = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*map(F.lit, map(float, shares)))).alias("q")).where("n > 0")
+        return whole.select(*(F.col(k).alias(c) for k, c in zip(keys, group)), "n", "q")
+    brackets = brackets_of(held, sizes, keys, shares, passes)
     inside = _inside(held, brackets, keys).groupBy(*keys, "_p", "_below", "_at", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
     up_to = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v")) + F.col("_below")
     lower, upper = F.floor("_at"), F.ceil("_at")
