@@ -113,28 +113,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_00
     y = t.column("y").to_numpy().astype(np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    words, counts = t.column("words").combine_chunks(), t.column("counts").combine_chunks()
-    rows = np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
+    words, counts = t.column("words").combine_chunks(), t.column("counts").combine_chunks().flatten().to_numpy()
+    del t
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(words.offsets.to_numpy()))
     coded = words.flatten().dictionary_encode()
-    n_words = np.bincount(rows, counts.flatten().to_numpy(), len(y))
-    word_at, counts, vocabulary = coded.indices.to_numpy(), counts.flatten().to_numpy(), coded.dictionary
+    del words
+    n_words = np.bincount(rows, counts, len(y))
+    word_at, vocabulary = coded.indices.to_numpy(), coded.dictionary
+    pa.default_memory_pool().release_unused()
+    starts = np.searchsorted(rows, np.arange(0, len(y) + 500, 500))  # of 500 texts each, so that little is held at a time
     length = pc.utf8_length(vocabulary).to_numpy()
     kept, parts, base, total = [], [], 0, np.zeros(len(y))
     for k in (None, *PREFIXES):
         kinds = vocabulary.dictionary_encode() if k is None else pc.utf8_slice_codeunits(vocabulary, 0, k).dictionary_encode()
         use = length[word_at] > (k or 0)
         size = len(kinds.dictionary)
-        pair, at = np.unique(rows[use] * size + kinds.indices.to_numpy()[word_at[use]], return_inverse=True)
-        n_at = np.bincount(at, counts[use], len(pair)).astype(np.float32)
-        del at
-        in_text, kind = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        code, found = kinds.indices.to_numpy(), []
+        for a, b in zip(starts[:-1], starts[1:]):
+            own = np.flatnonzero(use[a:b]) + a
+            pair, at = np.unique(rows[own].astype(np.int64) * size + code[word_at[own]], return_inverse=True)
+            found.append(((pair // size).astype(np.int32), (pair % size).astype(np.int32), np.bincount(at, counts[own], len(pair)).astype(np.float32)))
+        in_text, kind, n_at = (np.concatenate(x) for x in zip(*found))
+        del found
         total += np.bincount(in_text, n_at, len(y))
         often = np.bincount(kind, minlength=size)[kind] >= least_texts  # the rest is no feature
         parts.append((in_text[often], kind[often] + np.int32(base), n_at[often]))
         kept.append((base, k, kinds.dictionary))
         base += len(kinds.dictionary)
     rows, cols, counts = (np.concatenate(x) for x in zip(*parts))
-    del parts, words, coded, word_at, t
+    del parts, coded, word_at, code, use, in_text, kind, n_at, often
     bad, all_ = np.bincount(cols, y[rows], base), np.bincount(cols, minlength=base)
     n_bad, n_ok = y.sum(), len(y) - y.sum()
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((all_ - bad + 0.5) / (n_ok + 1))
