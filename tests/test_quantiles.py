@@ -71,3 +71,16 @@ def test_statistics_of_groups(spark):
     assert (d["count"], d["q50"]) == (501, pytest.approx(np.percentile(np.append(x, 1.0), 50), abs=1e-6))
     none = analysis.describe_numeric(rows.where("d is null"), "d").first()
     assert none["count"] == 0 and none["q50"] is None
+
+
+def test_distances_are_computed_before_they_are_filtered(spark):
+    rng = np.random.default_rng(9)
+    spark.createDataFrame([(i, i % 3, rng.standard_normal(4).tolist()) for i in range(60)], "id long, cluster long, v array<double>").createOrReplaceTempView("stats_vectors")
+    pairs = spark.sql("SELECT a.cluster, a.v AS p, b.v AS q FROM stats_vectors a CROSS JOIN (SELECT count(*) AS n FROM stats_vectors) c JOIN stats_vectors b ON b.id = (a.id + 1) % c.n")
+    got = paired.group_stats(paired.pair_distances(pairs, "p", "q"), "cluster", "distance")
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()  # as a join's condition it has each vector meet each other one
+    v = {r["id"]: np.array(r["v"]) for r in spark.table("stats_vectors").collect()}
+    d = np.array([np.linalg.norm(v[i] - v[(i + 1) % 60]) for i in range(60)])
+    assert {r["cluster"]: r["p90"] for r in got.collect()} == {c: pytest.approx(np.percentile(d[c::3], 90), abs=1e-6) for c in range(3)}
+    both = paired.group_stats(spark.createDataFrame([(None, 1, 2.0), (None, 1, 4.0), ("x", None, 5.0)], "a string, b int, d double"), ["a", "b"], "d")
+    assert {(r["a"], r["b"], r["median"]) for r in both.collect()} == {(None, 1, 3.0), ("x", None, 5.0)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import image_path
+from ..functions.lineage import cut
 from ..functions.vectors import distance
 from .quantiles import percentiles
 
@@ -20,17 +21,24 @@ def pair_distances(pairs: DataFrame, a: str = "vector_chem", b: str = "vector_vi
     return pairs.withColumn("distance", distance(F.col(a), F.col(b)))
 
 
-def group_stats(rows: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:
-    v = F.col(value)
-    whole = rows.groupBy(group).agg(F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_samp(v), digits).alias("std"))
-    got = _with_percentiles(whole, rows, group, value, [0.5, 0.75, 0.9, 0.99])
-    return got.select(group, "mean", *(F.round(F.get("q", i), digits).alias(n) for i, n in enumerate(("median", "p75", "p90", "p99"))), "std")
+def group_stats(rows: DataFrame, group: str | list[str], value: str, digits: int = 6) -> DataFrame:
+    """Mean, percentiles and deviation of each group's values.
 
+    Values are computed once: what follows filters them, and a filter on a distance would be moved into the join that pairs the vectors, where it
+    counts as a condition between the two sides and has the optimiser pair each vector with each other one.
+    """
+    by, v = [group] if isinstance(group, str) else group, F.col(value)
+    rows = cut(rows.select(*by, value))
+    whole = rows.groupBy(*by).agg(F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_samp(v), digits).alias("std"))
+    got = _with_percentiles(whole, rows, by, value, [0.5, 0.75, 0.9, 0.99])
+    return got.select(*by, "mean", *(F.round(F.get("q", i), digits).alias(n) for i, n in enumerate(("median", "p75", "p90", "p99"))), "std")
 
-def _with_percentiles(groups: DataFrame, rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+
+def _with_percentiles(groups: DataFrame, rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """groups with q, null where a group has no value."""
-    q = percentiles(rows, [group], value, shares).select(F.col(group).alias("_group"), "q")
-    return groups.join(q, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    own = {c: f"_group{i}" for i, c in enumerate(by)}
+    q = percentiles(rows, by, value, shares).select(*(F.col(c).alias(n) for c, n in own.items()), "q")
+    return groups.join(q, [F.col(c).eqNullSafe(F.col(n)) for c, n in own.items()], "left").drop(*own.values())
 
 
 def std_ratio_ranking(stats: DataFrame, by: list[str], cluster: str, n: int) -> DataFrame:
@@ -48,7 +56,7 @@ def std_difference(a: DataFrame, b: DataFrame, cluster: str, n: int) -> DataFram
 
 def outliers(rows: DataFrame, group: str, value: str, width: float = 1.5) -> DataFrame:
     """Per group its quartiles, its rows, and those beyond `width` times the quartile range outside of them."""
-    q = _with_percentiles(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), rows, group, value, [0.25, 0.75])
+    q = _with_percentiles(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), rows, [group], value, [0.25, 0.75])
     q = q.select(F.col(group).alias("_group"), "n", F.get("q", 0).alias("q1"), F.get("q", 1).alias("q3"))
     low, high = F.col("q1") - width * (F.col("q3") - F.col("q1")), F.col("q3") + width * (F.col("q3") - F.col("q1"))
     flagged = rows.select(group, value).join(q, F.col(group).eqNullSafe(F.col("_group")))

@@ -402,9 +402,8 @@ _BOTH = f"{PD}, b AS (SELECT 'stained' AS type, cluster AS cluster_id, distance
 
 
 def _both_stats(spark, sf_dir):
-    pd = _pd(spark, sf_dir)
-    one = lambda t, c: paired.group_stats(pd.withColumnRenamed(c, "cluster_id"), "cluster_id", "distance").withColumn("type", F.lit(t))
-    return one("stained", "cluster").unionByName(one("virtual", "cluster_virtual"))
+    both = F.inline(F.array(*(F.struct(F.lit(t).alias("type"), F.col(c).alias("cluster_id")) for t, c in (("stained", "cluster"), ("virtual", "cluster_virtual")))))
+    return paired.group_stats(_pd(spark, sf_dir).select("distance", both), ["type", "cluster_id"], "distance")
 
 
 @query(f"WITH {_BOTH} SELECT type, round(avg(mean), 5) AS avg_mean, round(avg(std), 5) AS avg_std FROM s GROUP BY 1", "pairs")
