@@ -397,3 +397,18 @@ def test_vectors_of_doubles(spark):
     links = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None}
     assert links == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (1, 7, True), 8: (1, 7, False), 9: (1, 9, True)}
     assert sorted((r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None) == [(0, None, True), (1, 9, False)]
+
+
+def test_lines_of_a_template_are_compared_with_all_others(spark):
+    """Lines of one template, most of them near by SimHash and unlike: those that go are those of brute force, with keys that batches split as well."""
+    rng = random.Random(600)
+    base, docs, spots = [f"w{i}" for i in range(20)], [], []
+    for d in range(400):
+        spots = rng.sample(range(20), 4) if d % 2 == 0 else spots
+        docs.append([f"v{rng.randint(0, 30)}" if i in spots else w for i, w in enumerate(base)])
+    root = groups(400, [(i, j) for i in range(400) for j in range(i) if sum(x != y for x, y in zip(docs[i], docs[j])) <= 4])
+    gone = {d for d in range(400) if root[d] != d}
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    for limits in (lines.LIMITS, (1024, 16, 60)):
+        got = {r["doc_id"] for r in lines.drop_repeats(rows, limits=limits).collect() if r["n_dropped"]}
+        assert len(gone - got) <= 0.01 * len(gone), (len(gone), len(gone - got))
