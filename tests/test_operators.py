@@ -250,3 +250,12 @@ def test_full_passes_and_mini_batches_against_plain_ones(spark):
     assert np.allclose(kmeans.full_passes(rows, start, 3), want)
     centers, counts = kmeans.mini_batch(start, np.array([2.0, 0.0, 1.0, 5.0]), np.array([[3.0, 0, 0], [4.0, 2, 0], [0, 0, 0], [1.0, 1, 1]]), np.array([3.0, 2.0, 0.0, 1.0]))
     assert np.allclose(centers[0], (2 * start[0] + [3, 0, 0]) / 5) and np.allclose(centers[1], [2, 1, 0]) and np.allclose(centers[2], start[2]) and counts.tolist() == [5, 2, 1, 6]
+
+
+def test_two_rows_meet_in_one_pair_of_blocks(spark):
+    met, sent = {}, {}
+    for r in kselect.block_pairs(spark.range(60).withColumnRenamed("id", "i"), "i", 5).collect():
+        met.setdefault((r["p"], r["q"]), {0: [], 1: []})[r["s"]].append(r["i"])
+        sent[r["i"]] = sent.get(r["i"], 0) + 1
+    pairs = [tuple(sorted((a, b))) for (p, q), m in met.items() for a in m[0] for b in (m[1] if p < q else m[0]) if p < q or a < b]
+    assert len(pairs) == len(set(pairs)) == 60 * 59 // 2 and set(sent.values()) == {5}

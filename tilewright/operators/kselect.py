@@ -36,33 +36,53 @@ def silhouette(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: s
     return ab.agg(F.round(F.avg(one), digits).alias("silhouette"))
 
 
-def silhouette_of_all(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "vector", digits: int = 6, block_rows: int = 4_096) -> DataFrame:
+def block_pairs(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """rows dealt to the pairs p <= q of n blocks (by a hash of key), with s, the side they are on: two rows meet in one pair of blocks, each row is in n."""
+    spread = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return spread.select("*", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), (F.col("_b") > F.col("_o")).cast("int").alias("s")).drop("_b", "_o")
+
+
+def silhouette_of_all(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "vector", digits: int = 6, block_rows: int = 32_768) -> DataFrame:
     """Mean silhouette over all rows: all pairs are compared, a block of rows with another in one task, which gives the sums of distances by cluster.
 
-    Rows whose cluster has no other row, or with no second cluster, count as 0. ids are unique; each row is sent to as many tasks as there are blocks.
+    Rows whose cluster has no other row, or with no second cluster, count as 0. ids are unique; each row is sent to as many tasks as there are blocks,
+    its vector as it is stored.
     """
-    n = max(1, -(-rows.count() // block_rows))
-    block = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    own = rows.select(F.col(id_col).cast("long").alias("i"), F.col(cluster).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"))
-    side = lambda which, mine, other: own.select("i", "c", "v", F.lit(which).alias("s"), F.col("b").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other))
-    dealt = side(0, "p", "q").unionByName(side(1, "q", "p"))
+    count = rows.count()
+    n = max(1, -(-count // block_rows), min(8, count // 1024))
+    own = rows.select(F.col(id_col).cast("long").alias("i"), F.col(cluster).cast("long").alias("c"), F.col(vector).alias("v"))
+    dealt = block_pairs(own, "i", n)
+
+    piece = 2048  # rows whose vectors stay in a cache
 
     def sums(pdf):
         import pandas as pd
 
-        x, y = pdf[pdf["s"] == 0], pdf[pdf["s"] == 1].sort_values("c", kind="stable")
+        x, y = pdf[pdf["s"] == 0], pdf[pdf["s"] == 1]
+        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        y = x if same else y
         if not len(x) or not len(y):
             return pd.DataFrame({"i": [], "c": [], "c2": [], "d": [], "n": []})
-        kinds, first, count = np.unique(y["c"].to_numpy(), return_index=True, return_counts=True)
-        to, ids, own_ids, out = np.stack(y["v"].to_numpy()), y["i"].to_numpy(), x["i"].to_numpy(), []
-        for at, v in enumerate(x["v"]):
-            d = np.sqrt(((to - v) ** 2).sum(axis=1))
-            d[ids == own_ids[at]] = 0.0
-            out.append(np.add.reduceat(d, first))
-        left = np.zeros((len(x), len(kinds)), np.int64) + count
-        left -= (x["c"].to_numpy()[:, None] == kinds) & np.isin(own_ids, ids)[:, None]
-        rep = lambda a: np.repeat(a, len(kinds))
-        return pd.DataFrame({"i": rep(own_ids), "c": rep(x["c"].to_numpy()), "c2": np.tile(kinds, len(x)), "d": np.concatenate(out), "n": left.ravel()})
+        (kx, ix, nx), (ky, iy, ny) = (np.unique(z["c"].to_numpy(), return_inverse=True, return_counts=True) for z in (x, y))
+        of, to = (np.stack(z["v"].to_numpy()).astype(np.float64) for z in (x, y))
+        out, back = np.zeros((len(x), len(ky))), np.zeros((len(kx), len(y)))
+        for low in range(0, len(y), piece):
+            part, kinds = to[low : low + piece], iy[low : low + piece]
+            for at, v in enumerate(of):
+                d = np.sqrt(((part - v) ** 2).sum(axis=1))
+                if same and low <= at < low + piece:
+                    d[at - low] = 0.0
+                out[at] += np.bincount(kinds, d, len(ky))
+                if not same:
+                    back[ix[at], low : low + piece] += d
+
+        def told(z, kinds, d, n):
+            rep = lambda a: np.repeat(a, len(kinds))
+            left = np.zeros((len(z), len(kinds)), np.int64) + n
+            left -= same & (z["c"].to_numpy()[:, None] == kinds)
+            return pd.DataFrame({"i": rep(z["i"].to_numpy()), "c": rep(z["c"].to_numpy()), "c2": np.tile(kinds, len(z)), "d": d.ravel(), "n": left.ravel()})
+
+        return told(x, ky, out, ny) if same else pd.concat([told(x, ky, out, ny), told(y, kx, back.T, nx)])
 
     to = dealt.groupBy("p", "q").applyInPandas(sums, "i long, c long, c2 long, d double, n long").groupBy("i", "c", "c2").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
     ab = to.groupBy("i", "c").agg(F.min(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
