@@ -412,3 +412,17 @@ def test_lines_of_a_template_are_compared_with_all_others(spark):
     for limits in (lines.LIMITS, (1024, 16, 60)):
         got = {r["doc_id"] for r in lines.drop_repeats(rows, limits=limits).collect() if r["n_dropped"]}
         assert len(gone - got) <= 0.01 * len(gone), (len(gone), len(gone - got))
+
+
+def test_unlike_lines_of_a_common_key_are_no_dense_key():
+    """Of 3,000 lines under one key, few of which are near others, all near pairs are found at once; nothing is left to compare again."""
+    rng = np.random.default_rng(9)
+    e = np.zeros(3000, lines.ENTRY)
+    e["id"], e["n"], e["sim"] = np.arange(3000), rng.integers(4, 200, 3000), rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    e["sim"][1500:1600], e["n"][1500:1600] = e["sim"][:100] ^ np.uint64(5), e["n"][:100]
+    prune = lines.Prune(4, 5)
+    x, y = np.triu_indices(3000, 1)
+    ok = prune.pairs(e, x, y)
+    got = [b for b in prune.meet(e.tobytes()) if b.num_rows]
+    assert {k for b in got for k in b.column(2).to_pylist()} == {lines.PAIR} and len(ok) >= 100
+    assert sorted((p, q) for b in got for p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) == sorted(zip(x[ok].tolist(), y[ok].tolist()))
