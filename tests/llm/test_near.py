@@ -414,6 +414,19 @@ def test_lines_of_a_template_are_compared_with_all_others(spark):
         assert len(gone - got) <= 0.01 * len(gone), (len(gone), len(gone - got))
 
 
+def test_components_need_no_round_for_few_edges(spark):
+    """A long chain: joined up by one task, or by rounds while more than `few` edges are left; two jobs suffice where there are few."""
+    edges = [(i, i + 1) for i in range(0, 3000) if i % 500] + [(7, 7), (9001, 9000)]
+    want = groups(9002, edges)
+    rows, tracker = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext.statusTracker()
+    for few in (1 << 19, 700, 0):
+        spark.sparkContext.setJobGroup(f"few {few}", "")
+        got = {r["node"]: r["component"] for r in graph.components(rows, few=few).collect()}
+        assert got == {i: want[i] for i in {x for e in edges for x in e}}
+    assert len(tracker.getJobIdsForGroup(f"few {1 << 19}")) <= 6 < len(tracker.getJobIdsForGroup("few 0"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_unlike_lines_of_a_common_key_are_no_dense_key():
     """Of 3,000 lines under one key, few of which are near others, all near pairs are found at once; nothing is left to compare again."""
     rng = np.random.default_rng(9)

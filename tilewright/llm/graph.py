@@ -12,32 +12,74 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 1 << 19) -> DataFrame:
     """node and component (the smallest node reachable) for every node of the edges (longs; direction, loops and repeats don't matter).
 
     Each round every node joins the neighbour (or itself) that comes first in a hashed order, and the edges are contracted to those; the
     random order makes chains collapse in a logarithmic number of rounds. A minimum per node is a partial aggregate, so a node with very
-    many neighbours costs no more than its rows; the renaming joins are plain equi-joins, whose hot keys Spark splits. All is kept in
-    checkpoints, nothing comes to the driver but whether edges are left.
+    many neighbours costs no more than its rows; the renaming joins are plain equi-joins, whose hot keys Spark splits. Once no more than `few`
+    edges are left (8 MB), packed, one task joins them up: a round is some ten exchanges, each of which costs the driver a thread for a minute. All is
+    kept in checkpoints, nothing comes to the driver but how many edges are left.
     """
     both = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(both(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")).distinct())
-    nodes, steps = rest.select(F.col("a").alias("node")).distinct(), []
-    rest = rest.where("a <> b")
-    while not rest.isEmpty():
+    given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    rest = cut(given.mapInArrow(thinned, "a long, b long"))
+    left, nodes, steps = rest.count(), None, []
+    while left > few:
+        if nodes is None:
+            rest = cut(both(rest).distinct())
+            nodes = rest.select(F.col("a").alias("node")).distinct()
+            rest = rest.where("a <> b")
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         step = cut(rest.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(F.col("m"), order("a"))["id"].alias("to")))
         steps.append(step)
         moved = rest.join(step.select("a", F.col("to").alias("a2")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("b2")), "b")
         rest = cut(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
+        left = rest.count() // 2
+    last = rest.mapInArrow(packed_edges, "data binary").repartition(1).mapInArrow(named, "node long, root long")
+    if nodes is None:
+        return last.select("node", F.col("root").alias("component"))
     names = nodes.select("node", F.col("node").alias("root"))
-    for n, step in enumerate(steps):
+    for n, step in enumerate([*steps, cut(last).select(F.col("node").alias("a"), F.col("root").alias("to"))]):
         names = names.join(step.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         names = cut(names) if n % 6 == 5 else names
     least = names.groupBy("root").agg(F.min("node").alias("component"))
     return names.join(least, "root").select("node", "component")
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a[i], b[i]), ascending, and the smallest one reachable from each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(i):
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while not (up := root[root]).tobytes() == root.tobytes():  # chains by halves
+            root = up
+        i, j = root[i], root[j]
+        i, j = i[i != j], j[i != j]
+    return nodes, nodes[root]
+
+
+def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join up what those of a batch do: each node with the smallest one reachable, that one with itself."""
+    for batch in batches:
+        nodes, least = joined(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["a", "b"])
+
+
+def packed_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]) for batch in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held, axis=1).tobytes()], pa.binary())], names=["data"])
+
+
+def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.frombuffer(x, np.int64).reshape(2, -1) for batch in batches for x in batch.column(0).to_pylist()]
+    if held:
+        nodes, least = joined(*np.concatenate(held, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "root"])
+
+
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest index of each of n items' group, for the linked pairs."""
     root = np.arange(n)
