@@ -439,3 +439,17 @@ def test_unlike_lines_of_a_common_key_are_no_dense_key():
     got = [b for b in prune.meet(e.tobytes()) if b.num_rows]
     assert {k for b in got for k in b.column(2).to_pylist()} == {lines.PAIR} and len(ok) >= 100
     assert sorted((p, q) for b in got for p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) == sorted(zip(x[ok].tolist(), y[ok].tolist()))
+
+
+def test_edited_passages_of_common_phrases(spark):
+    """Passages of 60 words with 6 edits; documents before and between hold 20-word parts only."""
+    rng = random.Random(23)
+    docs, want = [], set()
+    for n in range(40):
+        whole, d = words(rng, 60), 20 * n
+        parts = [whole[a : a + 20] for a in (0, 20, 40, 10, 30)]
+        copy = [f"e{rng.randint(0, 10**7)}" if i % 10 == 4 else w for i, w in enumerate(whole)]
+        docs += [(d + i, " ".join([*words(rng, 40), *p, *words(rng, 40)])) for i, p in enumerate([*parts, whole, *parts, copy])]
+        want.add((d + 11, d + 5))
+    got = {(r["doc_id"], r["other_id"]) for r in passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["matched"] >= 45}
+    assert len(want & got) >= 36, len(want & got)
