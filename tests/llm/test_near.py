@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tilewright.llm import embeddings, graph, lines, passages, shingles, tokens, toxicity
 from tilewright.llm.common import hashed_sample
@@ -453,3 +454,17 @@ def test_edited_passages_of_common_phrases(spark):
         want.add((d + 11, d + 5))
     got = {(r["doc_id"], r["other_id"]) for r in passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["matched"] >= 45}
     assert len(want & got) >= 36, len(want & got)
+
+
+def test_lines_of_dense_keys_are_a_row_each(spark, monkeypatch):
+    """500 lines under 23 dense keys each: 500 rows (before: 11,500), and what is summed up of each key is right; groups are the same if keys have many blocks."""
+    rng = np.random.default_rng(4)
+    ids, k = rng.integers(-(1 << 62), 1 << 62, 500), np.repeat(rng.integers(0, 1 << 63, 23, dtype=np.uint64), 500).reshape(23, 500)
+    asked = spark.createDataFrame([(int(x),) for x in k[1:, 0].astype(np.int64)], "k long")
+    sketched = lambda batches: ((ids, np.zeros((500, 2), np.uint64), np.full(500, 9, np.uint16), k) for b in batches if b.num_rows)
+    rows = lines._members(spark.createDataFrame([(0,), (1,)], "n int").repartition(2), asked, sketched).withColumn("component", F.col("id"))
+    assert rows.count() == 500
+    tally = rows.mapInArrow(lines.tallied, lines.TALLY).groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).join(asked, "k").collect()
+    assert {(r["n"], r["low"], r["high"]) for r in tally} == {(500, int(ids.min()), int(ids.max()))} and len(tally) == 22
+    monkeypatch.setattr(lines, "BLOCK", 50)
+    test_lines_of_a_template_are_compared_with_all_others(spark)
