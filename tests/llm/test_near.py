@@ -483,3 +483,25 @@ def test_pairs_of_small_keys_are_looked_at_in_small_pieces(spark):
     assert found == 46 and peak < 40e6, (found, peak)
     rows = lines.drop_repeats(spark.createDataFrame([(1, "one two three four"), (2, "one two three four")], "doc_id long, text string"))
     assert "strategy=merge" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_document_sends_its_own_blocks_once(spark):
+    """A document that shares a passage with 20 earlier ones, of three blocks each: 3 + 60 blocks are sent (before: 120), all passages are found."""
+    rng = random.Random(5)
+    shared = words(rng, 60)
+    texts = spark.createDataFrame([(d, " ".join([*words(rng, 60), *shared, *words(rng, 60)])) for d in range(21)], "doc_id long, text string")
+    anchors = list(range(60, 116, 8))
+    chains = spark.createDataFrame([(20, d, 0, anchors, anchors) for d in range(20)], "doc_id long, other_id long, n int, a array<int>, b array<int>")
+    found = passages._align(texts, chains, 4, 45, 0.8)
+    assert {tuple(r) for r in found.collect()} == {(20, 60, 120, d, 60, 60) for d in range(20)}
+
+    def joins(plan):
+        name, kids = plan.nodeName(), plan.children()
+        if name.startswith("AdaptiveSparkPlan"):
+            return joins(plan.executedPlan())
+        if "QueryStage" in name:
+            return joins(plan.plan())
+        own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+        return own + [n for i in range(kids.size()) for n in joins(kids.apply(i))]
+
+    assert max(joins(found._jdf.queryExecution().executedPlan())) == 63
