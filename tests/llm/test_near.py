@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tilewright.llm import embeddings, graph, lines, passages, shingles, tokens, toxicity
+from tilewright.llm import embeddings, graph, lines, packed, passages, shingles, tokens, toxicity
 from tilewright.llm.common import hashed_sample
 
 
@@ -543,3 +543,14 @@ def test_lines_that_meet_are_packed_by_blocks(spark, monkeypatch):
     near = [(a, b) for a, b in itertools.combinations(range(300), 2) if (texts[a] != texts[b]).sum() <= 4]
     links = {frozenset(map(ids.index, p)) for b in lines.compared_blocks(prune, iter(packed)) for p in zip(*b.to_pydict().values())}
     assert groups(300, links) == groups(300, near) and 0 < sum(compared) <= 23 * len(near)
+
+
+def test_a_task_gives_free_memory_back():
+    """60 MB of small pieces, freed below one that stays: the system gets them back when a task ends (before: the worker kept them)."""
+    held = [bytes(2000) for _ in range(30_000)]
+    last = bytes(2000)
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    del held
+    before = resident()
+    packed.released()
+    assert resident() < before - 30e6 and last

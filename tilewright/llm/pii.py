@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed_sample, map_texts
+from .packed import released
 
 #: The kinds in the order of the result (the first four have base patterns), and the patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -284,6 +285,8 @@ def masked_text(field: Field):
     from pyspark.sql.functions import pandas_udf
 
     def run(texts):
-        return texts.map(lambda t: t if t is None else mask(t, find_spans(t, field)[1]))
+        masked = texts.map(lambda t: t if t is None else mask(t, find_spans(t, field)[1]))
+        released()
+        return masked
 
     return pandas_udf(run, "string")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .packed import released
 from .quality import sample_labelled
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -187,6 +188,7 @@ def severity(text: Column, model: OrdinalModel | None) -> Column:
             return pd.DataFrame({"severity": np.zeros(len(texts)), "grade": np.zeros(len(texts), np.int32), "p_toxic": np.zeros(len(texts))})
         up = model.above(np.array([model.linear(t or "", known) for t in texts], float))
         each = -np.diff(np.concatenate([np.ones((len(up), 1)), up, np.zeros((len(up), 1))], axis=1), axis=1)
+        released()
         return pd.DataFrame({"severity": up.sum(axis=1), "grade": each.argmax(axis=1).astype(np.int32), "p_toxic": up[:, 0]})
 
     return pandas_udf(run, "severity double, grade int, p_toxic double")(F.coalesce(text, F.lit("")))
