@@ -1,3 +1,4 @@
+import time
 import uuid
 
 import numpy as np
@@ -174,6 +175,71 @@ def test_silhouette_of_all_takes_every_row(spark):
     assert kselect.silhouette_of_all(rows, "vec_id", block_rows=1000).first()[0] == pytest.approx(want, abs=2e-6)
 
 
+def plain_silhouettes(c, v):
+    """Each row's, from the differences of all pairs; 0 / 0 is NaN, as in SQL."""
+    d = np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in v])
+    kinds, mine, n = np.unique(c, return_inverse=True, return_counts=True)
+    order = np.argsort(mine, kind="stable")
+    to = np.add.reduceat(d[:, order], np.r_[0, np.cumsum(n)[:-1]], axis=1)
+    rows = np.arange(len(c))
+    with np.errstate(all="ignore"):
+        a, mean = to[rows, mine] / (n[mine] - 1), to / n
+        mean[rows, mine] = np.inf
+        b = mean.min(axis=1)
+        return np.where((n[mine] == 1) | (len(n) == 1), 0, (b - a) / np.maximum(a, b))
+
+
+@pytest.mark.parametrize("kind", ["far from 0", "copies", "many clusters", "one cluster", "one large"])
+def test_silhouette_of_all_is_exact_on_hard_vectors(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    v, c = rng.standard_normal((3000, 5)), rng.integers(0, 4, 3000)
+    if kind == "far from 0":  # clusters of a millionth of their distance, whose squared norms hold none of it
+        v = v * 1e-6 + np.eye(5)[c] * 3 + 1e5
+        v[:500] = v[0] + rng.standard_normal((500, 5)) * 1e-7  # in all clusters
+    elif kind == "copies":
+        v = v[rng.integers(0, 40, 3000)]
+    elif kind == "many clusters":
+        c = np.where(rng.random(3000) < 0.5, rng.integers(0, 1000, 3000), rng.integers(5000, 5004, 3000))
+    elif kind == "one cluster":
+        c[:] = 1
+    else:
+        c = np.where(np.arange(3000) < 2990, 3, np.arange(3000))
+    rows = spark.createDataFrame([(i, int(k), x.tolist()) for i, (k, x) in enumerate(zip(c, v))], "vec_id long, cluster int, vector array<double>")
+    want = plain_silhouettes(c, v).mean()
+    for block_rows in (32_768, 700):
+        assert kselect.silhouette_of_all(rows, "vec_id", digits=9, block_rows=block_rows).first()[0] == pytest.approx(want, abs=3e-9)
+
+
+def test_silhouette_of_all_on_odd_rows(spark):
+    def of(*rows):
+        return kselect.silhouette_of_all(spark.createDataFrame(list(rows), "i long, cluster int, vector array<float>"), "i").first()[0]
+
+    near, far = [(0, 1, [0.0, 0.0]), (1, 1, [0.0, 1.0])], [(2, 2, [9.0, 0.0]), (3, 2, [9.0, 1.0])]
+    four = of(*near, *far)
+    assert of(*near, *far, (4, 1, None), (5, None, [0.0, 0.5])) == pytest.approx(four * 4 / 6, abs=1e-6)  # compared with none, and 0
+    assert of(*near, *far, (None, 1, [5.0, 5.0])) == four
+    assert np.isnan(of(*[(i, i % 2, [1.0, 2.0]) for i in range(4)]))  # 0 / 0, as in SQL
+    assert np.isnan(of(*near, *far, (4, 2, [float("nan"), 0.0]))) and of(*near, *far, (4, 3, [float("inf"), 0.0])) == pytest.approx(four * 4 / 5, abs=1e-6)
+    assert of() is None and of(near[0]) is None and of(*near) == 0.0 and of(near[0], far[0]) == 0.0
+    with pytest.raises(Exception, match="different lengths"):
+        of(*near, (2, 2, [1.0]))
+
+
+def test_silhouette_of_all_takes_little_time_a_pair():
+    """A pair of blocks takes a fraction of what differences of vectors do (before: all of it)."""
+    rng = np.random.default_rng(5)
+    v, one = rng.standard_normal((4096, 64)), np.ones(4096, np.int64)
+    c = np.sort(rng.integers(0, 3, 4096))
+    x, y = (kselect.Side(c, one, one * 10_000, v + shift, np.zeros(64), tile) for shift, tile in ((0, 256), (1, 1024)))
+    began = time.thread_time()
+    kselect.meet(x, y)
+    took, began = time.thread_time() - began, time.thread_time()
+    plain = np.stack([np.sqrt(((y.v - a) ** 2).sum(axis=1)) for a in v[:512]])
+    assert took < (time.thread_time() - began) * 8 / 3
+    for kind, d in x.sums.items():
+        assert np.allclose(d[:512], plain[:, c == kind].sum(axis=1), rtol=1e-12)
+
+
 def test_null_vectors_get_no_cluster_and_no_projection(spark):
     rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, None), (2, [5.0, 5.0])], "unique_id long, vector array<double>")
     centers = np.array([[0.0, 0.0], [5.0, 5.0]])

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.vectors import distance, mean_vectors, squared_distance
 
 
@@ -38,56 +39,182 @@ def silhouette(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: s
 
 def block_pairs(rows: DataFrame, key: str, n: int) -> DataFrame:
     """rows dealt to the pairs p <= q of n blocks (by a hash of key), with s, the side they are on: two rows meet in one pair of blocks, each row is in n."""
-    spread = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return pairs_of_blocks(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n)
+
+
+def pairs_of_blocks(rows: DataFrame, n: int) -> DataFrame:
+    """The same by the block in _b."""
+    spread = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spread.select("*", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), (F.col("_b") > F.col("_o")).cast("int").alias("s")).drop("_b", "_o")
 
 
+class Side:
+    """One side of a pair of blocks: rows ordered by cluster c, with weights w, the weight m of all rows of their cluster, and vectors v.
+
+    Rows are cut into pieces (low, high, clusters, their starts) of `tile` rows at most: rows of one cluster (no starts), or small clusters that lie
+    in the piece with all their rows of all blocks. Of those a row keeps the least mean distance only, of the others the sum of distances to each.
+    """
+
+    def __init__(self, c, w, m, v, centre, tile: int):
+        self.c, self.w, self.v = c, w, v
+        self.kinds, first, self.at = np.unique(c, return_index=True, return_inverse=True)
+        self.m = m[first]
+        self.whole = np.add.reduceat(w, first) == self.m
+        self.own, self.least, self.sums = np.zeros(len(c)), np.full(len(c), np.nan), {}
+        near = v - centre
+        self.norms = np.einsum("ij,ij->i", near, near)
+        self.factor = np.column_stack([near, np.ones(len(c)), self.norms])
+        self.pieces, many = [], []
+
+        def close():
+            if many:
+                starts = np.array([low for _, low, _ in many])
+                self.pieces.append((many[0][1], many[-1][2], [kind for kind, _, _ in many], starts - starts[0]))
+                many.clear()
+
+        for kind, (low, high) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(c)])):
+            small = self.whole[kind] and high - low <= tile
+            if many and (not small or high - many[0][1] > tile):
+                close()
+            if small:
+                many.append((kind, low, high))
+            else:
+                cuts = np.linspace(low, high, -(-(high - low) // tile) + 1).astype(int).tolist()
+                self.pieces += [(x, y, [kind], None) for x, y in zip(cuts, cuts[1:])]
+        close()
+
+    def add(self, at: slice, d, to: Side, piece, itself: bool = False) -> None:
+        """The distances d of the rows `at` to those of a piece of the other side."""
+        low, high, kinds, starts = piece
+        if starts is None:
+            self.sums.setdefault(kinds[0], np.zeros(len(self.c)))[at] += d @ to.w[low:high].astype(np.float64)
+            return
+        sums = np.add.reduceat(d * to.w[low:high], starts, axis=1)
+        mean = sums / to.m[kinds]
+        if itself:
+            rows, mine = np.arange(high - low), self.at[at] - kinds[0]
+            self.own[at], mean[rows, mine] = sums[rows, mine], np.nan
+        self.least[at] = np.fmin(self.least[at], np.fmin.reduce(mean, axis=1))
+
+    def told(self, i, to: Side):
+        """Rows (i, w, c2, own, d, n, b): of clusters that other blocks hold too, and of the row's own, the sum of distances d to n rows; of all others the least mean b."""
+        import pyarrow as pa
+
+        within, none = to is self, np.zeros(len(i), bool)
+        for kind, d in self.sums.items():
+            mine = self.c == to.kinds[kind]
+            if to.whole[kind]:
+                self.own = np.where(mine, d, self.own)
+                self.least = np.where(mine, self.least, np.fmin(self.least, d / to.m[kind]))
+        parts = [(to.m[kind] - (self.c == to.kinds[kind]), np.full(len(i), to.kinds[kind]), self.c == to.kinds[kind], d, None) for kind, d in self.sums.items() if not to.whole[kind]]
+        if within:
+            parts.append((np.where(self.whole[self.at], self.m[self.at] - 1, 0), self.c, ~none, self.own, None))
+        parts.append((to.whole.sum() - (self.whole[self.at] & within), None, none, None, self.least))
+        for n, c2, own, d, b in parts:
+            rows = np.flatnonzero(n > 0)
+            columns = ((i, "int64"), (self.w, "int64"), (c2, "int64"), (own, "bool"), (d, "float64"), (n, "int64"), (b, "float64"))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.type_for_alias(t)) if x is None else pa.array(x[rows], pa.type_for_alias(t)) for x, t in columns], ["i", "w", "c2", "own", "d", "n", "b"])
+
+
+def meet(x: Side, y: Side, near: float = 1e-6) -> None:
+    """Adds the distances between x and y (or within x) to the sums of both, a tile that fits the cache at a time.
+
+    Squared distances are a product of matrices, of vectors less a centre. Those below `near` of their squared norms, where the product loses digits
+    (copies get 0), and those that aren't finite are taken from the differences.
+    """
+    held, turned, dim = np.empty(max(h - g for g, h, *_ in x.pieces) * max(h - g for g, h, *_ in y.pieces)), np.ascontiguousarray(y.factor.T), x.v.shape[1]
+    finite = x.norms.max() + y.norms.max() < 1e300
+    for at, one in enumerate(x.pieces):
+        low, high = one[:2]
+        norms = x.norms[low:high, None]
+        factor = np.column_stack([-2 * x.factor[low:high, :dim], norms, np.ones(high - low)])
+        for to, two in enumerate(y.pieces):
+            if x is y and to < at:
+                continue
+            left, right = two[:2]
+            d = held[: (high - low) * (right - left)].reshape(high - low, right - left)
+            np.matmul(factor, turned[:, left:right], out=d)
+            if not (finite and d.min() > near * (norms.max() + y.norms[left:right].max())):
+                close = ~((d > near * (norms + y.norms[left:right])) & (d < np.inf))
+                if close.sum() > d.size // 8:  # as within a narrow cluster: less the tile's own centre most keep their digits
+                    centre = x.v[low:high].mean(axis=0)
+                    a, b = x.v[low:high] - centre, y.v[left:right] - centre
+                    na, nb = np.einsum("ij,ij->i", a, a)[:, None], np.einsum("ij,ij->i", b, b)
+                    np.matmul(-2 * a, b.T, out=d)
+                    d += na
+                    d += nb
+                    close = ~((d > near * (na + nb)) & (d < np.inf))
+                rows, columns = np.nonzero(close)
+                for few in range(0, len(rows), 16_384):
+                    r, c = rows[few : few + 16_384], columns[few : few + 16_384]
+                    gap = x.v[low + r] - y.v[left + c]
+                    d[r, c] = np.einsum("ij,ij->i", gap, gap)
+            np.sqrt(d, out=d)
+            itself = x is y and at == to
+            x.add(slice(low, high), d, y, two, itself)
+            if not itself:
+                y.add(slice(left, right), d.T, x, one)
+
+
+def compared(batches):
+    """The rows of pairs of blocks (t, s, i, c, w, m, v), a pair in one partition, as rows of Side.told()."""
+    import pyarrow as pa
+
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    del batches
+    lists = table["v"].chunk(0)
+    long = np.unique(lists.value_lengths().to_numpy())
+    if len(long) != 1:
+        raise ValueError(f"vectors of different lengths: {long[:5].tolist()}")
+    vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    t, s, i, c, w, m = (table[name].to_numpy() for name in ("t", "s", "i", "c", "w", "m"))
+    order = np.lexsort((i, c, s, t))
+    with np.errstate(all="ignore"):
+        for pair in np.unique(t):
+            both = order[t[order] == pair]
+            within = table["within"][int(both[0])].as_py()
+            x, y = both[s[both] == 0], both[s[both] == 1]
+            if not len(x) or not (within or len(y)):
+                continue
+            centre = vectors[x].astype(np.float64)
+            centre = centre[np.isfinite(centre).all(axis=1)].sum(axis=0) / len(x)
+            centre = np.where(np.isfinite(centre), centre, 0.0)
+            side = lambda rows, tile: Side(c[rows], w[rows], m[rows], vectors[rows].astype(np.float64), centre, tile)
+            one = side(x, 512 if within else 256)
+            two = one if within else side(y, 1024)
+            meet(one, two)
+            yield from one.told(i[x], two)
+            if not within:
+                yield from two.told(i[y], one)
+
+
 def silhouette_of_all(rows: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "vector", digits: int = 6, block_rows: int = 32_768) -> DataFrame:
     """Mean silhouette over all rows: all pairs are compared, a block of rows with another in one task, which gives the sums of distances by cluster.
 
-    Rows whose cluster has no other row, or with no second cluster, count as 0. ids are unique; each row is sent to as many tasks as there are blocks,
+    Rows whose cluster has no other row, or with no second cluster, count as 0, as do rows without cluster or vector, which no row is compared with;
+    rows without id don't count. ids are unique, vectors of one length. Equal vectors of a cluster are one row with a weight. Blocks follow the
+    clusters, so a pair of blocks tells a few numbers a row, however many clusters there are; each row is sent to as many tasks as there are blocks,
     its vector as it is stored.
     """
+    rows = rows.where(F.col(id_col).isNotNull())
     count = rows.count()
-    n = max(1, -(-count // block_rows), min(8, count // 1024))
-    own = rows.select(F.col(id_col).cast("long").alias("i"), F.col(cluster).cast("long").alias("c"), F.col(vector).alias("v"))
-    dealt = block_pairs(own, "i", n)
-
-    piece = 2048  # rows whose vectors stay in a cache
-
-    def sums(pdf):
-        import pandas as pd
-
-        x, y = pdf[pdf["s"] == 0], pdf[pdf["s"] == 1]
-        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-        y = x if same else y
-        if not len(x) or not len(y):
-            return pd.DataFrame({"i": [], "c": [], "c2": [], "d": [], "n": []})
-        (kx, ix, nx), (ky, iy, ny) = (np.unique(z["c"].to_numpy(), return_inverse=True, return_counts=True) for z in (x, y))
-        of, to = (np.stack(z["v"].to_numpy()).astype(np.float64) for z in (x, y))
-        out, back = np.zeros((len(x), len(ky))), np.zeros((len(kx), len(y)))
-        for low in range(0, len(y), piece):
-            part, kinds = to[low : low + piece], iy[low : low + piece]
-            for at, v in enumerate(of):
-                d = np.sqrt(((part - v) ** 2).sum(axis=1))
-                if same and low <= at < low + piece:
-                    d[at - low] = 0.0
-                out[at] += np.bincount(kinds, d, len(ky))
-                if not same:
-                    back[ix[at], low : low + piece] += d
-
-        def told(z, kinds, d, n):
-            rep = lambda a: np.repeat(a, len(kinds))
-            left = np.zeros((len(z), len(kinds)), np.int64) + n
-            left -= same & (z["c"].to_numpy()[:, None] == kinds)
-            return pd.DataFrame({"i": rep(z["i"].to_numpy()), "c": rep(z["c"].to_numpy()), "c2": np.tile(kinds, len(z)), "d": d.ravel(), "n": left.ravel()})
-
-        return told(x, ky, out, ny) if same else pd.concat([told(x, ky, out, ny), told(y, kx, back.T, nx)])
-
-    to = dealt.groupBy("p", "q").applyInPandas(sums, "i long, c long, c2 long, d double, n long").groupBy("i", "c", "c2").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
-    ab = to.groupBy("i", "c").agg(F.min(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
-    one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return ab.agg(F.round(F.avg(one), digits).alias("silhouette"))
+    own = rows.select(F.col(cluster).cast("long").alias("c"), F.col(vector).alias("v")).where("c is not null and v is not null")
+    own = cut(own.groupBy("c", "v").agg(F.count(F.lit(1)).alias("w")).withColumn("i", F.monotonically_increasing_id()))
+    classes = own.count()
+    n = max(1, -(-classes // block_rows), min(8, classes // 1024))
+    by = own.groupBy("c").agg(F.count(F.lit(1)).alias("_u"), F.sum("w").alias("m"))
+    by = by.withColumn("_low", F.sum("_u").over(Window.orderBy("c")) - F.col("_u"))  # a row per cluster
+    placed = own.join(by, "c").withColumn("_b", F.expr(f"cast((_low + pmod(xxhash64(i), _u)) * {n} div {max(1, classes)} as int)"))
+    dealt = pairs_of_blocks(placed.drop("_low", "_u"), n).withColumn("t", F.expr("cast(q * (q + 1) div 2 + p as int)")).withColumn("within", F.expr("p = q")).drop("p", "q")
+    sums = dealt.repartitionById(n * (n + 1) // 2, F.col("t")).mapInArrow(compared, "i long, w long, c2 long, own boolean, d double, n long, b double")
+    to = sums.groupBy("i", "w", "c2", "own").agg((F.sum("d") / F.max("n")).alias("d"), F.min("b").alias("b"))
+    ab = to.groupBy("i", "w").agg(F.min(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.coalesce("d", "b"))).alias("b"))
+    most = F.greatest("a", "b")
+    one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(most == 0, float("nan")).otherwise((F.col("b") - F.col("a")) / most)
+    return ab.agg(F.when(F.lit(count > 1), F.round(F.coalesce(F.sum(F.col("w") * one), F.lit(0.0)) / F.lit(max(1, count)), digits)).alias("silhouette"))
 
 
 def elbow(metrics: DataFrame, by: str = "model") -> DataFrame:
